@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from tablewright.errors import OperationError
 from tablewright.functions.dates import DEFAULT_FORMATS, parse_timestamp, spark_pattern
-from tablewright.operators.result import OpResult, is_text, quoted, replace_columns, require_columns
+from tablewright.operators.result import OpResult, is_text, quoted, replace_columns, require_columns, same_rows
 
 _REPORT = T.StructType(
     [
@@ -71,9 +71,8 @@ def parse_dates(df: DataFrame, columns: list[str], formats: list[str] | None = N
     frame = replace_columns(df, parsed_columns)
     report = df.sparkSession.createDataFrame(results, _REPORT)
 
-    def summarise() -> dict:
-        rows = df.count()
-        return {"op": "parse_dates", "results": results, "rows_before": rows, "rows_after": rows}
+    def summarise(known) -> dict:
+        return {"op": "parse_dates", "results": results, **same_rows(known, df)}
 
     return OpResult(frame, report, summarise, lambda s: [{"kind": "parse_dates_summary", "results": results}])
 

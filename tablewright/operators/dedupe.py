@@ -6,7 +6,17 @@ from pyspark.sql import functions as F
 
 from tablewright.errors import OperationError
 from tablewright.functions.text import match_key
-from tablewright.operators.result import ROW_ID, OpResult, before_after, is_text, quoted, require_columns, rows_of
+from tablewright.operators.result import (
+    ROW_ID,
+    OpResult,
+    before_after,
+    is_text,
+    quoted,
+    require_columns,
+    row_counts,
+    rows_of,
+    same_rows,
+)
 
 EXAMPLE_GROUPS = 8
 _RANK = "_keep_rank"
@@ -57,13 +67,13 @@ def dedupe(
         F.count(F.lit(1)).alias("rows_after"),
     ).withColumn("removed", F.col("rows_before") - F.col("rows_after"))
 
-    def summarise() -> dict:
+    def summarise(known) -> dict:
         return {
             "op": "dedupe",
             "columns": columns,
             "keep": keep,
             "normalize_text": normalize_text,
-            **report.first().asDict(),
+            **row_counts(known, report),
         }
 
     def draw(s: dict) -> list[dict]:
@@ -103,7 +113,7 @@ def preview_duplicates(df: DataFrame, columns: list[str], normalize_text: bool =
     groups = duplicate_groups(df, columns, normalize_text)
     examples = duplicate_examples(groups)
 
-    def summarise() -> dict:
+    def summarise(known) -> dict:
         found = [
             {"key": {c: None if v is None else str(v) for c, v in zip(columns, row)}, "count": row[-1]}
             for row in examples.collect()
@@ -112,7 +122,7 @@ def preview_duplicates(df: DataFrame, columns: list[str], normalize_text: bool =
         return {
             "op": "preview_duplicates",
             "columns": columns,
-            "total_rows": df.count(),
+            "total_rows": same_rows(known, df)["rows_after"],
             **totals,
             "example_groups": found,
         }

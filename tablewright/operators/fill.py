@@ -18,7 +18,7 @@ from tablewright.operators.result import (
     quoted,
     replace_columns,
     require_columns,
-    rows_of,
+    row_counts,
 )
 
 STRATEGIES = ("auto", "median", "mean", "mode", "constant", "drop_row")
@@ -148,7 +148,7 @@ def _result(df: DataFrame, frame: DataFrame, strategy: str, rows: int, filled: l
         "rows_after": rows,
     }
     charts = [{"kind": "fillna_summary", "filled": filled, "total_filled": total}] if filled else []
-    return OpResult(frame, report, lambda: summary, lambda s: charts)
+    return OpResult(frame, report, lambda known: summary, lambda s: charts)
 
 
 def _drop_rows(df: DataFrame, considered: list[str], min_pct: float, rows: int) -> OpResult:
@@ -161,13 +161,13 @@ def _drop_rows(df: DataFrame, considered: list[str], min_pct: float, rows: int)
         F.count(F.lit(1)).alias("rows_before"), F.count_if(empty < threshold).alias("rows_after")
     ).withColumn("removed", F.col("rows_before") - F.col("rows_after"))
 
-    def summarise() -> dict:
+    def summarise(known) -> dict:
         return {
             "op": "fillna",
             "strategy": "drop_row",
             "columns_considered": considered,
             "min_pct_to_drop": min_pct,
-            **rows_of(report)[0],
+            **row_counts(known, report),
         }
 
     def draw(s: dict) -> list[dict]:

@@ -30,6 +30,13 @@ def _as_cell(df: DataFrame, column: str) -> tuple[Column, T.DataType]:
     return c, dtype
 
 
+def _all_null(slots: list[str]) -> Column:
+    missing = F.lit(True)
+    for s in slots:
+        missing = missing & F.col(s).isNull()
+    return missing
+
+
 @dataclass(frozen=True)
 class Frequencies:
     """``table`` has ``column`` (position as text), one slot ``v0, v1, ...`` per type, and ``n``."""
@@ -44,10 +51,7 @@ class Frequencies:
         return [f"v{i}" for i in range(len(self.slot_types))]
 
     def is_null(self) -> Column:
-        missing = F.lit(True)
-        for s in self.slots:
-            missing = missing & F.col(s).isNull()
-        return missing
+        return _all_null(self.slots)
 
     def as_text(self) -> Column:
         return F.coalesce(*[F.col(s).cast("string") for s in self.slots])
@@ -92,11 +96,12 @@ def frequencies(df: DataFrame, columns: list[str], nulls: bool = True) -> Freque
         + f") AS `{i}`"
         for i in range(len(columns))
     )
-    keep = "INCLUDE" if nulls else "EXCLUDE"
     long = df.sparkSession.sql(
-        f"SELECT * FROM {{cells}} UNPIVOT {keep} NULLS (({slots}) FOR `column` IN ({sources}))",
+        f"SELECT * FROM {{cells}} UNPIVOT INCLUDE NULLS (({slots}) FOR `column` IN ({sources}))",
         cells=df.select(*cells, *empty),
     )
+    if not nulls:
+        long = long.filter(~_all_null([f"v{k}" for k in range(len(types))]))
     keys = ["column", *[f"v{k}" for k in range(len(types))]]
     table = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return Frequencies(table, list(columns), types, slot_of)

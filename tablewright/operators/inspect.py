@@ -82,7 +82,7 @@ def inspect_column(df: DataFrame, column: str) -> OpResult:
     one = df.select(quoted(column))
     report = numeric_stats(one, column) if numeric else distinct_count(one, column)
 
-    def summarise() -> dict:
+    def summarise(known) -> dict:
         line = rows_of(report)[0]
         total, nulls = line["total_rows"], line["null_count"]
         summary = {

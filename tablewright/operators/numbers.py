@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from tablewright.errors import OperationError
 from tablewright.functions.numbers import count_char, pick_decimal, to_number
-from tablewright.operators.result import OpResult, is_numeric, is_text, quoted, replace_columns, require_columns
+from tablewright.operators.result import OpResult, is_numeric, is_text, quoted, replace_columns, require_columns, same_rows
 
 _REPORT = T.StructType(
     [
@@ -70,9 +70,8 @@ def normalize_numeric(df: DataFrame, columns: list[str], decimal: str = "auto")
     frame = replace_columns(df, converted)
     report = df.sparkSession.createDataFrame(results, _REPORT)
 
-    def summarise() -> dict:
-        rows = df.count()
-        return {"op": "normalize_numeric", "results": results, "rows_before": rows, "rows_after": rows}
+    def summarise(known) -> dict:
+        return {"op": "normalize_numeric", "results": results, **same_rows(known, df)}
 
     return OpResult(frame, report, summarise, lambda s: [{"kind": "normalize_numeric_summary", "results": results}])
 

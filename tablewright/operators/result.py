@@ -25,7 +25,7 @@ class OpResult:
         self,
         frame: DataFrame | None,
         report: DataFrame,
-        summarise: Callable[[], dict],
+        summarise: Callable[[tuple[int, int] | None], dict],
         draw: Callable[[dict], list[dict]] = lambda summary: [],
     ):
         self.frame = frame
@@ -35,7 +35,11 @@ class OpResult:
 
     @cached_property
     def summary(self) -> dict:
-        return self._summarise()
+        return self._summarise(None)
+
+    def summary_of(self, rows_before: int, rows_after: int) -> dict:
+        """The summary where both row counts are already known, so they need no job."""
+        return self._summarise((rows_before, rows_after))
 
     @cached_property
     def charts(self) -> list[dict]:
@@ -73,6 +77,20 @@ def replace_columns(df: DataFrame, new: dict) -> DataFrame:
     return df.select(*[new[c].alias(c) if c in new else quoted(c) for c in df.columns])
 
 
+def row_counts(known: tuple[int, int] | None, report: DataFrame | None = None) -> dict:
+    """Rows before, after and removed: as known, or as the report counts them."""
+    if known is None:
+        return report.first().asDict()
+    before, after = known
+    return {"rows_before": before, "rows_after": after, "removed": before - after}
+
+
+def same_rows(known: tuple[int, int] | None, df: DataFrame) -> dict:
+    """Row counts of an operation that keeps every row."""
+    rows = known[0] if known else df.count()
+    return {"rows_before": rows, "rows_after": rows}
+
+
 def before_after(label: str, before: int, after: int, tone: str) -> dict:
     gone = before - after
     return {

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tablewright.errors import OperationError
 from tablewright.functions.text import CASES, clean_text
-from tablewright.operators.result import OpResult, is_text, quoted, replace_columns, require_columns, rows_of
+from tablewright.operators.result import OpResult, is_text, quoted, replace_columns, require_columns, rows_of, same_rows
 
 
 def normalize_text(
@@ -29,12 +29,11 @@ def normalize_text(
     frame = replace_columns(df, {c: clean_text(F.col(quoted(c)), **options) for c in texts})
     report = text_report(df, texts, **options)
 
-    def summarise() -> dict:
+    def summarise(known) -> dict:
         found = {row["column"]: row for row in rows_of(report)}
         zero = {"distinct_before": 0, "distinct_after": 0, "collapsed_variants": 0}
         applied = [{"column": c, **options, **{k: found.get(c, zero)[k] for k in zero}} for c in texts]
-        rows = df.count()
-        return {"op": "normalize_text", "applied": applied, "rows_before": rows, "rows_after": rows}
+        return {"op": "normalize_text", "applied": applied, **same_rows(known, df)}
 
     def draw(s: dict) -> list[dict]:
         return [{"kind": "normalize_text_summary", "applied": s["applied"]}] if s["applied"] else []

@@ -115,6 +115,8 @@ class WorkingCopy:
         after_path = f"{self.path}/after_{op}_{uuid.uuid4().hex[:8]}"
         result.frame.write.parquet(after_path)
         after = self.spark.read.parquet(after_path)
+        # Counts without columns are answered from the Parquet footers.
+        rows_before, rows_after = before.count(), after.count()
         line = {
             "event": "applied",
             "op_id": uuid.uuid4().hex,
@@ -122,11 +124,10 @@ class WorkingCopy:
             "args": json.dumps(args or {}, sort_keys=True, default=str),
             "before_path": before_path,
             "after_path": after_path,
-            # Counts without columns are answered from the Parquet footers.
-            "rows_before": before.count(),
-            "rows_after": after.count(),
+            "rows_before": rows_before,
+            "rows_after": rows_after,
             "columns": len(data_columns(after)),
-            "summary": json.dumps(result.summary, sort_keys=True, default=str),
+            "summary": json.dumps(result.summary_of(rows_before, rows_after), sort_keys=True, default=str),
         }
         self._append([line])
         return result

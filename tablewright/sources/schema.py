@@ -28,7 +28,7 @@ def schema_report(df: DataFrame, order_by: list[str] | None = None, nullable: di
     gathered = numbered.agg(F.collect_list(F.struct(*numbered.columns)).alias("rows"))
     fields = []
     for i, c in enumerate(columns):
-        cells = F.transform("rows", lambda r, i=i: r[f"c{i}"])
+        cells = F.col("rows").getField(f"c{i}")
         seen = F.exists(cells, lambda v: v.isNull())
         fields.append(
             F.struct(

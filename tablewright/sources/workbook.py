@@ -171,7 +171,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def workbook_rows(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
     """All rows of all workbooks under ``path`` (or of one sheet of each): see ``ROWS`` for the columns."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
-    # One workbook per Arrow batch keeps a task at the size of one file.
+    # Spark packs small files into a task up to spark.sql.files.maxPartitionBytes; a larger one has a task of its own.
     return files.mapInArrow(_decode(sheet), ROWS)
 
 
