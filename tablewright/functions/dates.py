@@ -1,5 +1,8 @@
 """Date and time text: candidate formats and parsing."""
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,52 +18,62 @@ DEFAULT_FORMATS = (
     "%d-%m-%Y %H:%M:%S",
 )
 
-# strftime letter -> Spark datetime pattern (single letters take padded and unpadded input).
-_PATTERNS = {
-    "Y": "yyyy",
-    "y": "yy",
-    "m": "M",
-    "d": "d",
-    "e": "d",
-    "H": "H",
-    "I": "h",
-    "M": "m",
-    "S": "s",
-    "f": "SSSSSSSSS",
-    "p": "a",
-    "b": "MMM",
-    "B": "MMMM",
-    "j": "D",
-    "z": "xx",
-    "F": "yyyy-M-d",
-    "T": "H:m:s",
-    "R": "H:m",
-    "D": "M/d/yy",
-    "%": "%",
+# strftime letter -> Spark datetime pattern (single letters take padded and unpadded input)
+# and the cells it can read. A cell of another shape is not parsed at all: failing there
+# costs far more than the comparison.
+_DIRECTIVES = {
+    "Y": ("yyyy", r"\d{4}"),
+    "y": ("yy", r"\d{2}"),
+    "m": ("M", r"(?:0?[1-9]|1[0-2])"),
+    "d": ("d", r"(?:0?[1-9]|[12]\d|3[01])"),
+    "e": ("d", r"(?:0?[1-9]|[12]\d|3[01])"),
+    "H": ("H", r"(?:[01]?\d|2[0-3])"),
+    "I": ("h", r"(?:0?[1-9]|1[0-2])"),
+    "M": ("m", r"[0-5]?\d"),
+    "S": ("s", r"[0-5]?\d"),
+    "f": ("SSSSSSSSS", r"\d{9}"),
+    "p": ("a", "[AaPp][Mm]"),
+    "b": ("MMM", r"\p{L}+\.?"),
+    "B": ("MMMM", r"\p{L}+"),
+    "j": ("D", r"\d{1,3}"),
+    "z": ("xx", r"[+-]\d{4}"),
+    "%": ("%", "%"),
 }
+_SHORTHANDS = {"%F": "%Y-%m-%d", "%T": "%H:%M:%S", "%R": "%H:%M", "%D": "%m/%d/%y"}
+
+
+@dataclass(frozen=True)
+class DateFormat:
+    """A strftime format as Spark's pattern and as the shape of the cells it reads."""
+
+    pattern: str
+    shape: str
 
+    def parse(self, c: Column) -> Column:
+        """Timestamp without zone, or null where the whole cell does not follow the format."""
+        fitting = F.when(c.rlike(self.shape), F.try_to_timestamp(c, F.lit(self.pattern)))
+        return fitting.cast("timestamp_ntz")
 
-def spark_pattern(strftime: str) -> str | None:
-    """Spark pattern for a strftime format; ``None`` if a directive has no counterpart."""
-    out, literal, rest = [], "", iter(strftime)
+
+def date_format(strftime: str) -> DateFormat | None:
+    """Spark's view of a strftime format; ``None`` if a directive has no counterpart."""
+    for short, long in _SHORTHANDS.items():
+        strftime = strftime.replace(short, long)
+    pattern, shape, literal, rest = "", "", "", iter(strftime)
     for ch in rest:
         if ch != "%":
             literal += ch
             continue
-        pattern = _PATTERNS.get(next(rest, ""))
-        if pattern is None:
+        found = _DIRECTIVES.get(next(rest, ""))
+        if found is None:
             return None
-        out += [_quote(literal), pattern]
+        pattern += _quote(literal) + found[0]
+        shape += re.escape(literal) + found[1]
         literal = ""
-    return "".join(out) + _quote(literal)
+    return DateFormat(pattern + _quote(literal), rf"\A{shape}{re.escape(literal)}\z")
 
 
 def _quote(literal: str) -> str:
     if not any(ch.isalpha() or ch in "'[]{}#" for ch in literal):
         return literal
     return "'" + literal.replace("'", "''") + "'"
-
-
-def parse_timestamp(c: Column, pattern: str) -> Column:
-    """Timestamp without zone, or null where the whole cell does not follow ``pattern``."""
-    return F.try_to_timestamp(c, F.lit(pattern)).cast("timestamp_ntz")

@@ -2,6 +2,8 @@
 
 import json
 import re
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -50,6 +52,14 @@ _INLINE_STRICT = rf"(?iU)(?<!\w)({'|'.join(sorted(SENSITIVE_KEYS, key=len, rever
 _BEARER = r"(?iU)\bbearer\s+[A-Za-z0-9._\-]+"
 
 
+def _mentions_key(c: Column) -> Column:
+    """Cheap test that every cell with something to mask passes, and most others do not."""
+    folded = F.translate(F.lower(c), "ſ", "s")
+    words = (*_ENDINGS, "bearer")
+    # As a lambda's argument the folded text is computed once for all tests.
+    return F.exists(F.array(folded), lambda t: reduce(or_, [t.contains(w) for w in words]))
+
+
 def redact_text(c: Column, strict: bool = False) -> Column:
     """Mask ``key=value``, ``key: value``, ``key value`` and bearer tokens.
 
@@ -58,7 +68,8 @@ def redact_text(c: Column, strict: bool = False) -> Column:
     and ``:`` or ``=``.
     """
     masked = F.regexp_replace(c, _INLINE_STRICT if strict else _INLINE, rf"$1$2{REDACTED}")
-    return F.regexp_replace(masked, _BEARER, f"Bearer {REDACTED}")
+    masked = F.regexp_replace(masked, _BEARER, f"Bearer {REDACTED}")
+    return F.when(_mentions_key(c), masked).otherwise(c)
 
 
 def redact_record(c: Column, dtype: T.DataType) -> Column:

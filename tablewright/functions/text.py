@@ -4,9 +4,7 @@ Everything stays on the JVM except accent removal, which has no built-in
 counterpart; there only cells with non-ASCII characters are sent to Python.
 """
 
-import sys
 import unicodedata
-from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -34,32 +32,35 @@ def strip_ws(c: Column) -> Column:
 
 
 def collapse_ws(c: Column) -> Column:
-    """Replace every run of white space by one blank.
+    """Replace every run of Unicode white space by one blank."""
+    return F.regexp_replace(c, r"(?U)\s+", " ")
 
-    Cells without a run and without a blank other than U+0020 are returned as
-    they are, so clean columns never pay for the replacement.
-    """
-    return F.when(c.rlike(r"(?U)\s\s|[\s&&[^ ]]"), F.regexp_replace(c, r"(?U)\s+", " ")).otherwise(c)
+
+_WORD_START = r"(?<=[^\p{IsAlphabetic}\p{N}])(?=[\p{IsAlphabetic}\p{N}])"
 
 
 def title_case(c: Column) -> Column:
     """Upper-case each letter that follows a non-alphanumeric, lower-case the rest."""
-    pieces = F.split(
-        F.lower(c), r"(?<=[^\p{IsAlphabetic}\p{N}])(?=[\p{IsAlphabetic}\p{N}])"
-    )
-    capital = F.transform(pieces, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))))
+    words = F.split(F.lower(c), _WORD_START)
+    capital = F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))))
     return F.array_join(capital, "")
 
 
-@cache
-def _combining_marks() -> dict[int, None]:
-    return {cp: None for cp in range(sys.maxunicode + 1) if unicodedata.combining(chr(cp))}
+class _Unaccented(dict):
+    """Code point -> its NFKD form without combining marks, worked out when first met."""
+
+    def __missing__(self, cp: int) -> str:
+        parts = unicodedata.normalize("NFKD", chr(cp))
+        self[cp] = plain = "".join(ch for ch in parts if not unicodedata.combining(ch))
+        return plain
+
+
+_UNACCENTED = _Unaccented()
 
 
 @F.pandas_udf(T.StringType())
 def _fold(cells: pd.Series) -> pd.Series:
-    marks = _combining_marks()
-    return cells.map(lambda v: unicodedata.normalize("NFKD", v).translate(marks), na_action="ignore")
+    return cells.map(lambda v: v.translate(_UNACCENTED), na_action="ignore")
 
 
 def _non_ascii(c: Column) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.errors import OperationError
-from tablewright.functions.dates import DEFAULT_FORMATS, parse_timestamp, spark_pattern
+from tablewright.functions.dates import DEFAULT_FORMATS, date_format
 from tablewright.operators.result import OpResult, is_text, quoted, replace_columns, require_columns, same_rows
 
 _REPORT = T.StructType(
@@ -21,18 +21,18 @@ _REPORT = T.StructType(
 
 def format_counts(df: DataFrame, columns: list[str], formats: list[str]) -> dict[str, dict]:
     """Non-null cells, and cells each format can read, for all columns in one pass without a shuffle of rows."""
-    readable = [(f, p) for f in formats if (p := spark_pattern(f)) is not None]
+    readable = {f: known for f in formats if (known := date_format(f)) is not None}
     wanted = []
     for column in columns:
         c = F.col(quoted(column))
         wanted.append(F.count(c))
         if is_text(df, column):
-            wanted += [F.count(parse_timestamp(c, p)) for _, p in readable]
+            wanted += [F.count(known.parse(c)) for known in readable.values()]
     row = iter(df.agg(*wanted).first())
     out = {}
     for column in columns:
         total = next(row)
-        parsed = {f: next(row) for f, _ in readable} if is_text(df, column) else {}
+        parsed = {f: next(row) for f in readable} if is_text(df, column) else {}
         out[column] = {"total": total, "parsed": parsed}
     return out
 
@@ -67,7 +67,7 @@ def parse_dates(df: DataFrame, columns: list[str], formats: list[str] | None = N
         read = parsed[best] if best else 0
         results.append(_line(column, best, read, total - read, False))
         if best:
-            parsed_columns[column] = parse_timestamp(F.col(quoted(column)), spark_pattern(best))
+            parsed_columns[column] = date_format(best).parse(F.col(quoted(column)))
     frame = replace_columns(df, parsed_columns)
     report = df.sparkSession.createDataFrame(results, _REPORT)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tablewright.errors import OperationError
-from tablewright.functions.dates import parse_timestamp, spark_pattern
+from tablewright.functions.dates import date_format
 from tablewright.functions.numbers import to_number
 from tablewright.functions.text import clean_text, match_key
 from tablewright.operators.events import over_limit
@@ -28,11 +28,11 @@ def clean_columns(stream: DataFrame, columns: list[str], **options) -> DataFrame
 
 def parse_columns(stream: DataFrame, formats: dict[str, str]) -> DataFrame:
     """Dates by a known strftime format per column."""
-    patterns = {c: spark_pattern(f) for c, f in formats.items()}
-    unknown = [formats[c] for c, p in patterns.items() if p is None]
+    known = {c: date_format(f) for c, f in formats.items()}
+    unknown = [formats[c] for c, f in known.items() if f is None]
     if unknown:
         raise OperationError(f"formats without a counterpart: {', '.join(unknown)}")
-    return replace_columns(stream, {c: parse_timestamp(F.col(quoted(c)), p) for c, p in patterns.items()})
+    return replace_columns(stream, {c: f.parse(F.col(quoted(c))) for c, f in known.items()})
 
 
 def number_columns(stream: DataFrame, decimals: dict[str, str]) -> DataFrame:
