@@ -70,9 +70,12 @@ SELECT o_orderkey, strftime(coalesce(CASE WHEN (SELECT count(*) - count(mixed_da
   round(price, 2) AS us_price FROM p"""
 
 
+_STATUS = "CASE WHEN o_orderkey % 3 = 0 THEN 'open ' WHEN o_orderkey % 3 = 1 THEN 'Open' ELSE 'closed' END"
+
+
 def recipe_signals(spark, sf):
-    columns = ["iso_date", "mixed_date", "us_price", "eu_price"]
-    signals = column_signals(d_orders(spark, sf), columns)
+    columns = ["iso_date", "mixed_date", "us_price", "eu_price", "status"]
+    signals = column_signals(d_orders(spark, sf).withColumn("status", F.expr(_STATUS)), columns)
     rows = [
         (s["column"], s["rows"], s["nulls"], round(s["date_share"], 4), round(s["number_share"], 4), s["collapsed_variants"])
         for s in signals
@@ -83,20 +86,21 @@ def recipe_signals(spark, sf):
     )
 
 
-def _signal(c, date_format, decimal):
+def _signal(c, date_format, decimal, text=False):
     date = f"count(try_strptime({c}, '{date_format}'))" if date_format else "0"
     some = f"count({c})::DOUBLE"
     return f"""SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS nulls,
   round({date} / {some}, 4) AS date_share, round(count({sql_number(c, decimal)}) / {some}, 4) AS number_share,
-  count(DISTINCT {c}) - count(DISTINCT {sql_title(sql_clean(c))}) AS variants FROM d"""
+  {f"count(DISTINCT {c}) - count(DISTINCT {sql_title(sql_clean(c))})" if text else "0"} AS variants FROM d"""
 
 
-_SIGNALS_SQL = WITH_ORDERS + " UNION ALL ".join(
+_SIGNALS_SQL = WITH_ORDERS.replace("WITH d AS", "WITH d0 AS") + f", d AS (SELECT *, {_STATUS} AS status FROM d0) " + " UNION ALL ".join(
     [
         _signal("iso_date", "%Y-%m-%d", "."),
         _signal("mixed_date", "%Y-%m-%d", "."),
         _signal("us_price", None, "."),
         _signal("eu_price", None, "."),
+        _signal("status", None, ".", text=True),
     ]
 )
 

@@ -12,7 +12,7 @@ from tablewright.operators.dates import best_format, format_counts
 from tablewright.functions.dates import DEFAULT_FORMATS
 from tablewright.functions.numbers import pick_decimal
 from tablewright.operators.numbers import mark_counts
-from tablewright.operators.result import OpResult, data_columns, is_numeric, is_text, quoted
+from tablewright.operators.result import OpResult, data_columns, is_text, quoted
 from tablewright.operators.text import text_report
 from tablewright.plans.registry import apply_operation, operation
 from tablewright.plans.scratch import written
@@ -93,21 +93,20 @@ def replay(journal: DataFrame, df: DataFrame, on_error: str = "continue") -> Rec
     return RecipeResult(frame, log, results)
 
 
-def column_signals(df: DataFrame, columns: list[str] | None = None) -> list[dict]:
+def column_signals(
+    df: DataFrame, columns: list[str] | None = None, date_share: float = 0.5, number_share: float = 0.5
+) -> list[dict]:
     """What the planner looks at, per column: nulls, date and number share of text, spellings.
 
-    Shares refer to non-null cells. Three aggregates over the whole table,
-    whatever the number of columns.
+    Shares refer to non-null cells. Text that mostly reads as dates or numbers
+    is taken as such, and spellings are only counted for the rest. Three
+    aggregates over the whole table, whatever the number of columns.
     """
     columns = columns or data_columns(df)
     texts = [c for c in columns if is_text(df, c)]
     totals = df.agg(F.count(F.lit(1)), *[F.count(quoted(c)) for c in columns]).first()
     dates = format_counts(df, texts, list(DEFAULT_FORMATS)) if texts else {}
     numbers = mark_counts(df, texts)
-    spellings = {}
-    if texts:
-        for row in text_report(df, texts, case="title", strip=True, collapse_spaces=True, remove_accents=False).collect():
-            spellings[row["column"]] = row
     out = []
     for i, c in enumerate(columns):
         some = totals[i + 1]
@@ -118,16 +117,22 @@ def column_signals(df: DataFrame, columns: list[str] | None = None) -> list[dict
         out.append(
             {
                 "column": c,
-                "text": c in texts,
-                "numeric": is_numeric(df, c),
                 "rows": totals[0],
                 "nulls": totals[0] - some,
+                "format": best,
                 "date_share": parsed[best] / some if best and some else 0.0,
                 "number_share": as_number / some if some else 0.0,
-                "collapsed_variants": spellings[c]["collapsed_variants"] if c in spellings else 0,
+                "collapsed_variants": 0,
             }
         )
-    return out
+    for s in out:
+        s["kind"] = "other"
+        if s["column"] in texts:
+            dated, numbered = s["date_share"] >= date_share, s["number_share"] >= number_share
+            s["kind"] = "dates" if dated else "numbers" if numbered else "text"
+    plain = [s["column"] for s in out if s["kind"] == "text"]
+    variants = {row["column"]: row["collapsed_variants"] for row in text_report(df, plain).collect()} if plain else {}
+    return [{**s, "collapsed_variants": variants.get(s["column"], 0)} for s in out]
 
 
 def suggest_recipe(
@@ -145,26 +150,22 @@ def suggest_recipe(
     spellings of one value is normalised; remaining nulls are filled with
     median or mode.
     """
-    signals = column_signals(df, columns)
-    dates = [s["column"] for s in signals if s["text"] and s["date_share"] >= date_share]
-    numbers = [
-        s["column"]
-        for s in signals
-        if s["text"] and s["column"] not in dates and s["number_share"] >= number_share
-    ]
-    texts = [
-        s["column"]
-        for s in signals
-        if s["text"] and s["column"] not in dates + numbers and s["collapsed_variants"] > 0
-    ]
+    signals = column_signals(df, columns, date_share, number_share)
+    dates = [s["column"] for s in signals if s["kind"] == "dates"]
+    numbers = [s["column"] for s in signals if s["kind"] == "numbers"]
+    texts = [s["column"] for s in signals if s["kind"] == "text" and s["collapsed_variants"] > 0]
+    formats = [f for f in DEFAULT_FORMATS if f in {s["format"] for s in signals if s["kind"] == "dates"}]
     gaps = [s["column"] for s in signals if 0 < s["nulls"] < s["rows"]]
     steps = []
     if key_columns:
         args = {"columns": key_columns, "keep": "first", "normalize_text": True}
         steps.append({"op": "dedupe", "args": {**args, **({"order_by": order_by} if order_by else {})}})
-    for op, chosen in (("normalize_text", texts), ("parse_dates", dates), ("normalize_numeric", numbers)):
-        if chosen:
-            steps.append({"op": op, "args": {"columns": chosen}})
+    if texts:
+        steps.append({"op": "normalize_text", "args": {"columns": texts}})
+    if dates:  # the other formats have already lost
+        steps.append({"op": "parse_dates", "args": {"columns": dates, "formats": formats}})
+    if numbers:
+        steps.append({"op": "normalize_numeric", "args": {"columns": numbers}})
     if gaps:
         steps.append({"op": "fillna", "args": {"columns": gaps, "strategy": "auto"}})
     return steps
