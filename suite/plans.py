@@ -90,7 +90,7 @@ def _signal(c, date_format, decimal, text=False):
     date = f"count(try_strptime({c}, '{date_format}'))" if date_format else "0"
     some = f"count({c})::DOUBLE"
     return f"""SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS nulls,
-  round({date} / {some}, 4) AS date_share, round(count({sql_number(c, decimal)}) / {some}, 4) AS number_share,
+  round({date} / {some}, 4) AS date_share, round(count(CASE WHEN NOT regexp_matches({c}, '\\p{{L}}') THEN {sql_number(c, decimal)} END) / {some}, 4) AS number_share,
   {f"count(DISTINCT {c}) - count(DISTINCT {sql_title(sql_clean(c))})" if text else "0"} AS variants FROM d"""
 
 

@@ -106,7 +106,9 @@ def column_signals(
     texts = [c for c in columns if is_text(df, c)]
     totals = df.agg(F.count(F.lit(1)), *[F.count(quoted(c)) for c in columns]).first()
     dates = format_counts(df, texts, list(DEFAULT_FORMATS)) if texts else {}
-    numbers = mark_counts(df, texts)
+    # "c12" would convert to 12; only cells without letters speak for a column of numbers.
+    bare = [F.when(~F.col(quoted(c)).rlike(r"\p{L}"), F.col(quoted(c))).alias(c) for c in texts]
+    numbers = mark_counts(df.select(*bare), texts) if texts else {}
     out = []
     for i, c in enumerate(columns):
         some = totals[i + 1]

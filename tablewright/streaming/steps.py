@@ -53,6 +53,11 @@ def drop_sparse_rows(stream: DataFrame, columns: list[str], min_pct: float = 0.5
     return stream.filter(empty < drop_threshold(min_pct, len(columns)))
 
 
+def _watermarked(stream: DataFrame, at: str, delay: str) -> DataFrame:
+    """Watermarks ask for a timestamp with zone; one without is read in the session's zone."""
+    return stream.withColumn(at, F.col(quoted(at)).cast("timestamp")).withWatermark(at, delay)
+
+
 def dedupe_stream(
     stream: DataFrame, columns: list[str], at: str, delay: str, keep: str = "first", normalize_text: bool = False
 ) -> DataFrame:
@@ -65,12 +70,13 @@ def dedupe_stream(
         key = F.col(quoted(c))
         keyed = keyed.withColumn(f"_key{i}", match_key(key) if normalize_text and is_text(stream, c) else key)
         keys.append(f"_key{i}")
-    return keyed.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys).drop(*keys)
+    kept = _watermarked(keyed, at, delay).dropDuplicatesWithinWatermark(keys).drop(*keys)
+    return kept.withColumn(at, F.col(quoted(at)).cast(stream.schema[at].dataType))
 
 
 def over_limit_stream(stream: DataFrame, client: str, at: str, limit: int, window: str, delay: str) -> DataFrame:
     """Clients over their limit, window by window, once the watermark has closed it."""
-    return over_limit(stream.withWatermark(at, delay), client, at, limit, window)
+    return over_limit(_watermarked(stream, at, delay), client, at, limit, window)
 
 
 def append_stream(stream: DataFrame, append: Callable[[DataFrame], None], checkpoint: str) -> DataStreamWriter:
