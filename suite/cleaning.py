@@ -30,13 +30,15 @@ from tablewright.operators.text import normalize_text
 
 _LINE = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag, l_linestatus"
 
+_LINE_ORDER = ["l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_shipdate"]
+
 
 def _lines(keep):
     def run(spark, sf):
         lines = table(spark, sf, "lineitem").select(
             *_LINE.split(", "), F.date_format("l_shipdate", "yyyy-MM-dd").alias("l_shipdate")
         )
-        return dedupe(lines, ["l_orderkey", "l_suppkey"], keep=keep, order_by=["l_linenumber", "l_partkey"]).frame
+        return dedupe(lines, ["l_orderkey", "l_suppkey"], keep=keep, order_by=_LINE_ORDER).frame
 
     return run
 
@@ -45,7 +47,7 @@ def _lines_sql(direction):
     return f"""
 SELECT {_LINE}, l_shipdate FROM (
   SELECT {_LINE}, strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate, row_number() OVER (
-    PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber {direction}, l_partkey {direction}) AS rn
+    PARTITION BY l_orderkey, l_suppkey ORDER BY {", ".join(f"{c} {direction}" for c in _LINE_ORDER)}) AS rn
   FROM lineitem) t WHERE rn = 1"""
 
 
