@@ -25,8 +25,8 @@ def read_csv(
     """Comma-separated files with a header line.
 
     Columns are integers, floats, booleans or text; dates stay text. Types
-    come from the first ``infer_rows`` rows of the first file (``None``: from
-    all rows), and a later cell that does not fit its type is an error rather
+    come from the first ``infer_rows`` rows of the first file with rows
+    (``None``: from all rows of all files), and a later cell that does not fit its type is an error rather
     than a silent null. Files are split over many tasks unless a quoted cell
     holds a line break, which ``multi_line=None`` finds out by itself.
     """
@@ -36,8 +36,10 @@ def read_csv(
     text = spark.read.options(**options).csv(path)
     head = text
     if infer_rows is not None:
-        first = min(text.inputFiles(), default=None)
-        head = (spark.read.options(**options).csv(first) if first else text).limit(infer_rows)
+        for file in sorted(text.inputFiles()):
+            head = spark.read.options(**options).csv(file).limit(infer_rows)
+            if not head.isEmpty():
+                break
     schema = _infer(head)
     return spark.read.options(**options).schema(schema).csv(path)
 

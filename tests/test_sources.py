@@ -38,6 +38,7 @@ def test_csv_dates_stay_text_and_quotes_are_kept(spark, tmp_path):
 
 
 def test_csv_folder_is_split_and_typed_by_the_first_file(spark, tmp_path):
+    put(tmp_path / "0.csv", "x\n")
     put(tmp_path / "a.csv", "x\n1\n2\n")
     put(tmp_path / "b.csv", "x\n3\n")
     df = read_csv(spark, str(tmp_path))
