@@ -17,7 +17,7 @@ from suite.base import (
 )
 from tablewright.plans import journal
 from tablewright.plans.recipe import column_signals, replay, run_recipe, suggest_recipe
-from tablewright.plans.scratch import shared_dir
+from tablewright.scratch import shared_dir
 from tablewright.plans.workcopy import WorkingCopy
 
 _CUSTOMER_STEPS = [

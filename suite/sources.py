@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from suite.base import WITH_CUSTOMER, Query, d_customer, table
-from tablewright.plans.scratch import shared_dir
+from tablewright.scratch import shared_dir
 from tablewright.plans.workcopy import WorkingCopy
 from tablewright.sources.files import file_manifest
 from tablewright.sources.registry import read_dataset

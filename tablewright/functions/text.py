@@ -93,6 +93,15 @@ def clean_text(
     return strip_accents(c) if remove_accents else c
 
 
+def compact_key(c: Column) -> Column:
+    """Stand-in for text that is only compared: itself, or its SHA-256 if it is longer than that.
+
+    Keys made of whole documents would otherwise travel and be sorted twice.
+    Only long text becomes 65 bytes, so it cannot meet a short one.
+    """
+    return F.when(F.octet_length(c) <= 64, c).otherwise(F.concat(F.lit("#"), F.sha2(c, 256)))
+
+
 def match_key(c: Column) -> Column:
     """Form under which two spellings count as the same key."""
     return F.lower(strip_ws(c))

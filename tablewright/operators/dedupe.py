@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.errors import OperationError
-from tablewright.functions.text import match_key
+from tablewright.functions.text import compact_key, match_key
 from tablewright.operators.result import (
     ROW_ID,
     OpResult,
@@ -22,11 +22,15 @@ EXAMPLE_GROUPS = 8
 _RANK = "_keep_rank"
 
 
-def _keys(df: DataFrame, columns: list[str], normalize_text: bool) -> list[Column]:
-    cols = [F.col(quoted(c)) for c in columns]
-    if not normalize_text:
-        return cols
-    return [match_key(c) if is_text(df, name) else c for name, c in zip(columns, cols)]
+def _keys(df: DataFrame, columns: list[str], normalize_text: bool, compact: bool = True) -> list[Column]:
+    keys = []
+    for name in columns:
+        key = F.col(quoted(name))
+        if is_text(df, name):
+            key = match_key(key) if normalize_text else key
+            key = compact_key(key) if compact else key
+        keys.append(key)
+    return keys
 
 
 def dedupe(
@@ -84,7 +88,7 @@ def dedupe(
 
 def duplicate_groups(df: DataFrame, columns: list[str], normalize_text: bool = False) -> DataFrame:
     """Keys that occur more than once, with their ``count``."""
-    keys = [k.alias(c) for k, c in zip(_keys(df, columns, normalize_text), columns)]
+    keys = [k.alias(c) for k, c in zip(_keys(df, columns, normalize_text, compact=False), columns)]
     counted = df.select(*keys).groupBy(*[quoted(c) for c in columns]).agg(F.count(F.lit(1)).alias("_n"))
     return counted.filter("_n > 1").withColumnRenamed("_n", "count")
 

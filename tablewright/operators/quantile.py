@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from tablewright.operators.frequency import frequencies
 from tablewright.operators.result import quoted
 
-ACCURACY = 10_000
+# Every task sends one sketch of about this many entries to the merging task.
+ACCURACY = 1_000
 MARGIN = 2.0 / ACCURACY
 MAX_VALUES = 1_000_000
 

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.errors import OperationError
-from tablewright.functions.text import CASES, clean_text
+from tablewright.functions.text import CASES, clean_text, compact_key
 from tablewright.operators.result import OpResult, is_text, quoted, replace_columns, require_columns, rows_of, same_rows
 
 
@@ -53,7 +53,7 @@ def text_report(df: DataFrame, texts: list[str], **options) -> DataFrame:
     cells = df.select(*[F.col(quoted(c)).cast("string").alias(f"c{i}") for i, c in enumerate(texts)])
     names = F.array(*[F.lit(c) for c in texts])
     before = cells.unpivot([], cells.columns, "slot", "before").distinct()
-    after = before.select("slot", clean_text(F.col("before"), **options).alias("after"))
+    after = before.select("slot", compact_key(clean_text(F.col("before"), **options)).alias("after"))
     return (
         after.groupBy("slot", "after")
         .agg(F.count(F.lit(1)).alias("spellings"))

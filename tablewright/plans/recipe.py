@@ -15,7 +15,7 @@ from tablewright.operators.numbers import mark_counts
 from tablewright.operators.result import OpResult, data_columns, is_text, quoted
 from tablewright.operators.text import text_report
 from tablewright.plans.registry import apply_operation, operation
-from tablewright.plans.scratch import written
+from tablewright.scratch import written
 
 MAX_STEPS = 12
 

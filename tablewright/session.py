@@ -14,6 +14,24 @@ SETTINGS = {
 }
 
 
+MB = 1024 * 1024
+
+
+def sized_settings(input_bytes: int, partition_bytes: int = 256 * MB) -> dict[str, str]:
+    """Settings that keep scan and shuffle partitions at a size an executor core sorts in memory.
+
+    Adaptive execution merges partitions that turn out smaller and splits
+    skewed ones, so the count follows the largest shuffle to expect: the whole
+    input once.
+    """
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * partition_bytes),
+        "spark.sql.shuffle.partitions": str(max(200, -(-input_bytes // partition_bytes))),
+    }
+
+
 def local_session(name: str, cores: int | str = "*", partitions: int = 8, **extra: str) -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
     builder = builder.config("spark.sql.shuffle.partitions", str(partitions)).config("spark.driver.memory", "8g")

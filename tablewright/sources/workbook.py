@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.errors import SourceError
+from tablewright.scratch import written
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -192,7 +193,8 @@ def read_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> D
     rows = workbook_rows(spark, path, sheet)
     if sheet is None:
         rows = rows.filter("sheet_no = 0")
-    filled = rows.filter("row_no > 0")
+    # Decoding is the costly part: the rows are written once and then read for header, types and values.
+    filled = written(rows.filter("row_no > 0"))
     first = filled.groupBy("path").agg(F.min_by("cells", "row_no").alias("header"), F.min("row_no").alias("header_row"))
     headers = first.select("header").distinct().limit(2).collect()
     if not headers:

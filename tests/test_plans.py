@@ -5,9 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright import scratch
 from tablewright.errors import OperationError, UnknownOperationError, WorkingCopyError
 from tablewright.operators.result import ROW_ID, OpResult
-from tablewright.plans import journal, recipe, registry, scratch
+from tablewright.plans import journal, recipe, registry
 from tablewright.plans.workcopy import WorkingCopy, with_row_id
 
 
