@@ -1,6 +1,7 @@
 """Date and time text: candidate formats and parsing."""
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -49,9 +50,12 @@ class DateFormat:
     pattern: str
     shape: str
 
+    def looks_right(self, c: Column) -> Column:
+        return c.rlike(rf"\A(?:{self.shape})\z")
+
     def parse(self, c: Column) -> Column:
         """Timestamp without zone, or null where the whole cell does not follow the format."""
-        fitting = F.when(c.rlike(self.shape), F.try_to_timestamp(c, F.lit(self.pattern)))
+        fitting = F.when(self.looks_right(c), F.try_to_timestamp(c, F.lit(self.pattern)))
         return fitting.cast("timestamp_ntz")
 
 
@@ -70,7 +74,12 @@ def date_format(strftime: str) -> DateFormat | None:
         pattern += _quote(literal) + found[0]
         shape += re.escape(literal) + found[1]
         literal = ""
-    return DateFormat(pattern + _quote(literal), rf"\A{shape}{re.escape(literal)}\z")
+    return DateFormat(pattern + _quote(literal), shape + re.escape(literal))
+
+
+def any_shape(formats: Iterable[DateFormat]) -> str:
+    """Pattern of the cells that at least one of the formats can read."""
+    return r"\A(?:" + "|".join(f.shape for f in formats) + r")\z"
 
 
 def _quote(literal: str) -> str:

@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_NUMBER = r"\A[+-]?+(?:\d++\.?+\d*+|\.\d++)(?:[eE][+-]?+\d++)?+\z"
+
 
 def count_char(c: Column, char: str) -> Column:
     """How often ``char`` occurs in a cell."""
@@ -22,11 +24,23 @@ def pick_decimal(commas: int, dots: int) -> str:
     return "." if dots <= commas else ","
 
 
-def to_number(c: Column, decimal: str) -> Column:
-    """Double from text: drop all but digits, signs, marks and ``e``; null if that is no number."""
-    kept = F.regexp_replace(c, r"[^0-9eE+\-.,]", "")
+def number_chars(c: Column) -> Column:
+    """What is left of a cell without all but digits, signs, marks and ``e``."""
+    return F.regexp_replace(c, r"[^0-9eE+\-.,]", "")
+
+
+def plain_number(kept: Column, decimal: str) -> Column:
+    """``number_chars`` without thousands marks and with a dot as decimal mark."""
     if decimal == ",":
-        plain = F.translate(kept, ",.", ".")
-    else:
-        plain = F.replace(kept, F.lit(","), F.lit(""))
-    return plain.try_cast("double")
+        return F.translate(kept, ",.", ".")
+    return F.replace(kept, F.lit(","), F.lit(""))
+
+
+def is_number(plain: Column) -> Column:
+    """Whether ``plain_number`` text converts; far cheaper than a cast that fails."""
+    return plain.rlike(_NUMBER)
+
+
+def to_number(c: Column, decimal: str) -> Column:
+    """Double from text; null if the characters that count form no number."""
+    return plain_number(number_chars(c), decimal).try_cast("double")

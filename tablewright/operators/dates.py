@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.errors import OperationError
-from tablewright.functions.dates import DEFAULT_FORMATS, date_format
+from tablewright.functions.dates import DEFAULT_FORMATS, any_shape, date_format
 from tablewright.operators.result import OpResult, is_text, quoted, replace_columns, require_columns, same_rows
 
 _REPORT = T.StructType(
@@ -20,15 +20,20 @@ _REPORT = T.StructType(
 
 
 def format_counts(df: DataFrame, columns: list[str], formats: list[str]) -> dict[str, dict]:
-    """Non-null cells, and cells each format can read, for all columns in one pass without a shuffle of rows."""
+    """Non-null cells, and cells each format can read, for all columns in one pass without a shuffle of rows.
+
+    One look at its shape settles a cell that no format can read.
+    """
     readable = {f: known for f in formats if (known := date_format(f)) is not None}
-    wanted = []
-    for column in columns:
+    cells, wanted = [], []
+    for i, column in enumerate(columns):
         c = F.col(quoted(column))
-        wanted.append(F.count(c))
-        if is_text(df, column):
-            wanted += [F.count(known.parse(c)) for known in readable.values()]
-    row = iter(df.agg(*wanted).first())
+        cells.append(c.isNotNull().alias(f"some{i}"))
+        wanted.append(F.count_if(F.col(f"some{i}")))
+        if is_text(df, column) and readable:
+            cells.append(F.when(c.rlike(any_shape(readable.values())), c).alias(f"c{i}"))
+            wanted += [F.count(known.parse(F.col(f"c{i}"))) for known in readable.values()]
+    row = iter(df.select(*cells).agg(*wanted).first())
     out = {}
     for column in columns:
         total = next(row)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.errors import OperationError
-from tablewright.functions.numbers import count_char, pick_decimal, to_number
+from tablewright.functions.numbers import count_char, is_number, number_chars, pick_decimal, plain_number, to_number
 from tablewright.operators.result import OpResult, is_numeric, is_text, quoted, replace_columns, require_columns, same_rows
 
 _REPORT = T.StructType(
@@ -24,21 +24,22 @@ def mark_counts(df: DataFrame, columns: list[str]) -> dict[str, dict]:
     """Per text column: non-null cells, commas, dots, and cells that convert under either decimal mark.
 
     Both outcomes are counted in the pass that also counts the marks, so the
-    choice of the mark needs no second scan.
+    choice of the mark needs no second scan. Each cell is stripped once, ahead
+    of the aggregates that look at it.
     """
+    stripped = df.select(*[number_chars(F.col(quoted(c))).alias(f"c{i}") for i, c in enumerate(columns)])
     wanted = []
-    for column in columns:
-        c = F.col(quoted(column))
+    for c in map(F.col, stripped.columns):
         wanted += [
             F.count(c),
             F.coalesce(F.sum(count_char(c, ",")), F.lit(0)),
             F.coalesce(F.sum(count_char(c, ".")), F.lit(0)),
-            F.count(to_number(c, ".")),
-            F.count(to_number(c, ",")),
+            F.count_if(is_number(plain_number(c, "."))),
+            F.count_if(is_number(plain_number(c, ","))),
         ]
     if not wanted:
         return {}
-    row = list(df.agg(*wanted).first())
+    row = list(stripped.agg(*wanted).first())
     names = ("total", "commas", "dots", ".", ",")
     return {c: dict(zip(names, row[5 * i : 5 * i + 5])) for i, c in enumerate(columns)}
 

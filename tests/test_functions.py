@@ -168,3 +168,9 @@ def test_tool_names_and_usage(spark):
     assert apply(spark, cells, payload.tool_names) == [["a", "b"], [], [], []]
     usage = ['{"prompt":3,"completion":4}', '{"prompt":3}', None]
     assert apply(spark, usage, payload.usage_total) == [7, 3, None]
+
+
+def test_number_shape_and_cast_agree(spark):
+    cells = ["1", "+1.", "-.5", ".", "1e5", "1e", "e5", "1.2.3", "--1", "1e+5", "1E-5", "", "+", "1e5.0", "00012", "1-2"]
+    shape = apply(spark, cells, lambda c: numbers.is_number(numbers.plain_number(c, ".")))
+    assert shape == [v is not None for v in apply(spark, cells, lambda c: numbers.to_number(c, "."))]
