@@ -1,11 +1,14 @@
 """Dates and times written as text."""
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.errors import OperationError
 from tablewright.functions.dates import DEFAULT_FORMATS, any_shape, date_format
+from tablewright.operators.measure import Measure, measured
 from tablewright.operators.result import OpResult, is_text, quoted, replace_columns, require_columns, same_rows
 
 _REPORT = T.StructType(
@@ -19,8 +22,8 @@ _REPORT = T.StructType(
 )
 
 
-def format_counts(df: DataFrame, columns: list[str], formats: list[str]) -> dict[str, dict]:
-    """Non-null cells, and cells each format can read, for all columns in one pass without a shuffle of rows.
+def format_counts(df: DataFrame, columns: list[str], formats: list[str]) -> Measure:
+    """Non-null cells, and cells each format can read, per column.
 
     One look at its shape settles a cell that no format can read.
     """
@@ -31,15 +34,18 @@ def format_counts(df: DataFrame, columns: list[str], formats: list[str]) -> dict
         cells.append(c.isNotNull().alias(f"some{i}"))
         wanted.append(F.count_if(F.col(f"some{i}")))
         if is_text(df, column) and readable:
-            cells.append(F.when(c.rlike(any_shape(readable.values())), c).alias(f"c{i}"))
-            wanted += [F.count(known.parse(F.col(f"c{i}"))) for known in readable.values()]
-    row = iter(df.select(*cells).agg(*wanted).first())
-    out = {}
-    for column in columns:
-        total = next(row)
-        parsed = {f: next(row) for f in readable} if is_text(df, column) else {}
-        out[column] = {"total": total, "parsed": parsed}
-    return out
+            cells.append(F.when(c.rlike(any_shape(readable.values())), c).alias(f"dated{i}"))
+            wanted += [F.count(known.parse(F.col(f"dated{i}"))) for known in readable.values()]
+
+    def read(answers: Iterator) -> dict[str, dict]:
+        out = {}
+        for column in columns:
+            total = next(answers)
+            parsed = {f: next(answers) for f in readable} if is_text(df, column) else {}
+            out[column] = {"total": total, "parsed": parsed}
+        return out
+
+    return Measure(cells, wanted, read)
 
 
 def best_format(parsed: dict[str, int]) -> str | None:
@@ -60,7 +66,8 @@ def parse_dates(df: DataFrame, columns: list[str], formats: list[str] | None = N
     formats = formats or list(DEFAULT_FORMATS)
     if not isinstance(formats, list):
         raise OperationError("'formats' must be a non-empty list")
-    counts = format_counts(df, columns, formats)
+    # All columns and formats in one pass, without a shuffle of rows.
+    (counts,) = measured(df, format_counts(df, columns, formats))
     results, parsed_columns = [], {}
     for column in columns:
         total, parsed = counts[column]["total"], counts[column]["parsed"]

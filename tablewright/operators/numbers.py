@@ -1,11 +1,14 @@
 """Numbers written as text."""
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.errors import OperationError
 from tablewright.functions.numbers import count_char, is_number, number_chars, pick_decimal, plain_number, to_number
+from tablewright.operators.measure import Measure, measured
 from tablewright.operators.result import OpResult, is_numeric, is_text, quoted, replace_columns, require_columns, same_rows
 
 _REPORT = T.StructType(
@@ -20,28 +23,30 @@ _REPORT = T.StructType(
 )
 
 
-def mark_counts(df: DataFrame, columns: list[str]) -> dict[str, dict]:
+def mark_counts(columns: dict[str, Column]) -> Measure:
     """Per text column: non-null cells, commas, dots, and cells that convert under either decimal mark.
 
     Both outcomes are counted in the pass that also counts the marks, so the
     choice of the mark needs no second scan. Each cell is stripped once, ahead
     of the aggregates that look at it.
     """
-    stripped = df.select(*[number_chars(F.col(quoted(c))).alias(f"c{i}") for i, c in enumerate(columns)])
-    wanted = []
-    for c in map(F.col, stripped.columns):
+    cells, wanted = [], []
+    for i, c in enumerate(columns.values()):
+        cells.append(number_chars(c).alias(f"kept{i}"))
+        kept = F.col(f"kept{i}")
         wanted += [
-            F.count(c),
-            F.coalesce(F.sum(count_char(c, ",")), F.lit(0)),
-            F.coalesce(F.sum(count_char(c, ".")), F.lit(0)),
-            F.count_if(is_number(plain_number(c, "."))),
-            F.count_if(is_number(plain_number(c, ","))),
+            F.count(kept),
+            F.coalesce(F.sum(count_char(kept, ",")), F.lit(0)),
+            F.coalesce(F.sum(count_char(kept, ".")), F.lit(0)),
+            F.count_if(is_number(plain_number(kept, "."))),
+            F.count_if(is_number(plain_number(kept, ","))),
         ]
-    if not wanted:
-        return {}
-    row = list(stripped.agg(*wanted).first())
-    names = ("total", "commas", "dots", ".", ",")
-    return {c: dict(zip(names, row[5 * i : 5 * i + 5])) for i, c in enumerate(columns)}
+
+    def read(answers: Iterator) -> dict[str, dict]:
+        names = ("total", "commas", "dots", ".", ",")
+        return {c: {name: next(answers) for name in names} for c in columns}
+
+    return Measure(cells, wanted, read)
 
 
 def normalize_numeric(df: DataFrame, columns: list[str], decimal: str = "auto") -> OpResult:
@@ -56,7 +61,7 @@ def normalize_numeric(df: DataFrame, columns: list[str], decimal: str = "auto")
     columns = require_columns(df, columns, "normalize_numeric")
     if decimal not in ("auto", ".", ","):
         raise OperationError("'decimal' must be 'auto', '.' or ','")
-    counts = mark_counts(df, [c for c in columns if is_text(df, c)])
+    (counts,) = measured(df, mark_counts({c: F.col(quoted(c)) for c in columns if is_text(df, c)}))
     results, converted = [], {}
     for column in columns:
         found = counts.get(column)

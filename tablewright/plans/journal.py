@@ -67,6 +67,19 @@ def current_versions(events: DataFrame, copies: DataFrame) -> DataFrame:
     )
 
 
+def position(events: DataFrame) -> DataFrame:
+    """One line about one copy: its last sequence number and the path of its current version, null for version 0."""
+    applied = F.col("event") == "applied"
+    operations = events.groupBy("op_id").agg(
+        F.max("seq").alias("last_seq"),
+        F.max(F.when(applied, F.col("seq"))).alias("seq"),
+        F.max(F.when(applied, F.col("after_path"))).alias("path"),
+        F.bool_or(~applied).alias("undone"),
+    )
+    live = F.when(~F.col("undone"), F.col("seq"))
+    return operations.agg(F.max("last_seq").alias("last_seq"), F.max_by("path", live).alias("path"))
+
+
 def undo(events: DataFrame, targets: DataFrame) -> DataFrame:
     """Operations that undoing ``targets(copy_id, op_id)`` takes back: the target and all later active ones."""
     live = active(events)

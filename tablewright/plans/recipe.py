@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.errors import OperationError
-from tablewright.operators.dates import best_format, format_counts
 from tablewright.functions.dates import DEFAULT_FORMATS
 from tablewright.functions.numbers import pick_decimal
+from tablewright.operators.dates import best_format, format_counts
+from tablewright.operators.measure import Measure, measured
 from tablewright.operators.numbers import mark_counts
 from tablewright.operators.result import OpResult, data_columns, is_text, quoted
 from tablewright.operators.text import text_report
@@ -99,28 +100,27 @@ def column_signals(
     """What the planner looks at, per column: nulls, date and number share of text, spellings.
 
     Shares refer to non-null cells. Text that mostly reads as dates or numbers
-    is taken as such, and spellings are only counted for the rest. Three
-    aggregates over the whole table, whatever the number of columns.
+    is taken as such, and spellings are only counted for the rest. One scan answers
+    all but the spellings, which take a second one.
     """
     columns = columns or data_columns(df)
     texts = [c for c in columns if is_text(df, c)]
-    totals = df.agg(F.count(F.lit(1)), *[F.count(quoted(c)) for c in columns]).first()
-    dates = format_counts(df, texts, list(DEFAULT_FORMATS)) if texts else {}
     # "c12" would convert to 12; only cells without letters speak for a column of numbers.
-    bare = [F.when(~F.col(quoted(c)).rlike(r"\p{L}"), F.col(quoted(c))).alias(c) for c in texts]
-    numbers = mark_counts(df.select(*bare), texts) if texts else {}
+    bare = {c: F.when(~F.col(quoted(c)).rlike(r"\p{L}"), F.col(quoted(c))) for c in texts}
+    rows = Measure([], [F.count(F.lit(1))], next)
+    total, dates, numbers = measured(df, rows, format_counts(df, columns, list(DEFAULT_FORMATS)), mark_counts(bare))
     out = []
-    for i, c in enumerate(columns):
-        some = totals[i + 1]
-        parsed = dates[c]["parsed"] if c in dates else {}
-        best = best_format(parsed)
+    for c in columns:
+        some = dates[c]["total"]
+        best = best_format(dates[c]["parsed"])
+        parsed = dates[c]["parsed"]
         n = numbers.get(c)
         as_number = n[pick_decimal(n["commas"], n["dots"])] if n else 0
         out.append(
             {
                 "column": c,
-                "rows": totals[0],
-                "nulls": totals[0] - some,
+                "rows": total,
+                "nulls": total - some,
                 "format": best,
                 "date_share": parsed[best] / some if best and some else 0.0,
                 "number_share": as_number / some if some else 0.0,

@@ -28,16 +28,15 @@ def with_row_id(df: DataFrame) -> DataFrame:
     """
     if ROW_ID in df.columns:
         return df
-    here = F.monotonically_increasing_id()
-    for block, row in (
-        (F.lit(0).cast("bigint"), F.col("_metadata.row_index")),
-        (F.col("_metadata.file_block_start"), here),
-    ):
-        try:
-            return df.select("*", _row_id(F.col("_metadata.file_path"), block, row))
-        except AnalysisException:
-            continue
-    return df.select("*", _row_id(F.lit(""), F.lit(0).cast("bigint"), here))
+    here, zero = F.monotonically_increasing_id(), F.lit(0).cast("bigint")
+    try:
+        file = df.select("*", _row_id(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), here))
+    except AnalysisException:
+        return df.select("*", _row_id(F.lit(""), zero, here))
+    try:
+        return df.select("*", _row_id(F.col("_metadata.file_path"), zero, F.col("_metadata.row_index")))
+    except AnalysisException:
+        return file
 
 
 def _row_id(file: Column, block: Column, row: Column) -> Column:
@@ -89,8 +88,12 @@ class WorkingCopy:
         return journal.active(self.events())
 
     def current_path(self) -> str:
-        last = self.active().agg(F.max_by("after_path", "seq")).first()[0]
-        return last or self._v0
+        return self._position()[1]
+
+    def _position(self) -> tuple[int, str]:
+        """Last sequence number and path of the current version."""
+        at = journal.position(self.events()).first()
+        return at["last_seq"] or 0, at["path"] or self._v0
 
     def versioned(self) -> DataFrame:
         """Current version with its row id."""
@@ -107,14 +110,14 @@ class WorkingCopy:
 
     def run(self, op: str, args: dict | None = None) -> OpResult:
         """Apply one operation. Inspections leave no trace; others write a version and a journal line."""
-        before_path = self.current_path()
+        last, before_path = self._position()
         before = self.spark.read.parquet(before_path)
         if not is_mutating(op):
             return apply_operation(before.drop(ROW_ID), op, args)
         result = apply_operation(before, op, args)
         after_path = f"{self.path}/after_{op}_{uuid.uuid4().hex[:8]}"
         result.frame.write.parquet(after_path)
-        after = self.spark.read.parquet(after_path)
+        after = self.spark.read.schema(result.frame.schema).parquet(after_path)
         # Counts without columns are answered from the Parquet footers.
         rows_before, rows_after = before.count(), after.count()
         line = {
@@ -129,7 +132,7 @@ class WorkingCopy:
             "columns": len(data_columns(after)),
             "summary": json.dumps(result.summary_of(rows_before, rows_after), sort_keys=True, default=str),
         }
-        self._append([line])
+        self._append([line], last)
         return result
 
     def undo(self, op_id: str) -> int:
@@ -152,12 +155,11 @@ class WorkingCopy:
             for row in operations.select("seq", "op_id", "op").orderBy("seq").collect()
         ]
         if lines:
-            self._append(lines)
+            self._append(lines, self._position()[0])
         return len(lines)
 
-    def _append(self, lines: list[dict]) -> None:
-        """Write events under the next sequence number; fails if another writer has taken it."""
-        last = self.events().agg(F.max("seq")).first()[0] or 0
+    def _append(self, lines: list[dict], last: int) -> None:
+        """Write events after number ``last``; fails if another writer has already done so."""
         now = datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
         empty = dict.fromkeys(journal.EVENTS.names)
         rows = [
