@@ -3,9 +3,6 @@
 from pyspark.sql import functions as F
 
 from suite.base import (
-    D_CUSTOMER,
-    D_ORDERS,
-    D_PART,
     WITH_CUSTOMER,
     WITH_ORDERS,
     WITH_PART,

@@ -173,7 +173,13 @@ FROM conversations WHERE role = 'user' GROUP BY conv_id""",
         redact,
         f"SELECT doc_id, {_redact_sql('text', f'({_KEYS})({WS}*[:=]{WS}*|{WS}+)' + NOT_WS[:-1] + ',;]+')} AS text FROM documents",
     ),
-    Query("redact_strict", redact_pages),
+    Query(
+        "redact_strict",
+        redact_pages,
+        f"""SELECT page_id, regexp_replace(regexp_replace(html,
+  '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])({_KEYS})({WS}*[:=]{WS}*){NOT_WS[:-1]},;]+', '\\1\\2\\3***', 'gi'),
+  '{_BEARER}', 'Bearer ***', 'gi') AS html FROM pages""",
+    ),
     Query(
         "redact_json",
         redact_payload,

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from suite.base import D_CUSTOMER, WITH_CUSTOMER, Query, d_customer, derived, table
+from suite.base import WITH_CUSTOMER, Query, d_customer, derived, table
 from tablewright.operators import inspect as look
 from tablewright.operators.dedupe import duplicate_examples, duplicate_groups, duplicate_totals
 from tablewright.operators.profile import profile, quality_brief

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.operators.frequency import Frequencies, frequencies
-from tablewright.operators.result import data_columns
+from tablewright.operators.result import data_columns, quoted
 
 TOP_VALUES = 5
 MANY_NULLS = 0.2
@@ -83,8 +83,7 @@ def approximate_profile(df: DataFrame, columns: list[str] | None = None, rsd: fl
     One pass, no shuffle of values: for a first look at very large tables.
     """
     columns = columns or data_columns(df)
-    counted = _TypedCells(df, columns)
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *counted.aggregates(rsd))
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *_estimates(df, columns, rsd))
     fields = [
         F.struct(
             F.lit(i).alias("position"),
@@ -102,24 +101,20 @@ def approximate_profile(df: DataFrame, columns: list[str] | None = None, rsd: fl
     return row.select(F.inline(F.array(*fields)))
 
 
-class _TypedCells:
-    def __init__(self, df: DataFrame, columns: list[str]):
-        self.df, self.columns = df, columns
-
-    def aggregates(self, rsd: float) -> list[Column]:
-        out = []
-        for i, name in enumerate(self.columns):
-            c, dtype = F.col("`" + name.replace("`", "``") + "`"), self.df.schema[name].dataType
-            nested = isinstance(dtype, (T.ArrayType, T.StructType, T.MapType, T.VariantType))
-            value = F.to_json(c) if nested else c
-            ranged = F.when(~F.isnan(value), value) if isinstance(dtype, (T.FloatType, T.DoubleType)) else value
-            out += [
-                F.count(c).alias(f"some{i}"),
-                F.approx_count_distinct(value, rsd).alias(f"distinct{i}"),
-                F.min(ranged).cast("string").alias(f"min{i}"),
-                F.max(ranged).cast("string").alias(f"max{i}"),
-            ]
-        return out
+def _estimates(df: DataFrame, columns: list[str], rsd: float) -> list[Column]:
+    out = []
+    for i, name in enumerate(columns):
+        c, dtype = F.col(quoted(name)), df.schema[name].dataType
+        nested = isinstance(dtype, (T.ArrayType, T.StructType, T.MapType, T.VariantType))
+        value = F.to_json(c) if nested else c
+        ranged = F.when(~F.isnan(value), value) if isinstance(dtype, (T.FloatType, T.DoubleType)) else value
+        out += [
+            F.count(c).alias(f"some{i}"),
+            F.approx_count_distinct(value, rsd).alias(f"distinct{i}"),
+            F.min(ranged).cast("string").alias(f"min{i}"),
+            F.max(ranged).cast("string").alias(f"max{i}"),
+        ]
+    return out
 
 
 def quality_brief(profiled: DataFrame, many_nulls: float = MANY_NULLS) -> DataFrame:
