@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.errors import WorkingCopyError
+from tablewright.functions.text import slug
 from tablewright.operators.inspect import head
 from tablewright.operators.result import ROW_ID, OpResult, data_columns
 from tablewright.plans import journal
@@ -17,6 +18,7 @@ from tablewright.plans.registry import apply_operation, is_mutating
 
 SAMPLE_ROWS = 25
 EXPORT_FORMATS = ("csv", "parquet")
+EXPORT_SUFFIX = "-limpio"  # fixed value
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
@@ -185,6 +187,11 @@ class WorkingCopy:
             writer.parquet(path)
         return path
 
+    def export_as(self, folder: str, dataset_name: str, fmt: str = "csv") -> str:
+        """Export under a file name made from the name of the dataset."""
+        base = self.spark.range(1).select(slug(F.lit(dataset_name))).first()[0] or "dataset"
+        return self.export(f"{folder.rstrip('/')}/{base}{EXPORT_SUFFIX}.{fmt}", fmt)
+
     def promote(self, path: str, name: str) -> DataFrame:
         """Make the current version a dataset of its own; returns its catalogue line."""
         self.export(path, "parquet")

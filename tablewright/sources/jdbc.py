@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.errors import SourceError
+from tablewright.sources.schema import schema_report
 
 CONNECT_TIMEOUT_SECONDS = 8
 FETCH_ROWS = 10_000
@@ -75,7 +76,17 @@ def jdbc_options(
     return options
 
 
-def read_table(spark: SparkSession, kind: str, config: dict, schema: str, table: str, limit: int | None = None, **split) -> DataFrame:
-    """A table; ``limit`` is pushed down as ``LIMIT`` or ``TOP``."""
+def read_table(
+    spark: SparkSession, kind: str, config: dict, schema: str, table: str, limit: int | None = None, **split
+) -> DataFrame:
+    """A table; ``limit`` is pushed down as ``LIMIT`` or ``TOP``.
+
+    A profile of a table needs no limit here; give one for a quick look.
+    """
     df = spark.read.format("jdbc").options(**jdbc_options(kind, config, schema, table, **split)).load()
     return df.limit(limit) if limit is not None else df
+
+
+def table_report(df: DataFrame) -> DataFrame:
+    """Schema report of a table, with the nullability its database declares."""
+    return schema_report(df, nullable={f.name: f.nullable for f in df.schema.fields})

@@ -27,6 +27,7 @@ _READERS: dict[str, Callable[[SparkSession, dict], DataFrame]] = {
     "csv": lambda spark, at: read_csv(spark, at["path"]),
     "parquet": lambda spark, at: read_parquet(spark, at["path"]),
     "xlsx": lambda spark, at: read_workbook(spark, at["path"], at.get("sheet")),
+    "query": lambda spark, at: spark.sql(at["sql"]),
     "postgres": _table("postgres"),
     "mssql": _table("mssql"),
     "mssql_azure": _table("mssql_azure"),
@@ -34,7 +35,9 @@ _READERS: dict[str, Callable[[SparkSession, dict], DataFrame]] = {
 
 
 def read_dataset(spark: SparkSession, kind: str, locator: dict) -> DataFrame:
-    """Open a dataset by its kind; files are located by ``path``, tables by ``config, schema, table``."""
+    """Open a dataset by its kind; files are located by ``path``, tables by ``config, schema, table``,
+    and a ``query`` is a SELECT over the views of the session.
+    """
     if kind not in _READERS:
         raise SourceError(f"unknown source kind '{kind}', use one of {', '.join(sorted(_READERS))}")
     return _READERS[kind](spark, locator)

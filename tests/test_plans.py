@@ -172,6 +172,8 @@ def test_replay_export_promote(copy, people, spark, tmp_path):
     assert back.columns == people.columns and back.count() == 3
     with pytest.raises(WorkingCopyError):
         copy.export(str(tmp_path / "x"), "xml")
+    assert copy.export_as(str(tmp_path), "Café Acmé", "parquet") == f"{tmp_path}/cafe-acme-limpio.parquet"
+    assert copy.export_as(str(tmp_path), "!!").endswith("/dataset-limpio.csv")
     line = copy.promote(str(tmp_path / "kept"), "people-clean").first()
     assert line["name"] == "people-clean" and spark.read.parquet(line["locator"]["path"]).count() == 3
 

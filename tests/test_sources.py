@@ -157,6 +157,8 @@ def test_read_dataset(spark, books, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "p"))
     assert read_dataset(spark, "parquet", {"path": str(tmp_path / "p")}).count() == 3
     assert read_dataset(spark, "xlsx", {"path": books, "sheet": "Other"}).count() == 1
+    spark.range(4).createOrReplaceTempView("four")
+    assert read_dataset(spark, "query", {"sql": "SELECT * FROM four WHERE id > 1"}).count() == 2
     with pytest.raises(SourceError):
         read_dataset(spark, "json", {"path": "x"})
 
@@ -199,4 +201,6 @@ def test_jdbc_options():
 def test_schema_report_with_known_nullability(spark):
     df = spark.createDataFrame([(1, [1, 2])], "a int, b array<int>")
     got = {r["name"]: r for r in schema_report(df, nullable={"a": False, "b": True}).collect()}
+    declared = {r["name"]: r["nullable"] for r in jdbc.table_report(spark.range(2)).collect()}
+    assert declared == {"id": False}
     assert got["b"]["nullable"] and got["b"]["sample_values"] == ["[1,2]"] and not got["a"]["nullable"]
