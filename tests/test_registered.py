@@ -13,7 +13,8 @@ def con(sf):
 
 
 def test_names_are_unique():
-    assert len(queries()) == len(ALL) and set(oracle_sql()) <= set(queries())
+    names = [q.name for q in ALL]
+    assert len(set(names)) == len(names) and set(names) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):
