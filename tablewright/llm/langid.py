@@ -3,6 +3,7 @@
 One suffix automaton per language holds labelled text. A text is parsed greedily
 into the longest phrases that the automaton contains, beginning anew after each;
 the language whose text explains it in the fewest phrases per character wins.
+Case is ignored and all that is no letter counts as a blank, runs of which count once.
 The automata are tables of transitions, so many pieces of text take a step at once.
 
 Null texts and texts without letters get ``und`` and score 0; with a single
@@ -30,9 +31,10 @@ _PIECE = 2048  # characters that one parse covers; phrases end there
 
 @dataclass(frozen=True)
 class Languages:
-    """labels; symbol of each character; next state by (language, state, symbol), negative where a phrase ends."""
+    """labels; small letter of each character; symbol of each letter; next state by (language, state, symbol), negative where a phrase ends."""
 
     labels: list[str]
+    letters: np.ndarray
     symbols: np.ndarray
     steps: np.ndarray
     roots: np.ndarray
@@ -69,16 +71,26 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
     return steps
 
 
+_BLANK = ord(" ")
+
+
 def _lowered() -> np.ndarray:
-    """Lower case of each code point of the basic plane, where that is one character."""
-    out = np.arange(0x10000, dtype=np.uint32)
+    """Lower case of each letter of the basic plane, where that is one character; a blank for all that is no letter."""
+    out = np.full(0x10000, _BLANK, np.uint32)
     for c in range(0x10000):
-        low = chr(c).lower()
-        if len(low) == 1:
-            out[c] = ord(low)
+        if chr(c).isalpha():
+            low = chr(c).lower()
+            out[c] = ord(low) if len(low) == 1 else c
     return out
 
 
+def _squeezed(points: np.ndarray) -> np.ndarray:
+    """Which places to keep so that runs of blanks become one."""
+    keep = np.ones(len(points), bool)
+    keep[1:] = (points[1:] != _BLANK) | (points[:-1] != _BLANK)
+    return keep
+
+
 def fit_languages(labelled: DataFrame, texts_per_language: int = 40, chars_per_text: int = 400) -> Languages:
     """Automata over a bounded sample: of each language the texts with the smallest hashes, cut to a few hundred characters.
 
@@ -100,16 +112,16 @@ def fit_languages(labelled: DataFrame, texts_per_language: int = 40, chars_per_t
     texts: dict[str, list[np.ndarray]] = {}
     for row in sorted(sample, key=lambda r: (r.lang, r.n)):
         points = np.frombuffer(row.text.encode("utf-32-le"), np.uint32)
-        texts.setdefault(row.lang, []).append(low[np.minimum(points, 0xFFFF)])
+        letters = low[np.minimum(points, 0xFFFF)]
+        texts.setdefault(row.lang, []).append(letters[_squeezed(letters)])
     known = np.unique(np.concatenate([t for all_texts in texts.values() for t in all_texts]))
-    symbols = np.zeros(0x10000, np.int32)  # 0: not seen in any labelled text
-    symbols[known] = np.arange(1, len(known) + 1)
-    symbols = symbols[low]
+    number = np.zeros(0x10000, np.int32)  # 0: not seen in any labelled text
+    number[known] = np.arange(1, len(known) + 1)
     width = len(known) + 1
     tables, roots = [], []
     at = 0
     for label in texts:
-        steps = suffix_automaton([int(c) for t in texts[label] for c in symbols[t]])
+        steps = suffix_automaton([int(c) for t in texts[label] for c in number[t]])
         table = np.full((len(steps), width), -1, np.int32)
         for state, out in enumerate(steps):
             table[state, list(out)] = list(out.values())
@@ -121,7 +133,7 @@ def fit_languages(labelled: DataFrame, texts_per_language: int = 40, chars_per_t
         at += len(steps)
         if at * width >= 2**31:
             raise OperationError("too much labelled text; lower texts_per_language or chars_per_text")
-    return Languages(list(texts), symbols, np.concatenate(tables).ravel(), np.array(roots, np.int32), width)
+    return Languages(list(texts), low, number, np.concatenate(tables).ravel(), np.array(roots, np.int32), width)
 
 
 def phrases(model: Languages, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -151,12 +163,16 @@ def identify_languages(
     def measure(chunk: Chunk) -> dict:
         model = shared.value
         labels = np.array(model.labels, object)
-        # Byte offsets to character offsets, then pieces of at most _PIECE characters.
-        chars = np.zeros(len(chunk.data) + 1, np.int64)
-        np.cumsum((chunk.data & 0xC0) != 0x80, out=chars[1:])
-        offsets = chars[chunk.offsets]
         points = np.frombuffer(chunk.data.tobytes().decode().encode("utf-32-le"), np.uint32)
-        symbols = model.symbols[np.minimum(points, 0xFFFF)]
+        letters = model.letters[np.minimum(points, 0xFFFF)]
+        keep = _squeezed(letters)
+        symbols = model.symbols[letters[keep]]
+        # Byte offsets to offsets among the kept characters, then pieces of at most _PIECE of them.
+        first = (chunk.data & 0xC0) != 0x80
+        kept = np.zeros(len(first) + 1, np.int64)
+        first[first] = keep
+        np.cumsum(first, out=kept[1:])
+        offsets = kept[chunk.offsets]
         n = np.diff(offsets)
         pieces = -(-n // _PIECE)
         rows = np.repeat(np.arange(len(chunk)), pieces)
@@ -167,12 +183,12 @@ def identify_languages(
         lowest = rates.min(axis=0)
         second = np.partition(rates, 1, axis=0)[1] if len(labels) > 1 else np.full(len(chunk), np.inf)
         texts = chunk.rows.column(column).fill_null("")
-        letters = pc.match_substring_regex(texts, r"\pL").to_numpy(zero_copy_only=False)
+        lettered = pc.match_substring_regex(texts, r"\pL").to_numpy(zero_copy_only=False)
         with np.errstate(divide="ignore", invalid="ignore"):
             score = np.where(second > 0, 1 - lowest / second, 0.0)
         return {
-            "lang_pred": pa.array(np.where(letters, labels[rates.argmin(axis=0)], "und"), pa.string()),
-            "score": np.where(letters, np.clip(score, 0, 1), 0.0),
+            "lang_pred": pa.array(np.where(lettered, labels[rates.argmin(axis=0)], "und"), pa.string()),
+            "score": np.where(lettered, np.clip(score, 0, 1), 0.0),
             "phrases_per_char": lowest,
         }
 
