@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import langid, quality, repetition
+from tablewright.llm import langid, packing, quality, rans, repetition
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,27 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenized_pieces(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 1, 4096)
+    return packing.pack(pieces, max_tokens=4096)
+
+
 def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge_repetition(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    files, table = rans.write_archive(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2, vocabulary=50257)
+    return rans.read_archive(files, table, vocabulary=50257)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit_quality(docs, _table(spark, sf_dir, "labels").where(_fold(5) != 0))
@@ -40,6 +57,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_langid, op4_repetition, op10_quality)
+    f.__name__: f for f in (op1_langid, op2_pack, op4_repetition, op8_rans, op10_quality)
 }
 ORACLE_SQL: dict[str, str] = {}
