@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import langid, packing, quality, rans, repetition
+from tablewright.llm import langid, packing, quality, rans, repetition, secret_scan, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,23 @@ def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge_repetition(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2(secret_scan.span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.span_list(F.col("spans")).alias("spans"),
+    )
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_warc(warc.write_warc(_table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     files, table = rans.write_archive(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2, vocabulary=50257)
@@ -57,6 +74,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_langid, op2_pack, op4_repetition, op8_rans, op10_quality)
+    f.__name__: f for f in (op1_langid, op2_pack, op4_repetition, op6_secrets, op7_warc, op8_rans, op10_quality)
 }
 ORACLE_SQL: dict[str, str] = {}
