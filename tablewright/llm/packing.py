@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 
 from tablewright.errors import OperationError
 from tablewright.llm.chunks import chunks
-from tablewright.llm.tokens import TOKEN_CHUNK, Encoder
+from tablewright.llm.tokens import TOKEN_CHUNK, encoder
 from tablewright.scratch import written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -40,9 +40,9 @@ def tokenized_pieces(
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        tokens = encoder(tokenizer)
         for chunk in chunks(batches, column, TOKEN_CHUNK):
-            ids, offsets = encoder.encode_chunk(chunk, end_id)
+            ids, offsets = tokens.encode_chunk(chunk, end_id)
             ids = ids.astype("<u4")
             n = np.diff(offsets)
             pieces = -(-n // size)
