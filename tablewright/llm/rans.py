@@ -1,7 +1,7 @@
 """Token ids in binary files, coded by a static range asymmetric numeral system.
 
 All files share one table of token frequencies, counted over the whole corpus and
-scaled to 2**20. A file is a sequence of independent blocks. In a block, 1024
+scaled to 2**20. A file is a sequence of independent blocks. In a block, 4096
 lanes take one id each in turn; each lane has a 64-bit state, and states give off 32 bits at a
 time to one stream. The index of a file holds, for every block, its
 first id, its place and its checksum, so blocks can be decoded apart and from any block on.
@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.chunks import binary, chunks
-from tablewright.llm.tokens import TOKEN_CHUNK, Encoder
+from tablewright.llm.tokens import TOKEN_CHUNK, encoder
 from tablewright.scratch import written
 
 MAGIC = b"TWR1"
 HEADER = "<4sIIQQQ"
 SCALE_BITS = 20
-LANES = 1024
-BLOCK = 1 << 18
+LANES = 4096
+BLOCK = 1 << 20
 _U = np.uint64
 _LOW = _U(1 << 31)
 _BITS, _MASK = _U(SCALE_BITS), _U((1 << SCALE_BITS) - 1)
@@ -186,7 +186,7 @@ def write_archive(
             yield pa.RecordBatch.from_pydict({"range": at.astype(np.int32), "doc_id": keys, "packed": pa.array(texts, pa.binary())})
 
     def tokenized(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, squeeze, open_ = Encoder(tokenizer), zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        tokens, squeeze, open_ = encoder(tokenizer), zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         counts = np.zeros(vocabulary, np.int64)
         names = ["file_no", "doc_ids", "is_null", "counts", "ids", "frequencies"]
         seen: dict[int, int] = {}
@@ -196,7 +196,7 @@ def write_archive(
             data = np.frombuffer(b"".join(texts), np.uint8)
             offsets = np.zeros(len(texts) + 1, np.int64)
             np.cumsum([len(x) for x in texts], out=offsets[1:])
-            ids, at = encoder.encode(data, offsets)
+            ids, at = tokens.encode(data, offsets)
             ids, at = np.insert(ids, at[1:], np.uint32(end_id)), at + np.arange(len(at))
             counts[:] += np.bincount(ids, minlength=vocabulary)
             number = (span << 24) + seen.get(span, 0)
