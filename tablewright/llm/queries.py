@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import langid, packing, quality, rans, repetition, secret_scan, warc
+from tablewright.llm import decontaminate, langid, packing, quality, rans, repetition, secret_scan, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,11 @@ def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_archive(files, table, vocabulary=50257)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return decontaminate.find_contamination(docs.select("doc_id", "text"), items)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit_quality(docs, _table(spark, sf_dir, "labels").where(_fold(5) != 0))
@@ -74,6 +79,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_langid, op2_pack, op4_repetition, op6_secrets, op7_warc, op8_rans, op10_quality)
+    f.__name__: f for f in (op1_langid, op2_pack, op4_repetition, op6_secrets, op7_warc, op8_rans, op9_decontaminate, op10_quality)
 }
 ORACLE_SQL: dict[str, str] = {}
