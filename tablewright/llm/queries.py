@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontaminate, langid, packing, quality, rans, repetition, secret_scan, warc
+from tablewright.llm import decontaminate, jaccard, langid, packing, quality, rans, repetition, secret_scan, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, max_tokens=4096)
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge_repetition(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -79,6 +83,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_langid, op2_pack, op4_repetition, op6_secrets, op7_warc, op8_rans, op9_decontaminate, op10_quality)
+    f.__name__: f for f in (op1_langid, op2_pack, op3_jaccard, op4_repetition, op6_secrets, op7_warc, op8_rans, op9_decontaminate, op10_quality)
 }
 ORACLE_SQL: dict[str, str] = {}
