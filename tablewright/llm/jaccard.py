@@ -11,11 +11,13 @@ each shingle as a signature besides. A set also takes part in the band above if
 can be similar to it. No similar pair is lost.
 
 Signatures are sent as packed blocks of buckets, one entry for each set of equal shingles in a
-task. Signatures of few sets give all pairs of them. Those of many sets
-only matter to sets whose slack does not exceed the number of such signatures they have:
-all others meet their partners elsewhere. Among the rest each signature is compared with its smallest set, and
-after components are known, sets outside the component of the smallest with all others of the signature.
-Every candidate pair is verified on the texts.
+task. Similar sets share as many signatures as the slack of either says. Signatures of few sets
+give pairs with the number of signatures they share; a pair is a candidate if that number and the
+signatures of many sets, which are not paired, can reach the slack of both. Signatures of many
+sets thus only matter to sets that have as many of them as their slack. Those are compared with the smallest
+set of each such signature, and once components are known, those outside the
+component of the smallest are a query set that runs against all of those sets, in blocks of bounded size.
+Texts decide on every candidate, so the result is exact.
 
 Null and empty texts have empty sets and link with nothing. Documents with equal
 sets, repeated rows among them, are one class and are compared once. Rows with a null
@@ -28,11 +30,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.chunks import Chunk, appended, binary, chunks, mix
 from tablewright.llm.components import connected_components
+from tablewright.llm.tokens import ragged
 from tablewright.scratch import written
 
 _U = np.uint64
@@ -40,6 +44,8 @@ SMALLEST_BAND = 24  # smaller sets have their shingles as signatures
 SINGLES = 31  # the level of those
 FEW = 8  # sets of a signature that are all compared with each other
 _FLUSH = 1 << 21
+_PAIRS = 512  # verified together
+_QUERY_SHINGLES = 1 << 21  # of the sets that are compared with all others at once
 _LEVEL_BITS, _KEY_BITS, _OWNER_BITS = 5, 40, 40
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -128,7 +134,7 @@ def _unpack(data: list[bytes], width: int) -> np.ndarray:
 
 
 _BLOCKS = pa.schema([("bucket", pa.int32()), ("many", pa.bool_()), ("keys", pa.binary()), ("owners", pa.binary())])
-_FOUND = pa.schema([("many", pa.bool_()), ("a", pa.int64()), ("b", pa.int64())])
+_FOUND = pa.schema([("many", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
 def _rank(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,12 +196,13 @@ def _blocks(docs: DataFrame, size: int, per_cent: int, bucket_bits: int, column:
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Of one bucket: pairs of sets (a < b) that share a signature of few sets; (signature, set) for the others."""
+    """Of one bucket: pairs of sets (a < b) with the number of signatures of few sets they share; (signature, set) for the others."""
     bucket = table.column("bucket")[0].as_py()
     keys, owners = table.column("keys").to_pylist(), _unpack(table.column("owners").to_pylist(), 5)
     if bucket < 0:
         key = _unpack(keys, 8)
-        return pa.table([pa.array(np.ones(len(key), bool)), pa.array(key.view(np.int64)), pa.array(owners.view(np.int64))], schema=_FOUND)
+        ones = np.ones(len(key), np.int64)
+        return pa.table([pa.array(ones > 0), pa.array(key.view(np.int64)), pa.array(owners.view(np.int64)), pa.array(ones)], schema=_FOUND)
     key = _unpack(keys, 5) | (_U(bucket) << _U(_KEY_BITS))
     order = np.lexsort((owners, key))
     key, owner = key[order], owners[order]
@@ -208,11 +215,17 @@ def _meet(table: pa.Table) -> pa.Table:
     for step in range(1, FEW):
         ahead = np.flatnonzero(~many & (place + step < count))
         pairs.append(np.stack([owner[ahead], owner[ahead + step]], axis=1))
-    pairs = np.unique(np.concatenate(pairs), axis=0).view(np.int64).reshape(-1, 2)
+    one, two = np.concatenate(pairs).T
+    order = np.lexsort((two, one))
+    one, two = one[order], two[order]
+    begin = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))[: len(one)])
+    shared = np.diff(np.append(begin, len(one)))
+    pairs = np.stack([one[begin], two[begin]], axis=1).view(np.int64)
     flags = np.append(np.zeros(len(pairs), bool), np.ones(int(many.sum()), bool))
     a = np.append(pairs[:, 0], key[many].view(np.int64))
     b = np.append(pairs[:, 1], owner[many].view(np.int64))
-    return pa.table([pa.array(flags), pa.array(a), pa.array(b)], schema=_FOUND)
+    n = np.append(shared, np.ones(int(many.sum()), np.int64))
+    return pa.table([pa.array(flags), pa.array(a), pa.array(b), pa.array(n)], schema=_FOUND)
 
 
 def _described(docs: DataFrame, size: int, per_cent: int, column: str) -> DataFrame:
@@ -247,42 +260,87 @@ def _texts(docs: DataFrame, column: str) -> DataFrame:
     return docs.select("doc_id", column).mapInArrow(run, "doc_id long, packed binary")
 
 
+def _sets(packed: dict[int, pa.Scalar], size: int) -> dict[int, np.ndarray | None]:
+    """Shingles of packed texts by digest; none where another text stands under a repeated id."""
+    open_ = zstandard.ZstdDecompressor()
+    digests = list(packed)
+    texts = [open_.decompress(packed[d].as_py()) for d in digests]
+    offsets = np.append(0, np.cumsum([len(x) for x in texts]))
+    sets = Shingles(Chunk(None, np.frombuffer(b"".join(texts), np.uint8), offsets), size)
+    real = sets.digests.view(np.int64).tolist()
+    return {
+        d: sets.hashes[sets.offsets[i] : sets.offsets[i + 1]] if real[i] == d else None for i, d in enumerate(digests)
+    }
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, per_cent: int) -> DataFrame:
     """Of ``pairs`` (a, b: digests) those that are similar, as (a, b, similar) rows; texts decide."""
     left = texts.select(F.col("digest").alias("a"), F.col("packed").alias("text_a"))
     right = texts.select(F.col("digest").alias("b"), F.col("packed").alias("text_b"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = zstandard.ZstdDecompressor()
-        kept: dict[int, np.ndarray] = {}
-
-        def shingles(digest: int, packed: bytes) -> np.ndarray | None:
-            if digest not in kept:
-                if len(kept) >= 512:
-                    kept.clear()
-                data = np.frombuffer(open_.decompress(packed), np.uint8)
-                sets = Shingles(Chunk(None, data, np.array([0, len(data)])), size)
-                # Another text may stand under a repeated id.
-                kept[digest] = sets.hashes if int(sets.digests.view(np.int64)[0]) == digest else None
-            return kept[digest]
-
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            ta, tb = batch.column("text_a"), batch.column("text_b")
-            ok = []
-            for i, (x, y) in enumerate(zip(a, b, strict=True)):
-                one, two = shingles(x, ta[i].as_py()), shingles(y, tb[i].as_py())
-                if one is None or two is None:
-                    ok.append(None)
-                    continue
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                ok.append(100 * common >= per_cent * (len(one) + len(two) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "similar"])
+            for part in (batch.slice(i, _PAIRS) for i in range(0, batch.num_rows, _PAIRS)):
+                a, b = part.column("a").to_numpy(), part.column("b").to_numpy()
+                packed = dict(zip(a.tolist(), part.column("text_a"), strict=True)) | dict(zip(b.tolist(), part.column("text_b"), strict=True))
+                sets = _sets(packed, size)
+                ok = []
+                for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                    one, two = sets[x], sets[y]
+                    if one is None or two is None:
+                        ok.append(None)
+                        continue
+                    both = np.concatenate([one, two])
+                    both.sort(kind="stable")
+                    common = int(np.count_nonzero(both[1:] == both[:-1]))
+                    ok.append(100 * common >= per_cent * (len(both) - common))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "similar"])
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return written(joined.mapInArrow(run, "a long, b long, similar boolean").where("similar is not null"))
 
 
+def _against_all(queries: DataFrame, sets: DataFrame, size: int, per_cent: int) -> DataFrame | None:
+    """Links (a, b) between ``queries`` and ``sets`` (both a, mine, packed) of other components, one for each set and component.
+
+    The queries are broadcast in blocks of a bounded number of shingles.
+    """
+    blocks = -(-(queries.agg(F.sum("na")).first()[0] or 0) // _QUERY_SHINGLES)
+    out = None
+    for block in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("a"), F.lit(blocks)) == block).select("a", "mine", "packed").collect()
+        held = {d: x for d, x in _sets({r.a: pa.scalar(r.packed) for r in part}, size).items() if x is not None}
+        mine = {r.a: r.mine for r in part}
+        ids = np.array(list(held), np.int64)
+        sizes = np.array([len(x) for x in held.values()], np.int64)
+        hashes, owner = np.concatenate([*held.values(), np.zeros(0, _U)]), np.repeat(np.arange(len(ids)), sizes)
+        order = np.argsort(hashes, kind="stable")
+        index = (ids, np.array([mine[d] for d in ids.tolist()], np.int64), sizes, hashes[order], owner[order])
+        shared = queries.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterable[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            ids, mine, sizes, hashes, owner = shared.value
+            for batch in batches:
+                for part in (batch.slice(i, _PAIRS) for i in range(0, batch.num_rows, _PAIRS)):
+                    a, own = part.column("a").to_pylist(), part.column("mine").to_pylist()
+                    found = _sets(dict(zip(a, part.column("packed"), strict=True)), size)
+                    links = []
+                    for digest, component in zip(a, own, strict=True):
+                        here = found[digest]
+                        if here is None:
+                            continue
+                        low, high = np.searchsorted(hashes, here, "left"), np.searchsorted(hashes, here, "right")
+                        common = np.bincount(owner[ragged(low, high - low)], minlength=len(ids))
+                        close = (100 * common >= per_cent * (sizes + len(here) - common)) & (mine != component)
+                        _, first = np.unique(mine[close], return_index=True)
+                        links += [(min(digest, x), max(digest, x)) for x in ids[close][first].tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        here = sets.mapInArrow(run, "a long, b long")
+        out = here if out is None else out.union(here)
+    return None if out is None else written(out.distinct())
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, per_cent: int = 75, column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id: the smallest id reachable by links) for each document.
 
@@ -296,7 +354,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, per_cent: int = 75, colum
     def meet(table: pa.Table) -> pa.Table:
         return _meet(table)
 
-    met = written(blocks.groupBy("bucket").applyInArrow(meet, "many boolean, a long, b long"))
+    met = written(blocks.groupBy("bucket").applyInArrow(meet, "many boolean, a long, b long, n long"))
 
     # One row for each class of equal sets; a handle is the part of the digest that blocks carry.
     classes = (
@@ -310,39 +368,41 @@ def jaccard_components(docs: DataFrame, size: int = 5, per_cent: int = 75, colum
     two = classes.select(F.col("handle").alias("hb"), F.col("digest").alias("b"), F.col("n").alias("nb"))
     alike = (F.col("na") * 100 >= F.col("nb") * per_cent) & (F.col("nb") * 100 >= F.col("na") * per_cent)
 
-    few = met.where("not many").select(F.col("a").alias("ha"), F.col("b").alias("hb")).distinct()
-    few = few.join(one, "ha").join(two, "hb").where(alike & (F.col("a") != F.col("b")))
-    # Signatures of many sets, for the sets that cannot do without them.
     level = F.col("sig").bitwiseAND((1 << _LEVEL_BITS) - 1).cast("int")
     many = met.where("many").select(F.col("a").alias("sig"), F.col("b").alias("ha")).distinct()
     many = many.join(one, "ha").select("sig", level.alias("level"), "a", "na")
     slack = classes.select(F.col("digest").alias("a"), F.explode("slacks").alias("s")).select("a", "s.level", "s.slack")
-    needy = many.groupBy("a", "level").agg(F.count("*").alias("have")).join(slack, ["a", "level"]).where("have >= slack")
-    bound = written(many.join(needy.select("a", "level"), ["a", "level"]).select("sig", "a", "na"))
+    have = many.groupBy("a", "level").agg(F.count("*").alias("have"))
+    slack = written(slack.join(have, ["a", "level"], "left").withColumn("have", F.coalesce("have", F.lit(0))))
+    need = slack.groupBy("a").agg(F.min(F.col("slack") - F.col("have")).alias("need"))
+
+    few = met.where("not many").groupBy(F.col("a").alias("ha"), F.col("b").alias("hb")).agg(F.sum("n").alias("n"))
+    few = few.join(one, "ha").join(need, "a").where("n >= need").drop("need")
+    few = few.join(two, "hb").join(need.withColumnRenamed("a", "b"), "b").where("n >= need")
+    few = few.where(alike & (F.col("a") != F.col("b")))
+
+    # Signatures of many sets, for the sets that cannot do without them.
+    bound = written(many.join(slack.where("have >= slack").select("a", "level"), ["a", "level"]).select("sig", "a", "na"))
     centres = bound.groupBy("sig").agg(F.min(F.struct("a", "na")).alias("c")).select("sig", F.col("c.a").alias("b"), F.col("c.na").alias("nb"))
     stars = bound.join(centres, "sig").where(alike & (F.col("a") != F.col("b")))
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     pairs = written(few.select(*ordered).union(stars.select(*ordered)).distinct())
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
-        wanted = wanted.join(classes.select("digest", "rep"), "digest").select("digest", F.col("rep").alias("doc_id"))
-        return written(_texts(docs, column).join(wanted, "doc_id").select("digest", "packed"))
-
-    checked = _verified(pairs, texts_of(pairs), size, per_cent)
-    links = checked.where("similar").select("a", "b")
+    wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).union(bound.select(F.col("a").alias("digest")))
+    wanted = wanted.distinct().join(classes.select("digest", "rep"), "digest").select("digest", F.col("rep").alias("doc_id"))
+    texts = written(_texts(docs, column).join(wanted, "doc_id").select("digest", "packed"))
+    links = _verified(pairs, texts, size, per_cent).where("similar").select("a", "b")
     components = connected_components(links)
 
     # Sets that share a signature of many with its smallest set, but are in another component.
     own = components.select(F.col("node").alias("a"), F.col("component").alias("mine"))
     placed = bound.join(own, "a", "left").withColumn("mine", F.coalesce("mine", "a"))
     main = placed.join(centres.select("sig", F.col("b").alias("a")), ["sig", "a"]).select("sig", F.col("mine").alias("main"))
-    apart = placed.join(main, "sig").where("mine <> main").select("sig", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("mine").alias("other"))
-    rest = placed.join(apart, "sig").where(alike & (F.col("mine") != F.col("other"))).select(*ordered).distinct()
-    rest = written(rest.join(pairs, ["a", "b"], "left_anti"))
-    if rest.take(1):
-        more = _verified(rest, texts_of(rest), size, per_cent)
-        links = links.union(more.where("similar").select("a", "b"))
+    apart = written(placed.join(main, "sig").where("mine <> main").select("a", "na", "mine").distinct())
+    held = placed.select("a", "mine").distinct().join(texts.withColumnRenamed("digest", "a"), "a")
+    more = _against_all(apart.join(texts.withColumnRenamed("digest", "a"), "a"), written(held), size, per_cent)
+    if more is not None:
+        links = links.union(more)
         components = connected_components(links)
 
     grouped = classes.join(components.select(F.col("node").alias("digest"), "component"), "digest", "left")
