@@ -10,6 +10,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
@@ -188,3 +189,15 @@ def appended(
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *new.names])
 
     return used.mapInArrow(run, schema)
+
+
+def packed_texts(docs: DataFrame, column: str) -> DataFrame:
+    """(doc_id, packed): the texts compressed, for shuffles."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            packed = [squeeze.compress(x) for x in binary(batch.column(column)).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "packed": pa.array(packed, pa.binary())})
+
+    return docs.select("doc_id", column).mapInArrow(run, "doc_id long, packed binary")

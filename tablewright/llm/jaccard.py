@@ -34,19 +34,17 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.chunks import Chunk, appended, binary, chunks, mix
+from tablewright.llm.chunks import Chunk, appended, mix, packed_texts
 from tablewright.llm.components import connected_components
+from tablewright.llm.postings import FEW, LABEL_BITS, OWNER_BITS, blocks, bucket_bits, gathered, runs
 from tablewright.llm.tokens import ragged
 from tablewright.scratch import written
 
 _U = np.uint64
 SMALLEST_BAND = 24  # smaller sets have their shingles as signatures
 SINGLES = 31  # the level of those
-FEW = 8  # sets of a signature that are all compared with each other
-_FLUSH = 1 << 21
 _PAIRS = 512  # verified together
 _QUERY_SHINGLES = 1 << 21  # of the sets that are compared with all others at once
-_LEVEL_BITS, _KEY_BITS, _OWNER_BITS = 5, 40, 40
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -109,107 +107,29 @@ def signatures(sets: Shingles, per_cent: int) -> tuple[np.ndarray, np.ndarray, l
             first[1:] = (rows[1:] != rows[:-1]) | (part[1:] != part[:-1])
             begin = np.flatnonzero(first)
             value = mix(np.add.reduceat(sets.mixed[at], begin) + part[begin] * _U(0x9E3779B97F4A7C15) + _U(level))
-            found.append((value >> _U(_LEVEL_BITS) << _U(_LEVEL_BITS)) | _U(level))
+            found.append((value >> _U(LABEL_BITS) << _U(LABEL_BITS)) | _U(level))
             owners.append(rows[begin])
             slack = np.bincount(owners[-1], minlength=len(sets.sizes))[here] - differ
             slacks.append((level, here, slack))
             alone[here[slack <= 0]] = True
         single = alone[sets.rows]
-        found.append((sets.mixed[single] >> _U(_LEVEL_BITS) << _U(_LEVEL_BITS)) | _U(SINGLES))
+        found.append((sets.mixed[single] >> _U(LABEL_BITS) << _U(LABEL_BITS)) | _U(SINGLES))
         owners.append(sets.rows[single])
         here = np.flatnonzero(alone & (sets.sizes > 0))
         slacks.append((SINGLES, here, -(-sets.sizes[here] * per_cent // 100)))
     return np.concatenate(found), np.concatenate(owners), slacks
 
 
-def _pack(values: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-
-
-def _unpack(data: list[bytes], width: int) -> np.ndarray:
-    raw = np.frombuffer(b"".join(data), np.uint8).reshape(-1, width)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :width] = raw
-    return out.reshape(-1).view("<u8").astype(_U)
-
-
-_BLOCKS = pa.schema([("bucket", pa.int32()), ("many", pa.bool_()), ("keys", pa.binary()), ("owners", pa.binary())])
 _FOUND = pa.schema([("many", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
-def _rank(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted keys: place in the run of equal ones, and length of that run."""
-    first = np.ones(len(keys), bool)
-    first[1:] = keys[1:] != keys[:-1]
-    begin = np.flatnonzero(first)
-    count = np.diff(np.append(begin, len(keys)))
-    return np.arange(len(keys)) - np.repeat(begin, count), np.repeat(count, count)
-
-
-def _blocks(docs: DataFrame, size: int, per_cent: int, bucket_bits: int, column: str) -> DataFrame:
-    """Signatures in blocks: 40 bits of each and the handle of its set, by bucket."""
-
-    def flush(keys: list[np.ndarray], owners: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, owner = np.concatenate(keys), np.concatenate(owners)
-        order = np.lexsort((owner, key))
-        key, owner = key[order], owner[order]
-        place, _ = _rank(key)
-        over = place > FEW
-        rows = []
-        if over.any():  # enough stay to tell that they are many; the rest need not meet in one task
-            spread = -1 - int(key[over][0] % _U(1 << bucket_bits))
-            rows.append((spread, True, _pack(key[over], 8), _pack(owner[over], 5)))
-            key, owner = key[~over], owner[~over]
-        bucket = (key >> _U(_KEY_BITS)).astype(np.int64)
-        edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(key))
-        rows += [(int(bucket[a]), False, _pack(key[a:b], 5), _pack(owner[a:b], 5)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        yield pa.RecordBatch.from_pylist([dict(zip(_BLOCKS.names, r, strict=True)) for r in rows], schema=_BLOCKS)
-
-    # bucket_bits above the 40 of the key, the level in the lowest bits
-    drop = _U(64 - _KEY_BITS - bucket_bits)
-    level_mask = _U((1 << _LEVEL_BITS) - 1)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # classes of this task
-        keys, owners, held = [], [], 0
-        for chunk in chunks(batches, column):
-            sets = Shingles(chunk, size)
-            value, rows, _ = signatures(sets, per_cent)
-            fresh = np.zeros(len(chunk), bool)
-            for i, d in enumerate(sets.digests.tolist()):
-                if d not in seen:
-                    seen.add(d)
-                    fresh[i] = True
-            use = fresh[rows]
-            value, rows = value[use], rows[use]
-            if len(value):
-                keys.append((((value >> drop) & ~level_mask) | (value & level_mask)) if drop else value)
-                owners.append(sets.digests[rows] & _U((1 << _OWNER_BITS) - 1))
-                held += len(value)
-            if held > _FLUSH:
-                yield from flush(keys, owners)
-                keys, owners, held = [], [], 0
-        if held:
-            yield from flush(keys, owners)
-
-    return docs.select(column).mapInArrow(run, "bucket int, many boolean, keys binary, owners binary")
-
-
 def _meet(table: pa.Table) -> pa.Table:
     """Of one bucket: pairs of sets (a < b) with the number of signatures of few sets they share; (signature, set) for the others."""
-    bucket = table.column("bucket")[0].as_py()
-    keys, owners = table.column("keys").to_pylist(), _unpack(table.column("owners").to_pylist(), 5)
-    if bucket < 0:
-        key = _unpack(keys, 8)
+    known, key, owner = gathered(table)
+    if known:
         ones = np.ones(len(key), np.int64)
-        return pa.table([pa.array(ones > 0), pa.array(key.view(np.int64)), pa.array(owners.view(np.int64)), pa.array(ones)], schema=_FOUND)
-    key = _unpack(keys, 5) | (_U(bucket) << _U(_KEY_BITS))
-    order = np.lexsort((owners, key))
-    key, owner = key[order], owners[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-    key, owner = key[new], owner[new]
-    place, count = _rank(key)
+        return pa.table([pa.array(ones > 0), pa.array(key.view(np.int64)), pa.array(owner.view(np.int64)), pa.array(ones)], schema=_FOUND)
+    place, count = runs(key)
     many = count > FEW
     pairs = []
     for step in range(1, FEW):
@@ -250,16 +170,6 @@ def _described(docs: DataFrame, size: int, per_cent: int, column: str) -> DataFr
     return appended(docs, fields, measure, ["doc_id"], column)
 
 
-def _texts(docs: DataFrame, column: str) -> DataFrame:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            packed = [squeeze.compress(x) for x in binary(batch.column(column)).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "packed": pa.array(packed, pa.binary())})
-
-    return docs.select("doc_id", column).mapInArrow(run, "doc_id long, packed binary")
-
-
 def _sets(packed: dict[int, pa.Scalar], size: int) -> dict[int, np.ndarray | None]:
     """Shingles of packed texts by digest; none where another text stands under a repeated id."""
     open_ = zstandard.ZstdDecompressor()
@@ -305,10 +215,10 @@ def _against_all(queries: DataFrame, sets: DataFrame, size: int, per_cent: int)
 
     The queries are broadcast in blocks of a bounded number of shingles.
     """
-    blocks = -(-(queries.agg(F.sum("na")).first()[0] or 0) // _QUERY_SHINGLES)
+    n_blocks = -(-(queries.agg(F.sum("na")).first()[0] or 0) // _QUERY_SHINGLES)
     out = None
-    for block in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("a"), F.lit(blocks)) == block).select("a", "mine", "packed").collect()
+    for block in range(n_blocks):
+        part = queries.where(F.pmod(F.xxhash64("a"), F.lit(n_blocks)) == block).select("a", "mine", "packed").collect()
         held = {d: x for d, x in _sets({r.a: pa.scalar(r.packed) for r in part}, size).items() if x is not None}
         mine = {r.a: r.mine for r in part}
         ids = np.array(list(held), np.int64)
@@ -347,28 +257,29 @@ def jaccard_components(docs: DataFrame, size: int = 5, per_cent: int = 75, colum
     Documents link if 100 times their common shingles reach ``per_cent`` times the shingles of both.
     """
     described = written(_described(docs, size, per_cent, column))
-    total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    bucket_bits = min(20, max(6, int(total // (10 << 18)).bit_length()))  # about 2**18 signatures in a bucket
-    blocks = _blocks(docs, size, per_cent, bucket_bits, column)
+
+    def produce(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sets = Shingles(chunk, size)
+        return *signatures(sets, per_cent)[:2], sets.digests
 
     def meet(table: pa.Table) -> pa.Table:
         return _meet(table)
 
-    met = written(blocks.groupBy("bucket").applyInArrow(meet, "many boolean, a long, b long, n long"))
+    met = written(blocks(docs, column, bucket_bits(docs, column, 10), produce).groupBy("bucket").applyInArrow(meet, "many boolean, a long, b long, n long"))
 
     # One row for each class of equal sets; a handle is the part of the digest that blocks carry.
     classes = (
         described.where("digest is not null")
         .groupBy("digest")
         .agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("slacks").alias("slacks"))
-        .withColumn("handle", F.col("digest").bitwiseAND((1 << _OWNER_BITS) - 1))
+        .withColumn("handle", F.col("digest").bitwiseAND((1 << OWNER_BITS) - 1))
     )
     classes = written(classes)
     one = classes.select(F.col("handle").alias("ha"), F.col("digest").alias("a"), F.col("n").alias("na"))
     two = classes.select(F.col("handle").alias("hb"), F.col("digest").alias("b"), F.col("n").alias("nb"))
     alike = (F.col("na") * 100 >= F.col("nb") * per_cent) & (F.col("nb") * 100 >= F.col("na") * per_cent)
 
-    level = F.col("sig").bitwiseAND((1 << _LEVEL_BITS) - 1).cast("int")
+    level = F.col("sig").bitwiseAND((1 << LABEL_BITS) - 1).cast("int")
     many = met.where("many").select(F.col("a").alias("sig"), F.col("b").alias("ha")).distinct()
     many = many.join(one, "ha").select("sig", level.alias("level"), "a", "na")
     slack = classes.select(F.col("digest").alias("a"), F.explode("slacks").alias("s")).select("a", "s.level", "s.slack")
@@ -390,7 +301,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, per_cent: int = 75, colum
 
     wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).union(bound.select(F.col("a").alias("digest")))
     wanted = wanted.distinct().join(classes.select("digest", "rep"), "digest").select("digest", F.col("rep").alias("doc_id"))
-    texts = written(_texts(docs, column).join(wanted, "doc_id").select("digest", "packed"))
+    texts = written(packed_texts(docs, column).join(wanted, "doc_id").select("digest", "packed"))
     links = _verified(pairs, texts, size, per_cent).where("similar").select("a", "b")
     components = connected_components(links)
 

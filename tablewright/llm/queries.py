@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontaminate, jaccard, langid, packing, quality, rans, repetition, secret_scan, warc
+from tablewright.llm import decontaminate, jaccard, langid, packing, quality, rans, repetition, secret_scan, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge_repetition(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.deduplicate_substrings(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -83,6 +88,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_langid, op2_pack, op3_jaccard, op4_repetition, op6_secrets, op7_warc, op8_rans, op9_decontaminate, op10_quality)
+    f.__name__: f for f in (op1_langid, op2_pack, op3_jaccard, op4_repetition, op5_substrings, op6_secrets, op7_warc, op8_rans, op9_decontaminate, op10_quality)
 }
 ORACLE_SQL: dict[str, str] = {}
