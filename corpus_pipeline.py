@@ -1,24 +1,71 @@
-"""The corpus pipeline: documents in, packed sequences out, one operator a stage."""
+"""The corpus pipeline: documents in, packed sequences out, one operator a stage.
+
+Every stage takes all documents that the one before it kept. Null texts count as empty; an
+empty table stays empty, but the first stage needs labelled rows of both kinds to learn from.
+"""
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm import quality
+from tablewright.llm import decontaminate, jaccard, packing, quality, secret_scan
+from tablewright.llm.queries import tokenizer_path
 from tablewright.scratch import written
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches 0.3; labels of held-out ids are not learned from."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    model = quality.fit_quality(docs, labels)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    learned = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    model = quality.fit_quality(docs, learned)
     return quality.score_quality(docs, model).where(F.col("score") >= 0.3).select(*docs.columns)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality_classifier", drop_low_quality)]
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by three quarters of their five-word shingles, the one with the smallest id.
+
+    Rows that repeat an id and a text are one document. Rows with a null id stay.
+    """
+    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    groups = jaccard.jaccard_components(keyed, keep=["_text_hash"])
+    others = groups.where("component_id < doc_id").select("doc_id", "_text_hash").distinct()
+    # Each task keeps one row of a document before the shuffle, and the join below needs no other.
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_text_hash").orderBy("_text_hash"))
+    once = keyed.withColumn("_nth", nth).where("_nth = 1")
+    return once.join(others, ["doc_id", "_text_hash"], "left_anti").select(*docs.columns)
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, up to a fifth of its words edited."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets in their texts masked and the number of characters brought up to date."""
+    found = secret_scan.scan_secrets(docs)
+    text = secret_scan.mask_spans(F.coalesce("text", F.lit("")), F.col("spans"))
+    masked = found.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return masked.select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens with the sequence and the place each gets."""
+    pieces = packing.tokenized_pieces(docs, tokenizer_path("word_bpe_49k.json"), end_id=1, size=4096)
+    return packing.pack(pieces, max_tokens=4096)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", drop_low_quality),
+    ("ngram_jaccard_join", keep_one_of_each_group),
+    ("benchmark_decontamination", drop_benchmark_passages),
+    ("secret_scans", mask_secrets),
+    ("best_fit_packing", pack_sequences),
+]
 
-#: The stages hold a trained model, a similarity join and a packing, none of which SQL expresses.
+#: A trained model, a similarity join and a packing have no SQL; the stages are tested against brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -148,7 +148,7 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(flags), pa.array(a), pa.array(b), pa.array(n)], schema=_FOUND)
 
 
-def _described(docs: DataFrame, size: int, per_cent: int, column: str) -> DataFrame:
+def _described(docs: DataFrame, size: int, per_cent: int, column: str, keep: list[str]) -> DataFrame:
     """(doc_id, n_shingles, digest or null, slacks) of each document."""
 
     def measure(chunk: Chunk) -> dict:
@@ -167,7 +167,7 @@ def _described(docs: DataFrame, size: int, per_cent: int, column: str) -> DataFr
         }
 
     fields = "n_shingles long, digest long, slacks array<struct<level:int,slack:long>>"
-    return appended(docs, fields, measure, ["doc_id"], column)
+    return appended(docs, fields, measure, ["doc_id", *keep], column)
 
 
 def _sets(packed: dict[int, pa.Scalar], size: int) -> dict[int, np.ndarray | None]:
@@ -251,12 +251,15 @@ def _against_all(queries: DataFrame, sets: DataFrame, size: int, per_cent: int)
     return None if out is None else written(out.distinct())
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, per_cent: int = 75, column: str = "text") -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, size: int = 5, per_cent: int = 75, column: str = "text", keep: list[str] | None = None
+) -> DataFrame:
     """(doc_id, n_shingles, component_id: the smallest id reachable by links) for each document.
 
     Documents link if 100 times their common shingles reach ``per_cent`` times the shingles of both.
+    ``keep`` names further columns of ``docs`` to return.
     """
-    described = written(_described(docs, size, per_cent, column))
+    described = written(_described(docs, size, per_cent, column, keep or []))
 
     def produce(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sets = Shingles(chunk, size)
@@ -321,4 +324,4 @@ def jaccard_components(docs: DataFrame, size: int = 5, per_cent: int = 75, colum
     smallest = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
     known = grouped.join(smallest, "component").select("digest", "component_id")
     out = described.join(known, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", *(keep or []), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
