@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _HASH_BLOCK = 1 << 20
 
 IS_SPACE = np.zeros(256, bool)

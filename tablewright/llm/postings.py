@@ -17,7 +17,7 @@ _U = np.uint64
 KEY_BITS, OWNER_BITS = 40, 40
 FEW = 8  # owners of a key that meet in one task; the others do not need to
 LABEL_BITS = 5  # the lowest bits of a key stay as they are
-_FLUSH = 1 << 21
+_FLUSH = 1 << 19
 SCHEMA = "bucket int, many boolean, keys binary, owners binary"
 _BLOCKS = pa.schema([("bucket", pa.int32()), ("many", pa.bool_()), ("keys", pa.binary()), ("owners", pa.binary())])
 

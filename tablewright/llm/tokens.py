@@ -16,6 +16,7 @@ import pyarrow as pa
 from tablewright.llm.chunks import IS_SPACE, Chunk
 
 TOKEN_CHUNK = 4 << 20
+_KEPT_PARTS = 150_000  # from task to task
 _KNOWN_PARTS = 400_000  # parts remembered from chunk to chunk; rare ones are then forgotten, which changes no result
 
 # Last bytes of blanks beyond ASCII, by length of their UTF-8 form. A run of blanks may begin with one of those, so it is not cut there.
@@ -90,13 +91,16 @@ class Encoder:
             ids = np.fromiter((i for x in found for i in x), np.uint32)
             self._store(some, ids, np.fromiter(map(len, found), np.int64, len(found)))
 
-    def _shrink(self) -> None:
-        """Keep the parts that most chunks had, and half as many as there may be."""
+    def shrink(self, most: int = _KEPT_PARTS) -> None:
+        """Keep the parts that most chunks had. Called at the end of a task, as the worker goes on to others."""
         n = len(self.parts)
-        keep = np.sort(np.argsort(-self.hits[:n], kind="stable")[: _KNOWN_PARTS // 2])
+        if n <= most:
+            return
+        keep = np.sort(np.argsort(-self.hits[:n], kind="stable")[:most])
         ids, lengths, hits = self.ids[ragged(self.starts[keep], self.lengths[keep])], self.lengths[keep], self.hits[keep]
         parts = [self.parts[i] for i in keep.tolist()]
         self.place, self.parts, self.used = {}, [], 0
+        self.ids = np.zeros(1 << 20, np.uint32)
         self._store(parts, ids, lengths)
         self.hits[: len(parts)] = hits // 2
 
@@ -137,7 +141,7 @@ class Encoder:
         parts = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, buffers).dictionary_encode()
         distinct = parts.dictionary.to_pylist()
         if len(self.parts) > _KNOWN_PARTS:
-            self._shrink()
+            self.shrink(_KNOWN_PARTS // 2)
         new = [p for p in distinct if p not in self.place]
         if new:
             gc.disable()  # many small objects, none in a cycle
