@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm import decontaminate, jaccard, packing, quality, secret_scan
+from tablewright.llm.chunks import small_batches
 from tablewright.llm.queries import tokenizer_path
 from tablewright.scratch import written
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches 0.3; labels of held-out ids are not learned from."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     learned = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     model = quality.fit_quality(docs, learned)

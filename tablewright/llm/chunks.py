@@ -11,7 +11,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 CHUNK_BYTES = 1 << 20
@@ -27,6 +27,13 @@ _BYTE_INVERSE = U(pow(int(_BYTE), -1, 1 << 64))
 _WORD = U(0xD1342543DE82EF95)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Set the session to send texts to Python a thousand at a time; the usual ten thousand take
+    tens of megabytes on either side, twice over, for each core.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = x + _STEP

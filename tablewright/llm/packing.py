@@ -145,8 +145,9 @@ def pack(
 ) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; by default only the tokens are limited.
 
-    The pieces are written once, with their task and their rank among the
-    pieces of the same length in that task, so the numbering survives lost executors.
+    The pieces are written once and then again with their task and their rank among the
+    pieces of the same length in that task, so the numbering survives lost executors. Numbering them while
+    they are made would keep two Python workers at each core.
     """
     schema = StructType([f for f in pieces.schema.fields if f.name not in ("task", "nth", "base", "sequence_id", "offset")])
     names = schema.names
@@ -169,7 +170,7 @@ def pack(
                 names=[*names, "task", "nth"],
             )
 
-    numbered = written(pieces.select(*names).mapInArrow(number, schema.simpleString()[7:-1] + ",task:int,nth:bigint"))
+    numbered = written(written(pieces.select(*names)).mapInArrow(number, schema.simpleString()[7:-1] + ",task:int,nth:bigint"))
     by_task = numbered.groupBy("task", "length").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_task.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
