@@ -202,9 +202,14 @@ FROM events""",
         "unique_slugs",
         unique_slugs,
         """SELECT c_custkey, CASE WHEN c_custkey = min(c_custkey) OVER (PARTITION BY c_mktsegment) THEN base
-  ELSE left(base, 51) || '-' || left(sha256(CAST(c_custkey AS VARCHAR)), 8) END AS slug
+  ELSE left(base, 58 - length(to_base(c_custkey, 36))) || '--' || lower(to_base(c_custkey, 36)) END AS slug
 FROM (SELECT c_custkey, c_mktsegment, regexp_replace(lower(c_mktsegment), '[^a-z0-9]+', '-', 'g') AS base FROM customer) t""",
     ),
+    Query(
+        "unique_slug_counts",
+        lambda spark, sf: unique_slugs(spark, sf).agg(F.count("*").alias("n_rows"), F.countDistinct("slug").alias("n_slugs")),
+        "SELECT count(*) AS n_rows, count(DISTINCT c_custkey) AS n_slugs FROM customer",
+    ),
     Query("rate_windows", _windows("event_type", 5, "1 hour"), _windows_sql("event_type", 5, "hour")),
     Query("rate_windows_user", _windows("user_id", 3, "1 day"), _windows_sql("user_id", 3, "day")),
     Query(

@@ -64,9 +64,8 @@ def planned_recipe(spark, sf):
 
 _PLANNED_SQL = f"""{WITH_ORDERS}, p AS (
   SELECT o_orderkey, try_strptime(mixed_date, '%Y-%m-%d') AS day, {sql_number('us_price', '.')} AS price FROM d)
-SELECT o_orderkey, strftime(coalesce(CASE WHEN (SELECT count(*) - count(mixed_date) FROM d) > 0 THEN day END,
-    CASE WHEN (SELECT count(*) - count(mixed_date) FROM d) > 0 THEN
-      (SELECT day FROM p WHERE day IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) END, day), '%Y-%m-%d') AS mixed_date,
+SELECT o_orderkey, strftime(coalesce(day,
+    (SELECT day FROM p WHERE day IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)), '%Y-%m-%d') AS mixed_date,
   round(price, 2) AS us_price FROM p"""
 
 

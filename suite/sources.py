@@ -26,6 +26,23 @@ def csv_scan(spark, sf):
     return read_dataset(spark, "csv", {"path": path})
 
 
+def csv_orders(spark, sf):
+    """Orders as CSV in two files whose headers have another order."""
+    path = f"{shared_dir(spark)}/csv/{uuid.uuid4().hex}"
+    orders = table(spark, sf, "orders").select(*_ORDERS.split(", "))
+    for part, columns in enumerate((orders.columns, orders.columns[::-1])):
+        rows = orders.where(F.col("o_orderkey") % 2 == part).select(*columns)
+        rows.write.mode("append").option("header", True).option("escape", '"').csv(path)
+    return read_dataset(spark, "csv", {"path": path})
+
+
+def csv_schema_report(spark, sf):
+    """Nullability and types of customers with gaps, read back from CSV."""
+    path = f"{shared_dir(spark)}/csv/{uuid.uuid4().hex}"
+    d_customer(spark, sf).select("c_custkey", "acctbal", "segment").write.option("header", True).option("escape", '"').csv(path)
+    return schema_report(read_dataset(spark, "csv", {"path": path}), order_by=["c_custkey"]).select("name", "dtype", "nullable")
+
+
 def csv_text(spark, sf):
     """Texts with quotes and line breaks through CSV."""
     path = f"{shared_dir(spark)}/csv/{uuid.uuid4().hex}"
@@ -56,7 +73,7 @@ _TYPES = {
     "o_orderpriority": "string",
 }
 _REPORT_SQL = "WITH s AS (SELECT * FROM orders ORDER BY o_orderkey LIMIT 5) " + " UNION ALL ".join(
-    f"""SELECT '{c}' AS name, '{t}' AS dtype, count({c}) < count(*) AS nullable,
+    f"""SELECT '{c}' AS name, '{t}' AS dtype, (SELECT count({c}) < count(*) FROM orders) AS nullable,
   string_agg(CAST({c} AS VARCHAR), '|' ORDER BY o_orderkey) AS sample_values FROM s"""
     for c, t in _TYPES.items()
 )
@@ -69,6 +86,14 @@ def manifest(spark, sf):
 QUERIES = [
     Query("parquet_scan", parquet_scan, f"SELECT {_ORDERS} FROM orders"),
     Query("csv_scan", csv_scan, f"SELECT {_ORDERS}, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders"),
+    Query("csv_orders", csv_orders, f"SELECT {_ORDERS} FROM orders"),
+    Query(
+        "csv_schema_report",
+        csv_schema_report,
+        """SELECT 'c_custkey' AS name, 'bigint' AS dtype, false AS nullable UNION ALL
+  SELECT 'acctbal', 'double', count(CASE WHEN c_custkey % 7 = 0 THEN 1 END) > 0 FROM customer UNION ALL
+  SELECT 'segment', 'string', count(CASE WHEN c_custkey % 6 = 0 THEN 1 END) > 0 FROM customer""",
+    ),
     Query("csv_text", csv_text, """SELECT doc_id, concat('x', text, '"x') AS text FROM documents"""),
     Query(
         "export_copy",

@@ -32,7 +32,14 @@ _DIRECTIVES = {
     "I": ("h", r"(?:0?[1-9]|1[0-2])"),
     "M": ("m", r"[0-5]?\d"),
     "S": ("s", r"[0-5]?\d"),
-    "f": ("SSSSSSSSS", r"\d{9}"),
+    "f": ("SSSSSSSSS", r"\d{1,9}"),
+    "3f": ("SSS", r"\d{3}"),
+    "6f": ("SSSSSS", r"\d{6}"),
+    "9f": ("SSSSSSSSS", r"\d{9}"),
+    ".f": ("[.SSSSSSSSS]", r"(?:\.\d{1,9})?"),
+    ".3f": (".SSS", r"\.\d{3}"),
+    ".6f": (".SSSSSS", r"\.\d{6}"),
+    ".9f": (".SSSSSSSSS", r"\.\d{9}"),
     "p": ("a", "[AaPp][Mm]"),
     "b": ("MMM", r"\p{L}+\.?"),
     "B": ("MMMM", r"\p{L}+"),
@@ -49,32 +56,39 @@ class DateFormat:
 
     pattern: str
     shape: str
+    short_year: bool = False  # two digits: 69 to 99 belong to the last century
 
     def looks_right(self, c: Column) -> Column:
         return c.rlike(rf"\A(?:{self.shape})\z")
 
     def parse(self, c: Column) -> Column:
         """Timestamp without zone, or null where the whole cell does not follow the format."""
-        fitting = F.when(self.looks_right(c), F.try_to_timestamp(c, F.lit(self.pattern)))
-        return fitting.cast("timestamp_ntz")
+        fitting = F.when(self.looks_right(c), F.try_to_timestamp(c, F.lit(self.pattern))).cast("timestamp_ntz")
+        if not self.short_year:
+            return fitting
+        earlier = fitting - F.make_ym_interval(F.lit(100))
+        return F.when(F.year(fitting) > 2068, earlier).otherwise(fitting)
 
 
 def date_format(strftime: str) -> DateFormat | None:
     """Spark's view of a strftime format; ``None`` if a directive has no counterpart."""
     for short, long in _SHORTHANDS.items():
         strftime = strftime.replace(short, long)
-    pattern, shape, literal, rest = "", "", "", iter(strftime)
-    for ch in rest:
-        if ch != "%":
-            literal += ch
+    pattern, shape, literal, at = "", "", "", 0
+    while at < len(strftime):
+        if strftime[at] != "%":
+            literal += strftime[at]
+            at += 1
             continue
-        found = _DIRECTIVES.get(next(rest, ""))
+        directive = re.match(r"%(\.?[369]?f|.?)", strftime[at:], re.DOTALL)[1]
+        at += 1 + len(directive)
+        found = _DIRECTIVES.get(directive)
         if found is None:
             return None
         pattern += _quote(literal) + found[0]
         shape += re.escape(literal) + found[1]
         literal = ""
-    return DateFormat(pattern + _quote(literal), shape + re.escape(literal))
+    return DateFormat(pattern + _quote(literal), shape + re.escape(literal), "%y" in strftime.replace("%%", ""))
 
 
 def any_shape(formats: Iterable[DateFormat]) -> str:

@@ -22,7 +22,6 @@ PY_WHITE_SPACE = WHITE_SPACE + "\u001c\u001d\u001e\u001f"
 
 CASES = ("lower", "upper", "title", "preserve")
 SLUG_LENGTH = 60
-SLUG_SUFFIX_LENGTH = 8
 TITLE_LENGTH = 80
 
 
@@ -115,14 +114,17 @@ def slug(c: Column) -> Column:
 
 
 def slug_with_suffix(base: Column, unique: Column) -> Column:
-    """Append eight hex digits of ``unique``'s digest.
+    """Append two hyphens and ``unique`` in a form that no other id has, at most 60 characters for integers.
 
-    The digest replaces a random suffix so that a retried task writes the same
-    slug again.
+    Plain slugs never hold two hyphens in a row, so neither they nor other
+    suffixed ones can be equal to it, and a retried task writes the same slug again.
     """
-    suffix = F.substring(F.sha2(unique.cast("string"), 256), 1, SLUG_SUFFIX_LENGTH)
-    head = F.substring(base, 1, SLUG_LENGTH - SLUG_SUFFIX_LENGTH - 1)
-    return F.when(head == "", suffix).otherwise(F.concat(head, F.lit("-"), suffix))
+    text = unique.cast("string")
+    suffix = F.when(text.rlike(r"^-?(0|[1-9]\d{0,17})$"), F.lower(F.conv(text, 10, 36))).otherwise(
+        F.concat(F.lit("z"), F.lower(F.hex(text)), F.lit("z"))
+    )
+    head = F.substr(base, F.lit(1), F.greatest(F.lit(1), SLUG_LENGTH - 2 - F.char_length(suffix)))
+    return F.concat(F.when(head == "", F.lit("row")).otherwise(head), F.lit("--"), suffix)
 
 
 def one_line_title(c: Column) -> Column:

@@ -44,16 +44,18 @@ def normalize_text(
 def text_report(df: DataFrame, texts: list[str], **options) -> DataFrame:
     """Distinct values per column before and after.
 
-    Only distinct spellings are normalised, each once, and both counts come
-    out of the same chain of aggregates.
+    Cells are normalised where they are read; only digests of long texts, before and
+    after, are shuffled, and both counts come out of the same chain of aggregates.
     """
     if not texts:
         schema = "column string, distinct_before bigint, distinct_after bigint, collapsed_variants bigint"
         return df.sparkSession.createDataFrame([], schema)
     cells = df.select(*[F.col(quoted(c)).cast("string").alias(f"c{i}") for i, c in enumerate(texts)])
     names = F.array(*[F.lit(c) for c in texts])
-    before = cells.unpivot([], cells.columns, "slot", "before").distinct()
-    after = before.select("slot", compact_key(clean_text(F.col("before"), **options)).alias("after"))
+    cells = cells.unpivot([], cells.columns, "slot", "cell")
+    cell = F.col("cell")
+    keys = [compact_key(cell).alias("before"), compact_key(clean_text(cell, **options)).alias("after")]
+    after = cells.select("slot", *keys).distinct()
     return (
         after.groupBy("slot", "after")
         .agg(F.count(F.lit(1)).alias("spellings"))

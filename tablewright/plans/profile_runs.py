@@ -11,8 +11,6 @@ from pyspark.sql import types as T
 
 from tablewright.operators.profile import profile
 
-ERROR_LENGTH = 1000
-
 RUNS = T.StructType(
     [
         T.StructField("run_id", T.StringType()),
@@ -27,7 +25,7 @@ RUNS = T.StructType(
 
 def _note(spark: SparkSession, root: str, run_id: str, dataset_id: str, status: str, rows=None, error=None) -> None:
     now = datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
-    line = [(run_id, dataset_id, status, now, rows, error and error[:ERROR_LENGTH])]
+    line = [(run_id, dataset_id, status, now, rows, error)]
     spark.createDataFrame(line, RUNS).coalesce(1).write.mode("append").parquet(f"{root}/profile_runs")
 
 

@@ -18,8 +18,6 @@ from tablewright.operators.text import text_report
 from tablewright.plans.registry import apply_operation, operation
 from tablewright.scratch import written
 
-MAX_STEPS = 12
-
 _LOG = T.StructType(
     [
         T.StructField("step", T.IntegerType()),
@@ -42,7 +40,7 @@ class RecipeResult:
         return self.frame.sparkSession.createDataFrame(self.log, _LOG)
 
 
-def run_recipe(df: DataFrame, steps: list[dict], on_error: str = "continue") -> RecipeResult:
+def run_recipe(df: DataFrame, steps: list[dict], on_error: str = "continue", max_steps: int | None = None) -> RecipeResult:
     """Run ``[{"op": ..., "args": {...}}, ...]`` on ``df``.
 
     Steps are composed into one lazy plan. Only when a step has to look at
@@ -52,8 +50,8 @@ def run_recipe(df: DataFrame, steps: list[dict], on_error: str = "continue") ->
     """
     if on_error not in ("continue", "raise"):
         raise OperationError("'on_error' must be 'continue' or 'raise'")
-    if len(steps) > MAX_STEPS:
-        raise OperationError(f"a recipe has at most {MAX_STEPS} steps")
+    if max_steps is not None and len(steps) > max_steps:
+        raise OperationError(f"a recipe has at most {max_steps} steps")
     frame, shuffled, log, results = df, False, [], []
     for number, step in enumerate(steps, 1):
         name, args = step["op"], step.get("args") or {}
@@ -75,7 +73,7 @@ def run_recipe(df: DataFrame, steps: list[dict], on_error: str = "continue") ->
     return RecipeResult(frame, log, results)
 
 
-def replay(journal: DataFrame, df: DataFrame, on_error: str = "continue") -> RecipeResult:
+def replay(journal: DataFrame, df: DataFrame, on_error: str = "continue", max_steps: int | None = None) -> RecipeResult:
     """Run the active operations of one working copy on another source, in their order.
 
     ``journal`` holds ``seq, op, args`` (JSON). A copy's history is what its
@@ -85,13 +83,7 @@ def replay(journal: DataFrame, df: DataFrame, on_error: str = "continue") -> Rec
         {"op": row["op"], "args": json.loads(row["args"] or "{}")}
         for row in journal.select("seq", "op", "args").orderBy("seq").collect()
     ]
-    frame, log, results = df, [], []
-    for start in range(0, len(steps), MAX_STEPS):
-        part = run_recipe(frame, steps[start : start + MAX_STEPS], on_error)
-        frame = part.frame
-        log += [{**line, "step": line["step"] + start} for line in part.log]
-        results += part.results
-    return RecipeResult(frame, log, results)
+    return run_recipe(df, steps, on_error, max_steps)
 
 
 def column_signals(
@@ -149,7 +141,7 @@ def suggest_recipe(
 
     Keys (if named) are deduplicated on their normalised form. Text that
     mostly reads as dates or numbers is converted; other text with several
-    spellings of one value is normalised; remaining nulls are filled with
+    spellings of one value is normalised; nulls, also those that parsing leaves, are filled with
     median or mode.
     """
     signals = column_signals(df, columns, date_share, number_share)
@@ -157,7 +149,9 @@ def suggest_recipe(
     numbers = [s["column"] for s in signals if s["kind"] == "numbers"]
     texts = [s["column"] for s in signals if s["kind"] == "text" and s["collapsed_variants"] > 0]
     formats = [f for f in DEFAULT_FORMATS if f in {s["format"] for s in signals if s["kind"] == "dates"}]
-    gaps = [s["column"] for s in signals if 0 < s["nulls"] < s["rows"]]
+    # Cells that parsing cannot read become null, so they are gaps as well.
+    lost = {s["column"] for s in signals if (s["kind"] == "dates" and s["date_share"] < 1) or (s["kind"] == "numbers" and s["number_share"] < 1)}
+    gaps = [s["column"] for s in signals if s["nulls"] < s["rows"] and (s["nulls"] or s["column"] in lost)]
     steps = []
     if key_columns:
         args = {"columns": key_columns, "keep": "first", "normalize_text": True}

@@ -18,7 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise WorkingCopyError("set spark.checkpoint.dir to a folder that all executors share")
-    return _LOCAL.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tablewright-"))
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="tablewright-")
+    return _LOCAL[context.applicationId]
 
 
 def written(df: DataFrame) -> DataFrame:

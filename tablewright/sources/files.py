@@ -1,5 +1,7 @@
 """CSV and Parquet files, and the manifest of a landing folder."""
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -7,9 +9,6 @@ from pyspark.sql import types as T
 from tablewright.errors import SourceError
 from tablewright.operators.result import quoted
 
-INFER_ROWS = 10_000
-SIZE_CAP = 500 * 1024 * 1024
-
 _INTEGER = r"^-?\d+$"
 _FLOAT = r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$|^[-+]?inf$|^NaN$"
 _BOOLEAN = "^(true|false)$"
@@ -20,34 +19,58 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(
-    spark: SparkSession, path: str, infer_rows: int | None = INFER_ROWS, multi_line: bool | None = None
+    spark: SparkSession, path: str, infer_rows: int | None = None, multi_line: bool | None = None
 ) -> DataFrame:
     """Comma-separated files with a header line.
 
     Columns are integers, floats, booleans or text; dates stay text. Types
-    come from the first ``infer_rows`` rows of the first file with rows
-    (``None``: from all rows of all files), and a later cell that does not fit its type is an error rather
-    than a silent null. Files are split over many tasks unless a quoted cell
+    come from all rows of all files, or from ``infer_rows`` of them if given, and a later cell that
+    does not fit its type is an error rather than a silent null. Files whose headers
+    have another order are read by the names of their columns; headers with other names are an error.
+    Files are split over many tasks unless a quoted cell
     holds a line break, which ``multi_line=None`` finds out by itself.
     """
+    headers, broken = _look(spark, path)
     if multi_line is None:
-        multi_line = _has_broken_lines(spark, path)
-    options = {"header": True, "escape": '"', "multiLine": multi_line, "mode": "FAILFAST"}
-    text = spark.read.options(**options).csv(path)
-    head = text
-    if infer_rows is not None:
-        for file in sorted(text.inputFiles()):
-            head = spark.read.options(**options).csv(file).limit(infer_rows)
-            if not head.isEmpty():
-                break
-    schema = _infer(head)
-    return spark.read.options(**options).schema(schema).csv(path)
-
-
-def _has_broken_lines(spark: SparkSession, path: str) -> bool:
-    """Whether some line holds an odd number of quotes: only then can a cell go on in the next line."""
+        multi_line = broken
+    options = {"header": True, "escape": '"', "multiLine": multi_line, "mode": "FAILFAST", "enforceSchema": False}
+    reader = spark.read.options(**options)
+    groups = [path] if len(headers) < 2 else [_paths(headers, h) for h in headers]
+    texts = [reader.csv(g) for g in groups]
+    if any(set(t.columns) != set(texts[0].columns) for t in texts):
+        raise SourceError(f"the files in '{path}' do not share one set of columns")
+    text = texts[0]
+    for other in texts[1:]:
+        text = text.unionByName(other)
+    types = _infer(text if infer_rows is None else text.limit(infer_rows))
+    frames = [spark.read.options(**options).schema(T.StructType([types[c] for c in t.columns])).csv(g) for t, g in zip(texts, groups)]
+    out = frames[0]
+    for other in frames[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+def _look(spark: SparkSession, path: str) -> tuple[dict[str, list[str]], bool]:
+    """The files of each header line, and whether a cell goes on in the next line.
+
+    One pass over the lines: the first line of a file is the first of the task that reads
+    its first block, and only a line with an odd number of quotes can go on.
+    """
     quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("at"),
+        "value",
+        (quotes % 2 == 1).alias("open"),
+    )
+    files = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"), F.bool_or("open").alias("open"))
+    # One row for each distinct header.
+    found = files.groupBy("header").agg(F.collect_list("file").alias("files"), F.bool_or("open").alias("open")).collect()
+    return {r["header"]: sorted(r["files"]) for r in found}, any(r["open"] for r in found)
+
+
+def _paths(headers: dict[str, list[str]], header: str) -> list[str]:
+    return [unquote(f) for f in headers[header]]
 
 
 def _infer(text: DataFrame) -> T.StructType:
@@ -83,17 +106,18 @@ def kind_of(name: Column) -> Column:
 
 def safe_name(name: Column) -> Column:
     """File name with only letters, digits, dot, underscore and hyphen, and no leading dot."""
-    cleaned = F.ltrim(F.regexp_replace(name, "[^A-Za-z0-9._-]", "_"), F.lit("."))
+    cleaned = F.ltrim(F.regexp_replace(name, "[^A-Za-z0-9._-]+", "_"), F.lit("."))
     return F.when(cleaned == "", "upload").otherwise(cleaned)
 
 
-def file_manifest(spark: SparkSession, path: str, size_cap: int = SIZE_CAP) -> DataFrame:
+def file_manifest(spark: SparkSession, path: str, size_cap: int | None = None) -> DataFrame:
     """One line per file of a landing folder: names, kind, size, digest, and what is wrong with it.
 
-    Files above the cap are listed from the directory alone; their content is
+    Files above ``size_cap``, if given, are listed from the directory alone; their content is
     never read, as the size filter is applied before the file is opened.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    size_cap = 2**63 - 1 if size_cap is None else size_cap
     fitting = files.filter(F.col("length") <= size_cap).select("path", "length", F.sha2("content", 256).alias("sha256"))
     too_large = files.filter(F.col("length") > size_cap).select("path", "length", F.lit(None).cast("string"))
     base = F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B")))

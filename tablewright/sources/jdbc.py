@@ -7,7 +7,6 @@ from tablewright.sources.schema import schema_report
 
 CONNECT_TIMEOUT_SECONDS = 8
 FETCH_ROWS = 10_000
-MAX_TABLES = 50
 
 _DRIVERS = {
     "postgres": "org.postgresql.Driver",

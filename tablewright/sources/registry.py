@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tablewright.errors import SourceError
 from tablewright.operators.catalog import unique_violations
 from tablewright.sources.files import read_csv, read_parquet
-from tablewright.sources.jdbc import MAX_TABLES, read_table
+from tablewright.sources.jdbc import read_table
 from tablewright.sources.workbook import read_workbook
 
 CATALOG = "dataset_id string, name string, kind string, locator map<string,string>, schema string"
@@ -49,22 +49,24 @@ def import_tables(
     requests: list[tuple[str, str, str | None]],
     open_table: Callable[[str, str], DataFrame],
     kind: str = "table",
+    max_tables: int | None = None,
 ) -> DataFrame:
-    """Catalogue lines for 1-50 tables ``(schema, table, name)``; all or nothing.
+    """Catalogue lines for tables ``(schema, table, name)``, at most ``max_tables`` if given; all or nothing.
 
     Names default to ``schema.table``. Every table is opened and every name
     checked, also against the catalogue, before anything is returned.
     """
-    if not 1 <= len(requests) <= MAX_TABLES:
-        raise SourceError(f"between 1 and {MAX_TABLES} tables can be imported at once")
+    if not requests:
+        raise SourceError("no tables to import")
+    if max_tables is not None and len(requests) > max_tables:
+        raise SourceError(f"at most {max_tables} tables can be imported at once")
     lines = []
     for schema, table, name in requests:
         described = open_table(schema, table).schema.json()
         at = {"schema": schema, "table": table}
         lines.append((uuid.uuid4().hex, name or f"{schema}.{table}", kind, at, described))
     new = spark.createDataFrame(lines, CATALOG)
-    # At most 50 new names meet the catalogue.
-    taken = catalog.select("name").join(F.broadcast(new.select("name").distinct()), "name", "left_semi")
+    taken = catalog.select("name").join(new.select("name").distinct(), "name", "left_semi")
     clash = unique_violations(new, ["name"]).select("name").unionAll(taken).first()
     if clash is not None:
         raise SourceError(f"a dataset named '{clash['name']}' already exists")

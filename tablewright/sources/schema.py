@@ -18,7 +18,7 @@ def sample(df: DataFrame, n: int = SAMPLE_ROWS, order_by: list[str] | None = Non
 def schema_report(df: DataFrame, order_by: list[str] | None = None, nullable: dict[str, bool] | None = None) -> DataFrame:
     """Name, type, nullability and sample values (null as ``""``) of each column.
 
-    Files do not declare nullability, so it is taken from the sample; a
+    Files do not declare nullability, so all rows are asked; a
     database knows it and passes it as ``nullable``.
     """
     columns = [c for c in df.columns if c != ROW_ID]
@@ -26,16 +26,20 @@ def schema_report(df: DataFrame, order_by: list[str] | None = None, nullable: di
     numbered = rows.select(*[_as_text(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
     # Five rows at most are gathered here.
     gathered = numbered.agg(F.collect_list(F.struct(*numbered.columns)).alias("rows"))
+    asked = [c for c in columns if not nullable or c not in nullable]
+    if asked:
+        holes = df.agg(F.struct(*[(F.count_if(F.col(quoted(c)).isNull()) > 0).alias(f"n{columns.index(c)}") for c in asked]).alias("holes"))
+        gathered = gathered.crossJoin(holes)  # one row each
     fields = []
     for i, c in enumerate(columns):
         cells = F.col("rows").getField(f"c{i}")
-        seen = F.exists(cells, lambda v: v.isNull())
+        seen = F.col("holes").getField(f"n{i}") if c in asked else None
         fields.append(
             F.struct(
                 F.lit(i).alias("position"),
                 F.lit(c).alias("name"),
                 F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
-                (F.lit(nullable[c]) if nullable and c in nullable else seen).alias("nullable"),
+                (F.lit(nullable[c]) if seen is None else seen).alias("nullable"),
                 F.transform(cells, lambda v: F.coalesce(v, F.lit(""))).alias("sample_values"),
             )
         )

@@ -171,7 +171,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def workbook_rows(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
     """All rows of all workbooks under ``path`` (or of one sheet of each): see ``ROWS`` for the columns."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sS]*").load(path)
+    old = found.filter(~F.lower("path").endswith(".xlsx")).select("path").first()
+    if old is not None:
+        raise SourceError(f"'{old['path']}' is not a workbook of the newer format")
+    files = found.select("path", "content")
     # Spark packs small files into a task up to spark.sql.files.maxPartitionBytes; a larger one has a task of its own.
     return files.mapInArrow(_decode(sheet), ROWS)
 

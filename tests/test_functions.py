@@ -48,7 +48,7 @@ def test_slug(spark):
 def test_slug_suffix_is_stable_and_bounded(spark):
     first = apply(spark, ["y" * 60, ""], lambda c: text.slug_with_suffix(c, F.col("i")))
     assert first == apply(spark, ["y" * 60, ""], lambda c: text.slug_with_suffix(c, F.col("i")))
-    assert len(first[0]) == 60 and first[0].startswith("y" * 51 + "-") and len(first[1]) == 8
+    assert len(first[0]) == 60 and first[0].startswith("y" * 50 + "y" * 7 + "--") and first[1].startswith("row--")
 
 
 def test_one_line_title(spark):
@@ -150,17 +150,17 @@ def test_redact_record(spark):
 
 def test_suggestions(spark):
     cells = [
-        'Hola.\n\nSUGGESTIONS:["A", "B", "C"]',
-        'Hola.\n\nSUGGESTIONS:["A"]   \n',
-        "Hola.  ",
+        'Two rows left.\n\nSUGGESTIONS:["keep", "drop", "ask"]',
+        'Two rows left.\n\nSUGGESTIONS:["keep"]   \n',
+        "Two rows left.  ",
         "x SUGGESTIONS:[broken]",
         "x SUGGESTIONS:[]",
         'x SUGGESTIONS:["a", 1]',
         'x SUGGESTIONS:["a", null]',
         'SUGGESTIONS:["a"] more',
     ]
-    assert apply(spark, cells, payload.suggestions) == [["A", "B", "C"], ["A"], *[None] * 6]
-    assert apply(spark, cells, payload.without_suggestions) == ["Hola.", "Hola.", "Hola.", *cells[3:]]
+    assert apply(spark, cells, payload.suggestions) == [["keep", "drop", "ask"], ["keep"], *[None] * 6]
+    assert apply(spark, cells, payload.without_suggestions) == ["Two rows left."] * 3 + cells[3:]
 
 
 def test_tool_names_and_usage(spark):
@@ -174,3 +174,23 @@ def test_number_shape_and_cast_agree(spark):
     cells = ["1", "+1.", "-.5", ".", "1e5", "1e", "e5", "1.2.3", "--1", "1e+5", "1E-5", "", "+", "1e5.0", "00012", "1-2"]
     shape = apply(spark, cells, lambda c: numbers.is_number(numbers.plain_number(c, ".")))
     assert shape == [v is not None for v in apply(spark, cells, lambda c: numbers.to_number(c, "."))]
+
+
+@pytest.mark.parametrize(
+    ("form", "cell", "want"),
+    [
+        ("%d/%m/%y", "01/02/99", "1999-02-01 00:00:00"),
+        ("%d/%m/%y", "01/02/68", "2068-02-01 00:00:00"),
+        ("%D", "12/31/69", "1969-12-31 00:00:00"),
+        ("%Y-%m-%d %H:%M:%S%.f", "2024-01-02 03:04:05.12", "2024-01-02 03:04:05.12"),
+        ("%Y-%m-%d %H:%M:%S%.f", "2024-01-02 03:04:05", "2024-01-02 03:04:05"),
+        ("%Y-%m-%d %H:%M:%S%.3f", "2024-01-02 03:04:05.123", "2024-01-02 03:04:05.123"),
+        ("%Y-%m-%d %H:%M:%S%.3f", "2024-01-02 03:04:05.12", None),
+        ("%Y-%m-%d %H:%M:%S.%f", "2024-01-02 03:04:05.5", "2024-01-02 03:04:05.5"),
+        ("%Y-%m-%d %H:%M:%S.%6f", "2024-01-02 03:04:05.123456", "2024-01-02 03:04:05.123456"),
+        ("%%y %Y", "%y 2024", "2024-01-01 00:00:00"),
+    ],
+)
+def test_date_directives(spark, form, cell, want):
+    got = apply(spark, [cell], lambda c: dates.date_format(form).parse(c).cast("string"))
+    assert got == [want]

@@ -18,7 +18,7 @@ def rows(df, by="id"):
 
 @pytest.fixture(scope="module")
 def people(spark):
-    data = [(1, "a@x.com", " ana", "01/02/2024", "1,5"), (2, "A@x.com", "ANA", "02/02/2024", "2,5"), (3, "b@x.com", "beto", None, None)]
+    data = [(1, "p7@mill.example", " ines", "01/02/2024", "1,5"), (2, "P7@mill.example", "INES", "02/02/2024", "2,5"), (3, "q8@mill.example", "otto", None, None)]
     return spark.createDataFrame(data, "id int, email string, name string, day string, price string").coalesce(1)
 
 
@@ -58,7 +58,7 @@ def test_recipe_equals_step_by_step(people):
         frame = registry.apply_operation(frame, step["op"], step.get("args")).frame
     assert rows(whole.frame) == rows(frame)
     assert [line["error"] for line in whole.log] == [None] * 6
-    assert rows(whole.frame)[1][1:3] == ("b@x.com", "Beto") and rows(whole.frame)[1][4] == 1.5
+    assert rows(whole.frame)[1][1:3] == ("q8@mill.example", "Otto") and rows(whole.frame)[1][4] == 1.5
 
 
 def test_recipe_writes_once_before_looking_at_shuffled_data(people, monkeypatch):
@@ -74,13 +74,21 @@ def test_recipe_writes_once_before_looking_at_shuffled_data(people, monkeypatch)
 def test_recipe_errors(people):
     bad = [{"op": "dedupe", "args": {"columns": ["zz"]}}, {"op": "nope"}, {"op": "normalize_text", "args": {"columns": ["name"]}}]
     result = recipe.run_recipe(people, bad)
-    assert rows(result.frame)[0][2] == "Ana"
+    assert rows(result.frame)[0][2] == "Ines"
     assert [line["error"] is None for line in result.log] == [False, False, True]
     assert result.log_table().count() == 3
     with pytest.raises(OperationError):
         recipe.run_recipe(people, bad, on_error="raise")
     with pytest.raises(OperationError):
-        recipe.run_recipe(people, [{"op": "fillna"}] * 13)
+        recipe.run_recipe(people, [{"op": "fillna"}] * 13, max_steps=12)
+    assert len(recipe.run_recipe(people, [{"op": "profile_none"}] * 13).log) == 13
+
+
+def test_cells_lost_in_parsing_are_filled(spark):
+    cells = spark.createDataFrame([("1",), ("2",), ("3",), ("n/a",)], "amount string")
+    steps = recipe.suggest_recipe(cells)
+    assert [s["op"] for s in steps] == ["normalize_numeric", "fillna"]
+    assert recipe.run_recipe(cells, steps).frame.where("amount is null").count() == 0
 
 
 def test_suggestions_follow_the_data(spark):
@@ -143,7 +151,7 @@ def test_undo_and_reset(copy):
     ops = {r["op"]: r["op_id"] for r in copy.active().collect()}
     assert copy.undo(ops["parse_dates"]) == 2
     assert [r["op"] for r in copy.active().collect()] == ["normalize_text"]
-    assert rows(copy.frame())[0][2] == "Ana"
+    assert rows(copy.frame())[0][2] == "Ines"
     with pytest.raises(WorkingCopyError):
         copy.undo(ops["fillna"])
     with pytest.raises(WorkingCopyError):

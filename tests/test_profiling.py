@@ -173,7 +173,7 @@ def test_profile_runs(spark, tmp_path, mixed):
     assert runs.count() == 4
     latest = {r["dataset_id"]: r for r in latest_runs(runs).collect()}
     assert latest["d1"]["status"] == "completed" and latest["d1"]["run_id"] == done
-    assert latest["d2"]["status"] == "failed" and len(latest["d2"]["error"]) == 1000
+    assert latest["d2"]["status"] == "failed" and len(latest["d2"]["error"]) == 2000
     assert [tuple(r) for r in row_counts(runs).collect()] == [("d1", 4)]
     kept = spark.read.parquet(f"{root}/profile_columns").filter(F.col("run_id") == done)
     assert kept.count() == len(mixed.columns)

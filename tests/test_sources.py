@@ -13,7 +13,7 @@ from tablewright.sources.registry import CATALOG, import_tables, read_dataset
 from tablewright.sources.schema import schema_report
 from tablewright.sources.workbook import list_sheets, read_workbook
 
-PRODUCTS = "id,name,price,in_stock\n1,Apple,0.50,true\n2,Banana,0.20,true\n3,Cherry,2.10,false\n"
+TOOLS = "code,tool,weight,steel\n40,Chisel,1.25,true\n41,Mallet,0.75,false\n44,Rasp,3.5,true\n"
 
 
 def put(path, text):
@@ -22,10 +22,10 @@ def put(path, text):
 
 
 def test_csv_types(spark, tmp_path):
-    df = read_csv(spark, put(tmp_path / "products.csv", PRODUCTS))
-    assert dict(df.dtypes) == {"id": "bigint", "name": "string", "price": "double", "in_stock": "boolean"}
+    df = read_csv(spark, put(tmp_path / "tools.csv", TOOLS))
+    assert dict(df.dtypes) == {"code": "bigint", "tool": "string", "weight": "double", "steel": "boolean"}
     report = schema_report(df).orderBy("position").collect()
-    assert report[1]["sample_values"] == ["Apple", "Banana", "Cherry"] and not report[1]["nullable"]
+    assert report[1]["sample_values"] == ["Chisel", "Mallet", "Rasp"] and not report[1]["nullable"]
 
 
 def test_csv_dates_stay_text_and_quotes_are_kept(spark, tmp_path):
@@ -37,12 +37,27 @@ def test_csv_dates_stay_text_and_quotes_are_kept(spark, tmp_path):
     assert report["d"]["nullable"] and report["d"]["sample_values"] == ["2024-01-05", "2024-01-06", ""]
 
 
-def test_csv_folder_is_split_and_typed_by_the_first_file(spark, tmp_path):
+def test_csv_folder_is_typed_by_all_files(spark, tmp_path):
     put(tmp_path / "0.csv", "x\n")
     put(tmp_path / "a.csv", "x\n1\n2\n")
     put(tmp_path / "b.csv", "x\n3\n")
     df = read_csv(spark, str(tmp_path))
     assert sorted(r["x"] for r in df.collect()) == [1, 2, 3]
+    put(tmp_path / "c.csv", "x\n4.5\n")
+    assert dict(read_csv(spark, str(tmp_path)).dtypes) == {"x": "double"}
+
+
+def test_csv_headers_in_another_order_and_paths_with_blanks(spark, tmp_path):
+    folder = tmp_path / "my files"
+    folder.mkdir()
+    put(folder / "sales 2024.csv", "a,b\n1,x\n2,y\n")
+    put(folder / "sales%20 2025.csv", "b,a\nz,3\n")
+    got = read_csv(spark, str(folder))
+    assert sorted(map(tuple, got.select("a", "b").collect())) == [(1, "x"), (2, "y"), (3, "z")]
+    assert read_csv(spark, str(folder / "sales 2024.csv")).count() == 2
+    put(folder / "other.csv", "a,c\n1,x\n")
+    with pytest.raises(SourceError, match="columns"):
+        read_csv(spark, str(folder))
 
 
 def test_csv_cell_beyond_the_window_fails_loudly(spark, tmp_path):
@@ -53,15 +68,18 @@ def test_csv_cell_beyond_the_window_fails_loudly(spark, tmp_path):
 
 
 def test_manifest(spark, tmp_path):
-    put(tmp_path / "my data+1.csv", PRODUCTS)
+    put(tmp_path / "my data+1.csv", TOOLS)
     put(tmp_path / "notes.txt", "hello")
     put(tmp_path / "BIG.PARQUET", "x" * 500)
+    put(tmp_path / "a  (b).csv", "x")
     got = {r["original_name"]: r for r in file_manifest(spark, str(tmp_path), size_cap=100).collect()}
     csv = got["my data+1.csv"]
     assert (csv["safe_name"], csv["kind"], csv["dataset_name"]) == ("my_data_1.csv", "csv", "my data+1")
-    assert csv["sha256"] == hashlib.sha256(PRODUCTS.encode()).hexdigest() and csv["size_bytes"] == len(PRODUCTS)
+    assert csv["sha256"] == hashlib.sha256(TOOLS.encode()).hexdigest() and csv["size_bytes"] == len(TOOLS)
     assert got["notes.txt"]["error"] == "unsupported file extension" and got["notes.txt"]["kind"] is None
     assert got["BIG.PARQUET"]["error"] == "file too large" and got["BIG.PARQUET"]["sha256"] is None
+    assert got["a  (b).csv"]["safe_name"] == "a_b_.csv"
+    assert file_manifest(spark, str(tmp_path)).where("sha256 is null").count() == 0
     with pytest.raises(SourceError):
         require_supported(file_manifest(spark, str(tmp_path)))
 
@@ -174,9 +192,13 @@ def test_import_tables(spark):
     got = import_tables(spark, catalog, [("public", "a", None), ("public", "b", "B!")], open_table).collect()
     assert [r["name"] for r in got] == ["public.a", "B!"] and got[0]["locator"] == {"schema": "public", "table": "a"}
     assert opened == [("public", "a"), ("public", "b")]
-    for requests in ([("public", "a", "x"), ("public", "b", "x")], [("public", "taken", None)], [], [("s", "t", str(i)) for i in range(51)]):
+    for requests in ([("public", "a", "x"), ("public", "b", "x")], [("public", "taken", None)], []):
         with pytest.raises(SourceError):
             import_tables(spark, catalog, requests, open_table)
+    many = [("s", "t", str(i)) for i in range(60)]
+    assert import_tables(spark, catalog, many, open_table).count() == 60
+    with pytest.raises(SourceError):
+        import_tables(spark, catalog, many, open_table, max_tables=50)
 
 
 CONFIG = {"host": "h", "database": "d", "user": "u", "password": "p"}

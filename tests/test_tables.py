@@ -119,10 +119,19 @@ def test_unique_slugs(spark):
     df = spark.createDataFrame([(1, "Acme"), (2, "acmé"), (3, "!!"), (4, "Other")], "id int, name string")
     got = {r["id"]: r["slug"] for r in ev.unique_slugs(df, "id", "name").collect()}
     assert got[1] == "acme" and got[4] == "other"
-    assert got[2].startswith("acme-") and len(got[2]) == 13 and len(got[3]) == 8
+    assert got[2] == "acme--2" and got[3] == "row--3"
     assert len(set(got.values())) == 4
 
 
+def test_unique_slugs_of_equal_names(spark):
+    same = spark.range(500_000).selectExpr("id", "'Same name' AS name")
+    near = spark.createDataFrame([(-1, "same name 1"), (-2, "row"), (-3, "")], "id long, name string")
+    slugs = ev.unique_slugs(same.union(near), "id", "name")
+    assert slugs.select("slug").distinct().count() == 500_003
+    texts = spark.createDataFrame([("7", "a"), ("07", "a"), ("x", "a"), ("X", "a")], "id string, name string")
+    assert ev.unique_slugs(texts, "id", "name").select("slug").distinct().count() == 4
+
+
 def test_rate_windows_and_active_rows(spark):
     df = spark.sql(
         "SELECT 'u' AS who, timestamp_ntz'2024-01-01 10:00:00' + make_dt_interval(0, 0, CAST(id AS int) * 10) AS at FROM range(8)"
