@@ -15,7 +15,7 @@ import pyarrow as pa
 
 from tablewright.llm.chunks import IS_SPACE, Chunk
 
-TOKEN_CHUNK = 4 << 20
+TOKEN_CHUNK = 3 << 20
 _KEPT_PARTS = 150_000  # from task to task
 _KNOWN_PARTS = 400_000  # parts remembered from chunk to chunk; rare ones are then forgotten, which changes no result
 
