@@ -63,7 +63,7 @@ def tokenized_pieces(
                 at = np.append(begin, offsets[-1]).astype(np.int32)
                 out["ids"] = pa.ListArray.from_arrays(pa.array(at), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_pydict(out)
-        tokens.shrink()
+        tokens.rest()
 
     return docs.select("doc_id", column).mapInArrow(run, schema)
 

@@ -225,7 +225,7 @@ def write_archive(
                 size += len(texts[-1])
         if keys:
             yield file(span, keys, texts)
-        tokens.shrink()
+        tokens.rest()
         if counts.any():
             used = np.flatnonzero(counts)
             pairs = np.stack([used, counts[used]], axis=1).astype("<i8").tobytes()

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 from tablewright.llm.chunks import IS_SPACE, Chunk
 
-TOKEN_CHUNK = 3 << 20
+TOKEN_CHUNK = 4 << 20
 _KEPT_PARTS = 150_000  # from task to task
 _KNOWN_PARTS = 400_000  # parts remembered from chunk to chunk; rare ones are then forgotten, which changes no result
 
@@ -91,8 +91,13 @@ class Encoder:
             ids = np.fromiter((i for x in found for i in x), np.uint32)
             self._store(some, ids, np.fromiter(map(len, found), np.int64, len(found)))
 
-    def shrink(self, most: int = _KEPT_PARTS) -> None:
-        """Keep the parts that most chunks had. Called at the end of a task, as the worker goes on to others."""
+    def rest(self) -> None:
+        """Called at the end of a task, as the worker goes on to others."""
+        if len(self.parts) > 2 * _KEPT_PARTS:
+            self.shrink(_KEPT_PARTS)
+
+    def shrink(self, most: int) -> None:
+        """Keep the parts that most chunks had."""
         n = len(self.parts)
         if n <= most:
             return
