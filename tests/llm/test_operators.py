@@ -124,7 +124,7 @@ def test_packing_odd_rows(odd_docs, no_docs):
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_parts_have_the_ids_of_whole_texts(name):
     draw = random.Random(2)
-    signs = ["a", "Be", " ", "  ", "\n", "\t", "́", "é", "İ", "Σ", "'s", "'", "12", "<|endoftext|>", ".", ",", "中", "　", "\r\n", "\x85", "_", "\U0001f600"]
+    signs = ["a", "Be", " ", "  ", "\n", "\t", "́", "é", "İ", "Σ", "'s", "'", "12", "<|endoftext|>", ".", ",", "中", "　", "\r\n", "\x85", "_", "\U0001f600", "ñ", "×", "#", "|", "<", "(", "-"]
     texts = ["".join(draw.choices(signs, k=draw.randint(0, 30))) for _ in range(4000)]
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
     encoder = tokens.Encoder(tokenizer_path(name))
