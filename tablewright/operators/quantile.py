@@ -4,7 +4,8 @@
 values outside the bracket are then replaced by the column's extremes, which
 leaves the median where it was, and the few distinct values that remain are
 counted and ranked. A bracket that may hold more than ``MAX_VALUES`` values is
-narrowed first. Every bracket is checked against exact counts, so the result
+narrowed first; if its ends are hot values that no sketch gets past, they are
+counted and the search goes on between them. Every bracket is checked against exact counts, so the result
 does not rest on the quality of the sketch.
 """
 
@@ -74,6 +75,38 @@ def _brackets(df: DataFrame, columns: list[str]) -> dict[str, _Bracket]:
     return out
 
 
+def _open(df: DataFrame, brackets: dict[str, _Bracket], columns: list[str]) -> list[str]:
+    """Count both hot ends exactly and go on between them; returns the columns that are done.
+
+    Those are held by at most two values now. Ends that hold next to nothing
+    come from a sketch that broke its bound; there all that is left is ranked.
+    """
+    wanted = []
+    for column in columns:
+        b, real = brackets[column], _real(df, column)
+        between = F.when((real > F.lit(b.lo)) & (real < F.lit(b.hi)), real)
+        wanted += [F.count_if(real == F.lit(b.lo)), F.count_if(real == F.lit(b.hi)), F.min(between), F.max(between)]
+    row = list(df.agg(*wanted).first())
+    settled = []
+    for i, column in enumerate(columns):
+        b, (at_lo, at_hi, inner_lo, inner_hi) = brackets[column], row[4 * i : 4 * i + 4]
+        start, end = b.below + at_lo, b.below + b.inside - at_hi  # ranks of the values between the ends
+        if inner_lo is not None and start <= b.first and b.second < end:
+            if at_lo + at_hi < MARGIN / 2 * b.inside:
+                settled.append(column)
+                continue
+            b.lo, b.hi, b.below, b.inside, b.margin = inner_lo, inner_hi, start, end - start, MARGIN
+            continue
+        settled.append(column)
+        if b.second < start:
+            b.hi = b.lo
+        elif b.first >= end:
+            b.lo = b.hi
+        elif inner_lo is not None:
+            b.lo, b.hi = (b.lo, inner_lo) if b.first < start else (inner_hi, b.hi)
+    return settled
+
+
 def _narrow(df: DataFrame, brackets: dict[str, _Bracket]) -> None:
     """Shrink each bracket from the whole range until few values are left in it."""
     todo = list(brackets)
@@ -90,15 +123,17 @@ def _narrow(df: DataFrame, brackets: dict[str, _Bracket]) -> None:
             real = _real(df, column)
             counts += [F.count_if(real < F.lit(lo)), F.count_if(real.between(F.lit(lo), F.lit(hi)))]
         exact = list(df.agg(*counts).first())
-        settled = []
+        hot = []
         for i, (column, (lo, hi)) in enumerate(zip(todo, proposed)):
             b, below, inside = brackets[column], exact[2 * i], exact[2 * i + 1]
             if not below <= b.first <= b.second < below + inside:
                 b.margin *= 4  # the sketch missed: ask for a wider bracket
-            elif inside == b.inside:
-                settled.append(column)  # both ends are hot values, little lies between them
             else:
+                if inside == b.inside:
+                    hot.append(column)  # the ends are hot values, so no quantile lies between them
                 b.lo, b.hi, b.below, b.inside = lo, hi, below, inside
+        hot = [c for c in hot if brackets[c].lo != brackets[c].hi]
+        settled = _open(df, brackets, hot) if hot else []
         todo = [c for c in todo if c not in settled]
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.errors import OperationError
+from tablewright.operators.frequency import frequencies
 from tablewright.operators import inspect as look
 from tablewright.operators import quantile
 from tablewright.operators.profile import approximate_profile, profile, quality_brief
@@ -75,6 +76,24 @@ def test_median_is_exact(spark, n):
     assert got["i"] == statistics.median(int(v) for v in values) and got["v"] is None
 
 
+@pytest.mark.parametrize("zeros, between, ones", [(9_990, 200, 9_990), (10_000, 200, 9_800), (9_800, 201, 10_001), (9_999, 2, 9_999), (10_000, 0, 10_000), (9_000, 200, 12_000)])
+def test_median_between_two_hot_values(spark, monkeypatch, zeros, between, ones):
+    """What lies between two hot values is narrowed as well before it is ranked in one task."""
+    monkeypatch.setattr(quantile, "MAX_VALUES", 50)
+    ranked = []
+
+    def counted(df, columns, nulls):
+        found = frequencies(df, columns, nulls=nulls)
+        ranked.append(found.table.count())
+        return found
+
+    monkeypatch.setattr(quantile, "frequencies", counted)
+    values = [0.0] * zeros + [(i + 1) / (between + 1) for i in range(between)] + [1.0] * ones
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
+    assert quantile.medians(df, ["v"])["v"] == pytest.approx(statistics.median(values), abs=1e-12)
+    assert max(ranked) <= 50 + 4
+
+
 def test_median_narrows_until_few_values_are_left(spark, monkeypatch):
     monkeypatch.setattr(quantile, "MAX_VALUES", 50)
     df = spark.range(200_000).select(
