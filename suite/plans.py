@@ -1,7 +1,9 @@
 """Recipes, journals and working copies."""
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from suite.base import (
@@ -37,10 +39,12 @@ def clean_recipe(spark, sf):
     return _cleaned(run_recipe(d_customer(spark, sf), _CUSTOMER_STEPS).frame)
 
 
-_CLEAN_SQL = f"""{WITH_CUSTOMER},
+_CLEAN_WITH = f"""{WITH_CUSTOMER},
 t AS (SELECT c_custkey, acctbal, nation_id, {sql_title(sql_clean('segment'))} AS segment,
         {sql_title(sql_clean('full_name'))} AS full_name FROM d),
-u AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY segment, full_name ORDER BY c_custkey) = 1)
+u AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY segment, full_name ORDER BY c_custkey) = 1) """
+
+_CLEAN_SQL = f"""{_CLEAN_WITH}
 SELECT c_custkey, round(coalesce(acctbal, (SELECT median(acctbal) FROM u)), 4) AS acctbal,
   coalesce(CAST(nation_id AS DOUBLE), (SELECT median(nation_id) FROM u)) AS nation_id,
   coalesce(segment, (SELECT segment FROM u WHERE segment IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS segment,
@@ -48,9 +52,22 @@ SELECT c_custkey, round(coalesce(acctbal, (SELECT median(acctbal) FROM u)), 4) A
 
 
 def recipe_log(spark, sf):
-    return run_recipe(d_customer(spark, sf), _CUSTOMER_STEPS).log_table().select(
-        "step", "op", F.col("error").isNull().alias("done")
-    )
+    """What became of each step, and the rows there were after it."""
+    frame = d_customer(spark, sf)
+    done = run_recipe(frame, _CUSTOMER_STEPS)
+    counts = []
+    for step, result in enumerate(done.results, 1):
+        if result is not None and result.frame is not None:
+            frame = result.frame
+        counts.append(frame.agg(F.count(F.lit(1)).alias("rows")).withColumn("step", F.lit(step)))
+    log = done.log_table().select("step", "op", F.col("error").isNull().alias("done"))
+    return log.join(reduce(DataFrame.unionByName, counts), "step")
+
+
+_LOG_SQL = _CLEAN_WITH + " UNION ALL ".join(
+    f"""SELECT {i} AS step, '{step["op"]}' AS op, {step["op"] != "no_such_step"} AS done, count(*) AS rows FROM {"d" if i < 3 else "u"}"""
+    for i, step in enumerate(_CUSTOMER_STEPS, 1)
+)
 
 
 def planned_recipe(spark, sf):
@@ -178,7 +195,7 @@ def working_copy(spark, sf):
 
 QUERIES = [
     Query("clean_recipe", clean_recipe, _CLEAN_SQL),
-    Query("recipe_log", recipe_log),
+    Query("recipe_log", recipe_log, _LOG_SQL),
     Query("planned_recipe", planned_recipe, _PLANNED_SQL),
     Query("recipe_signals", recipe_signals, _SIGNALS_SQL),
     Query(
