@@ -1,12 +1,15 @@
 """Profiles and inspections."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from suite.base import WITH_CUSTOMER, Query, d_customer, derived, table
 from tablewright.operators import inspect as look
 from tablewright.operators.dedupe import duplicate_examples, duplicate_groups, duplicate_totals
 from tablewright.operators.profile import profile, quality_brief
-from tablewright.plans.profile_runs import latest_per_group, read_back
+from tablewright.plans.profile_runs import latest_per_group, latest_runs, read_back, run_profile
+from tablewright.scratch import shared_dir
 
 _CUSTOMER = {
     "c_custkey": "bigint",
@@ -73,6 +76,14 @@ def profile_latest_run(spark, sf):
     return latest.select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
+def profile_run(spark, sf):
+    """Two tables profiled, and the last state of their runs."""
+    root = f"{shared_dir(spark)}/runs/{uuid.uuid4().hex}"
+    for name in ("customer", "orders"):
+        run_profile(spark, root, name, lambda name=name: table(spark, sf, name))
+    return latest_runs(spark.read.parquet(f"{root}/profile_runs")).select("dataset_id", "status", "row_count", "error")
+
+
 def brief(spark, sf):
     return quality_brief(profile(d_customer(spark, sf))).withColumn(
         "columns_with_many_nulls", F.col("columns_with_many_nulls").cast("bigint")
@@ -198,6 +209,14 @@ QUERIES = [
         """SELECT o_custkey, o_orderkey, o_orderstatus FROM orders
 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""",
     ),
+    Query(
+        "profile_run",
+        profile_run,
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS dataset_id, 'completed' AS status, count(*) AS row_count, CAST(NULL AS VARCHAR) AS error FROM {name}"
+            for name in ("customer", "orders")
+        ),
+    ),
     Query("quality_brief", brief, _BRIEF_SQL),
     Query("stored_profiles", stored_profiles, _STORED_SQL),
     Query("inspect_numeric", inspect_numeric, _numeric_sql("l_extendedprice", "lineitem")),
