@@ -17,10 +17,13 @@ from suite.base import (
     sql_title,
     table,
 )
+from tablewright.operators.result import OpResult
 from tablewright.plans import journal
 from tablewright.plans.recipe import column_signals, replay, run_recipe, suggest_recipe
+from tablewright.plans.registry import register_op
 from tablewright.scratch import shared_dir
 from tablewright.plans.workcopy import WorkingCopy
+from tablewright.sources.registry import read_dataset
 
 _CUSTOMER_STEPS = [
     {"op": "inspect_column", "args": {"column": "acctbal"}},
@@ -193,7 +196,43 @@ def working_copy(spark, sf):
     return copy.frame().select("c_custkey", "segment", "full_name")
 
 
+def promote_copy(spark, sf):
+    """A cleaned copy made a dataset of its own, opened through its catalogue line."""
+    root = shared_dir(spark)
+    copy = WorkingCopy.create(d_customer(spark, sf).drop("all_null"), f"{root}/copies", uuid.uuid4().hex)
+    copy.run("normalize_text", {"columns": ["full_name"], "case": "upper"})
+    line = copy.promote(f"{root}/datasets/{uuid.uuid4().hex}", "customers").first()
+    return read_dataset(spark, line["kind"], line["locator"]).select("c_custkey", "segment", "full_name")
+
+
+def _keep_above(df, column, value):
+    kept = df.where(F.col(column) > value)
+    return OpResult(kept, kept.agg(F.count(F.lit(1)).alias("rows_after")), lambda known: {"op": "keep_above"})
+
+
+def own_operation(spark, sf):
+    """An operation of the user's own between two others."""
+    register_op("keep_above", _keep_above)
+    steps = [
+        {"op": "normalize_text", "args": {"columns": ["segment"], "case": "lower"}},
+        {"op": "keep_above", "args": {"column": "acctbal", "value": 0}},
+        {"op": "dedupe", "args": {"columns": ["segment", "nation_id"], "order_by": ["c_custkey"]}},
+    ]
+    return run_recipe(d_customer(spark, sf), steps, on_error="raise").frame.select("c_custkey", "segment", "nation_id")
+
+
 QUERIES = [
+    Query(
+        "promote_copy",
+        promote_copy,
+        f"{WITH_CUSTOMER} SELECT c_custkey, segment, upper({sql_clean('full_name')}) AS full_name FROM d",
+    ),
+    Query(
+        "own_operation",
+        own_operation,
+        f"""{WITH_CUSTOMER} SELECT c_custkey, lower({sql_clean('segment')}) AS segment, nation_id FROM d WHERE acctbal > 0
+QUALIFY row_number() OVER (PARTITION BY lower({sql_clean('segment')}), nation_id ORDER BY c_custkey) = 1""",
+    ),
     Query("clean_recipe", clean_recipe, _CLEAN_SQL),
     Query("recipe_log", recipe_log, _LOG_SQL),
     Query("planned_recipe", planned_recipe, _PLANNED_SQL),
