@@ -5,6 +5,9 @@ digits. A window slides over it; counts of the characters in the window and the
 of n log2 n change by one character in and one out, which gives the Shannon
 entropy of every window. A candidate is reported if one window reaches the
 threshold of its class of characters, unless a pattern of the allow list fits it.
+A window with letters and digits has the class of its own characters, so that a label
+before a secret does not raise the threshold; others have that of the candidate. A path
+is only allowed if its last part would not be reported alone.
 
 Positions are code points, ends exclusive. Null and empty texts have no spans.
 Repeated rows are scanned one by one, an empty table gives an empty one, and an
@@ -12,6 +15,7 @@ input column with the name of a new one gives way to it.
 """
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +32,13 @@ WINDOW = 20
 # Least entropy of a window by class; random hexadecimal windows lie about 3.4, random base-64 ones about 4.1.
 CLASSES = (("hex", r"^[0-9a-fA-F]+$", 3.0), ("lower", r"^[0-9a-z_-]+$", 3.6), ("mixed", r"^.+$", 3.8))
 
+_PATH = r"^/?([A-Za-z_-]+/)+[A-Za-z0-9_-]*$"
 #: Not reported, whatever their entropy.
 ALLOWED = (
     r"(?i)example|placeholder|changeme|your_?(api)?_?key|dummy|sample|x{6,}",
     r"(?i)^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$",
     r"(?i)0123456789|abcdefghij",
-    r"^/?([A-Za-z_-]+/)+[A-Za-z0-9_-]*$",
+    _PATH,
 )
 
 _FIRST, _LAST = ord("+"), ord("z")
@@ -65,32 +70,74 @@ def _matches(text: Column, pattern: str, group: int = 0) -> Column:
 
 def window_entropy(text: Column, window: int = WINDOW) -> Column:
     """The largest entropy of a window of ASCII characters from ``+`` to ``z``; texts are at least as long as the window."""
+    return _best_window(text, F.lit(0.0), F.lit(False), window)
+
+
+def window_excess(text: Column, by_window: Column, window: int = WINDOW) -> Column:
+    """The most by which a window exceeds the threshold of its class, or where not ``by_window``, of the class of ``text``."""
+    return _best_window(text, _threshold(text), by_window, window)
+
+
+def _chars(fits: str) -> Column:
+    """Of each code, whether the character fits."""
+    return F.array(*(F.lit(bool(re.search(fits, chr(_FIRST + k)))) for k in range(_LAST - _FIRST + 1)))
+
+
+def _best_window(text: Column, least: Column, by_window: Column, window: int) -> Column:
+    """The most by which the entropy of a window exceeds ``least``, or the threshold of its own class."""
     # n log2 n for all counts that a window can hold
     weight = F.array(*(F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 1)))
-    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c) - _FIRST)
+    coded = F.transform(F.split(text, ""), lambda c: F.ascii(c) - _FIRST)
     cells = F.array_repeat(F.lit(0), _LAST - _FIRST + 1)
+    # The last places of a digit, a letter, and of what does not fit each class but the last.
+    marks = {"digit": _chars("[0-9]"), "letter": _chars("[A-Za-z]")}
+    marks |= {f"not_{name}": F.transform(_chars(pattern), lambda ok: ~ok) for name, pattern, _ in CLASSES[:-1]}
 
     def cell(counts: Column, code: Column) -> Column:
         return F.get(counts, code)
 
-    def step(state: Column, i: Column) -> Column:
-        counts = state["counts"]
-        new = F.get(codes, i)
-        old = F.when(i >= window, F.get(codes, i - window))  # null while the window fills
-        # One character out, then one in.
-        less = F.when(old.isNull(), counts).otherwise(F.transform(counts, lambda n, k: n - (k == old).cast("int")))
-        down = F.when(old.isNull(), F.lit(0.0)).otherwise(
-            F.get(weight, cell(counts, old) - 1) - F.get(weight, cell(counts, old))
+    def slide(codes: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            counts = state["counts"]
+            new = F.get(codes, i)
+            old = F.when(i >= window, F.get(codes, i - window))  # null while the window fills
+            # One character out, then one in.
+            less = F.when(old.isNull(), counts).otherwise(F.transform(counts, lambda n, k: n - (k == old).cast("int")))
+            down = F.when(old.isNull(), F.lit(0.0)).otherwise(
+                F.get(weight, cell(counts, old) - 1) - F.get(weight, cell(counts, old))
+            )
+            up = F.get(weight, cell(less, new) + 1) - F.get(weight, cell(less, new))
+            total = state["total"] + down + up
+            more = F.transform(less, lambda n, k: n + (k == new).cast("int"))
+            last = {m: F.when(F.get(fits, new), i).otherwise(state[m]) for m, fits in marks.items()}
+            own = F.lit(CLASSES[-1][2])
+            for name, _, lowest in reversed(CLASSES[:-1]):
+                own = F.when(last[f"not_{name}"] <= i - window, F.lit(lowest)).otherwise(own)
+            mixed = (last["digit"] > i - window) & (last["letter"] > i - window)
+            bound = F.when(state["by_window"] & mixed, own).otherwise(state["least"])
+            excess = F.lit(math.log2(window)) - total / F.lit(float(window)) - bound
+            best = F.when(i >= window - 1, F.greatest(state["best"], excess)).otherwise(state["best"])
+            return F.struct(
+                more.alias("counts"),
+                total.alias("total"),
+                *(at.alias(m) for m, at in last.items()),
+                state["least"].alias("least"),
+                state["by_window"].alias("by_window"),
+                best.alias("best"),
+            )
+
+        start = F.struct(
+            cells.alias("counts"),
+            F.lit(0.0).alias("total"),
+            *(F.lit(-1).alias(m) for m in marks),
+            least.alias("least"),
+            by_window.alias("by_window"),
+            F.lit(-float(window)).alias("best"),
         )
-        up = F.get(weight, cell(less, new) + 1) - F.get(weight, cell(less, new))
-        total = state["total"] + down + up
-        more = F.transform(less, lambda n, k: n + (k == new).cast("int"))
-        least = F.when(i >= window - 1, F.least(state["least"], total)).otherwise(state["least"])
-        return F.struct(more.alias("counts"), total.alias("total"), least.alias("least"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, lambda state: state["best"])
 
-    start = F.struct(cells.alias("counts"), F.lit(0.0).alias("total"), F.lit(float(window * window)).alias("least"))
-    places = F.sequence(F.lit(0), F.char_length(text) - 1)
-    return F.aggregate(places, start, step, lambda state: F.lit(math.log2(window)) - state["least"] / F.lit(float(window)))
+    # An array of one, so that the codes are made once and not for every place.
+    return F.get(F.transform(F.array(coded), slide), F.lit(0))
 
 
 def _threshold(text: Column) -> Column:
@@ -120,11 +167,20 @@ def scan_secrets(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED, column: st
     text = F.coalesce(F.col(column), F.lit(""))
     assign = F.filter(_matches(text, ASSIGN, 2), lambda m: F.char_length(m["group"]) >= 8)
 
+    def fits(part: Column, patterns: tuple[str, ...]) -> Column:
+        out = F.lit(False)
+        for pattern in patterns:
+            out = out | part.rlike(pattern)
+        return out
+
     def suspicious(m: Column) -> Column:
-        suppressed = F.lit(False)
-        for pattern in allowed:
-            suppressed = suppressed | m["group"].rlike(pattern)
-        return ~suppressed & (window_entropy(m["group"]) >= _threshold(m["group"]))
+        value = F.regexp_extract(m["group"], r"[^=/]*(?==*$)", 0)  # without labels
+        known = fits(value, allowed)
+        glued = fits(m["group"], tuple(p for p in allowed if p == _PATH)) & value.rlike(f"^{CANDIDATE}$") & ~known
+        suppressed = fits(m["group"], tuple(p for p in allowed if p != _PATH))
+        suppressed = suppressed | (fits(m["group"], tuple(p for p in allowed if p == _PATH)) & ~glued)
+        judged = F.array(F.when(glued, value).otherwise(m["group"]))
+        return ~suppressed & F.exists(judged, lambda part: window_excess(part, ~known) >= 0)
 
     found = docs.withColumns(
         {

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import uuid
 import zlib
 from collections import Counter
 
@@ -341,6 +342,44 @@ def test_secrets(spark, odd_docs, no_docs):
     assert secret_scan.scan_secrets(no_docs).count() == 0
 
 
+def test_labels_do_not_hide_secrets(spark):
+    draw = random.Random(12)
+    digits = "0123456789"
+    texts = []
+    for label in ("", "sig=", "auth/", "id_", "v-", "a/b=", "X-Sig="):
+        for signs, n in [("0123456789abcdef", 24), ("0123456789ABCDEF", 24), ("0123456789abcdef", 40), ("0123456789ABCDEF", 64)]:
+            texts += [f"see {label}{''.join(draw.choices(signs, k=n))} there" for _ in range(25)]
+    other = [f"id={uuid.UUID(int=draw.getrandbits(128))} users/{uuid.UUID(int=draw.getrandbits(128))}" for _ in range(100)]
+    other += [f"order={''.join(draw.choices(digits, k=30))} id_{''.join(draw.choices(digits, k=20))}" for _ in range(100)]
+    other += ["docs/parts/page_page_page_page_2 example/0f1e2d3c4b5a69788796a5b4"]
+    docs = spark.createDataFrame(list(enumerate(texts + other)), "i int, text string")
+    got = {r.i: [r.text[s.start : s.end] for s in r.spans if s.kind == 3] for r in secret_scan.scan_secrets(docs).collect()}
+    found = [got[i] == [text.split()[1]] for i, text in enumerate(texts)]
+    assert all(np.mean(found[i : i + 100]) >= 0.97 for i in range(0, len(texts), 100))
+    for i, text in enumerate(other):  # labels of what is allowed or has digits only change nothing
+        windows = [Counter(text.split()[0][k : k + 20]).values() for k in range(len(text.split()[0]) - 19)]
+        high = i < 100 and max(-sum(n / 20 * math.log2(n / 20) for n in w) for w in windows) >= 3.8
+        assert got[len(texts) + i] == ([text.split()[0]] if high else [])
+
+
+def test_windows_are_judged_by_their_own_class(spark):
+    draw = random.Random(13)
+    texts = ["".join(draw.choices(draw.choice(["0123456789abcdefABCDEF", "0123456789", "abc-_019xyz", "aBcXYZ019+/=_-"]), k=draw.randint(5, 25))) for _ in range(120)]
+    texts = [a + b for a, b in zip(texts, texts[1:] + ["0a" * 10], strict=True) if len(a + b) >= 20]
+
+    def least(part: str) -> float:
+        return next(low for _, pattern, low in secret_scan.CLASSES if re.search(pattern, part))
+
+    docs = spark.createDataFrame([(t,) for t in texts], "t string")
+    one, two = (secret_scan.window_excess(docs["t"], secret_scan.F.lit(flag)) for flag in (True, False))
+    for row in docs.select("t", one.alias("one"), two.alias("two")).collect():
+        windows = [row.t[i : i + 20] for i in range(len(row.t) - 19)]
+        bits = [-sum(n / 20 * math.log2(n / 20) for n in Counter(w).values()) for w in windows]
+        own = [least(w if re.search("[0-9]", w) and re.search("[A-Za-z]", w) else row.t) for w in windows]
+        assert math.isclose(row.one, max(b - o for b, o in zip(bits, own, strict=True)), abs_tol=1e-9)
+        assert math.isclose(row.two, max(bits) - least(row.t), abs_tol=1e-9)
+
+
 def test_window_entropy(spark):
     draw = random.Random(9)
     texts = ["".join(draw.choices("abcXYZ019+/=_-", k=draw.randint(20, 60))) for _ in range(30)]
