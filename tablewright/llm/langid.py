@@ -92,18 +92,25 @@ def _squeezed(points: np.ndarray) -> np.ndarray:
 
 
 def fit_languages(labelled: DataFrame, texts_per_language: int = 40, chars_per_text: int = 400) -> Languages:
-    """Automata over a bounded sample: of each language the texts with the smallest hashes, cut to a few hundred characters.
+    """Automata over a bounded sample: of each language the distinct texts with the smallest hashes, and of each
+    a few hundred characters at a place that its hash gives.
 
     ``labelled`` has ``text`` and ``lang``. What reaches the driver is bounded
     by the two parameters and the number of languages.
     """
-    draw = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
+    lettered = labelled.where("lang is not null").where(F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("hash"))
+    draw = Window.partitionBy("lang").orderBy("hash")
+    drawn = lettered.select("lang", "hash").distinct().withColumn("n", F.row_number().over(draw)).where(F.col("n") <= texts_per_language)
+    # Runs of other characters count as a blank, so every place of what is left is in or next to letters.
+    letters = F.regexp_replace("text", r"\P{L}+", " ")
+    places = F.greatest(F.char_length("letters") - chars_per_text + 1, F.lit(1))
+    begin = F.pmod(F.xxhash64("hash"), places).cast("int") + 1
     sample = (
-        labelled.where("lang is not null and text is not null")
-        .select("lang", F.substring("text", 1, chars_per_text).alias("text"))
-        .where(F.col("text").rlike(r"\p{L}"))
-        .withColumn("n", F.row_number().over(draw))
-        .where(F.col("n") <= texts_per_language)
+        lettered.join(F.broadcast(drawn), ["lang", "hash"])
+        .withColumn("letters", letters)
+        .select("lang", "n", F.substring(F.col("letters"), begin, F.lit(chars_per_text)).alias("text"))
+        .groupBy("lang", "n")
+        .agg(F.min("text").alias("text"))
         .collect()
     )
     if not sample:

@@ -84,6 +84,19 @@ def test_phrases_are_those_of_a_greedy_parse(spark):
     assert abs(int(langid.phrases(model, symbols, np.array([0]), np.array([len(text)]))[0, 0]) - count) <= 1
 
 
+def test_languages_learn_from_distinct_whole_texts(spark):
+    letters = "bcdfghjklm"
+    copies = [(f"{c}a{c} " * 50, "copies") for c in letters for _ in range(50)]
+    opening = [("nonono " * 60 + f"{c}o{c} " * 1000, "opening") for c in letters]
+    late = [("12 % " * 100 + f"{c}u{c} " * 20, "late") for c in letters]
+    labelled = spark.createDataFrame(copies + opening + late, "text string, lang string").repartition(4)
+    model = langid.fit_languages(labelled, texts_per_language=10)
+    assert sorted(model.labels) == ["copies", "late", "opening"]
+    docs = spark.createDataFrame([(f"{c}{v}{c} " * 30, lang) for c in letters for v, lang in (("a", "copies"), ("o", "opening"), ("u", "late"))], "text string, want string")
+    got = langid.identify_languages(docs, model).collect()
+    assert [r.lang_pred for r in got] == [r.want for r in got]
+
+
 # --- 2: packing
 
 
