@@ -198,13 +198,24 @@ def appended(
     return used.mapInArrow(run, schema)
 
 
-def packed_texts(docs: DataFrame, column: str) -> DataFrame:
-    """(doc_id, packed): the texts compressed, for shuffles."""
+def packed_texts(docs: DataFrame, column: str, digests: Callable[[Chunk], np.ndarray] | None = None) -> DataFrame:
+    """(doc_id, packed) and, if given, ``digests``: the texts compressed, for shuffles; with digests, each task has an id and digest once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            packed = [squeeze.compress(x) for x in binary(batch.column(column)).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "packed": pa.array(packed, pa.binary())})
-
-    return docs.select("doc_id", column).mapInArrow(run, "doc_id long, packed binary")
+        seen: set[tuple] = set()
+        for chunk in chunks(batches, column):
+            ids = chunk.rows.column("doc_id").cast(pa.int64())
+            data, offsets = chunk.data.tobytes(), chunk.offsets.tolist()
+            rows = list(range(len(chunk)))
+            columns = {"doc_id": ids}
+            if digests is not None:
+                columns["digest"] = pa.array(digests(chunk).view(np.int64))
+                keys = list(zip(ids.to_pylist(), columns["digest"].to_pylist(), strict=True))
+                rows = [i for i in rows if keys[i] not in seen and not seen.add(keys[i])]
+                columns = {c: x.take(pa.array(rows, pa.int64())) for c, x in columns.items()}
+            columns["packed"] = pa.array([squeeze.compress(data[offsets[i] : offsets[i + 1]]) for i in rows], pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
+
+    fields = "doc_id long, packed binary" if digests is None else "doc_id long, digest long, packed binary"
+    return docs.select("doc_id", column).mapInArrow(run, fields)

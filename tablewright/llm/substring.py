@@ -254,7 +254,6 @@ def _segments(joined: DataFrame, bits: int, window: int) -> DataFrame:
                 offsets = np.append(0, np.cumsum([len(x) for x in texts]))
                 chunk = Chunk(part, np.frombuffer(b"".join(texts), np.uint8), offsets)
                 docs, digests = part.column("doc_id").to_pylist(), part.column("digest").to_pylist()
-                real = word_digests(chunk).view(np.int64).tolist()
                 first, anchor = anchors(chunk, window)
                 anchor = shortened(anchor, bits)
                 rows = chunk.word_rows[first]
@@ -273,8 +272,6 @@ def _segments(joined: DataFrame, bits: int, window: int) -> DataFrame:
                 edges = np.append(_new_runs(anchor, rows, first), len(first)) if len(first) else np.zeros(1, np.int64)
                 for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     row = int(rows[a])
-                    if real[row] != digests[row]:
-                        continue  # another text under a repeated id
                     begin, end = int(first[a]), int(first[b - 1]) + window
                     segment = b" ".join(chunk.data[chunk.starts[begin] : chunk.ends[end - 1]].tobytes().split())
                     start = begin - int(chunk.word_offsets[row])
@@ -326,7 +323,9 @@ def deduplicate_substrings(docs: DataFrame, window: int = 13, column: str = "tex
     found = blocks(docs.where("doc_id is not null"), column, bits, produce).groupBy("bucket").applyInArrow(shared, "anchor long, handle long")
     lists = found.groupBy("handle").agg(F.collect_set("anchor").alias("anchors"))
     wanted = classes.where("first is not null").join(lists, "handle").select(F.col("first").alias("doc_id"), "digest", "anchors")
-    texts = written(packed_texts(docs, column).join(wanted, "doc_id").select("doc_id", "digest", "packed", "anchors"))
+    # Rows that repeat an id and its words are one.
+    texts = packed_texts(docs, column, word_digests).join(wanted, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+    texts = written(texts.select("doc_id", "digest", "packed", "anchors"))
     segments = written(_segments(texts, bits, window))
 
     def shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,8 +352,6 @@ def deduplicate_substrings(docs: DataFrame, window: int = 13, column: str = "tex
                 words = open_.decompress(packed).split()
                 at = np.array([s["at"] for s in taken], np.int64)
                 n = np.array([s["n"] for s in taken], np.int64)
-                if len(words) < (at + n).max():
-                    continue  # another text under a repeated id
                 gone = covered(at, n, len(words))
                 kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))

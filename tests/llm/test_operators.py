@@ -311,6 +311,16 @@ def test_substrings_odd_rows(odd_docs, no_docs):
     assert substring.deduplicate_substrings(no_docs).count() == 0
 
 
+def test_substrings_of_repeated_rows_that_lose_words(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "pq")
+    first, other = f"x1 x2 x3 {one}", " ".join([*two.split()[:30], *(f"y{i}" for i in range(60))])
+    rows = [(1, f"{one} {two}"), (7, first), (7, first), (7, first.replace(" ", "  ")), (7, other), (7, other), (8, first), (9, f"{one} z1 z2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = substring.deduplicate_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    want = _kept(rows)
+    assert sorted(map(tuple, got)) == want and [r[2] for r in want] == [0, 40, 40, 40, 30, 30, 43, 40]
+
+
 def test_automaton_knows_the_smallest_holder():
     draw = random.Random(8)
     texts = [(d, draw.choices(range(3), k=30)) for d in (5, 3, 9, 4)]
