@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontaminate, jaccard, langid, packing, quality, rans, repetition, secret_scan, substring, warc
+from tablewright.llm import bpe, decontaminate, jaccard, langid, packing, quality, rans, repetition, secret_scan, substring, warc
 from tablewright.llm.chunks import small_batches
 
 
@@ -89,7 +89,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    ids = bpe.encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
+    return bpe.decode_ids(ids, path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_langid, op2_pack, op3_jaccard, op4_repetition, op5_substrings, op6_secrets, op7_warc, op8_rans, op9_decontaminate, op10_quality)
+    f.__name__: f for f in (op1_langid, op2_pack, op3_jaccard, op4_repetition, op5_substrings, op6_secrets, op7_warc, op8_rans, op9_decontaminate, op10_quality, op13_bpe)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -10,6 +10,8 @@ a row are the ids of the text.
 import gc
 import os
 import string
+import sys
+import types
 import unicodedata
 from itertools import chain, pairwise
 
@@ -181,11 +183,19 @@ class Encoder:
         return np.insert(ids, offsets[1:], np.uint32(end)), offsets + np.arange(len(offsets))
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of this worker process. Functions travel by value, so modules of this package cannot keep it."""
-    import tokenizers
+def kept(kind: type, path: str):
+    """The one object of that kind and path in this worker process.
+
+    Functions travel by value, so modules of this package cannot keep it; a module that is set up in the worker does.
+    """
+    module = sys.modules.setdefault("tablewright_kept", types.ModuleType("tablewright_kept"))
+    held = module.__dict__.setdefault("held", {})
+    key = (kind.__name__, path)
+    if key not in held:
+        held[key] = kind(path)
+    return held[key]
 
-    kept = tokenizers.__dict__.setdefault("kept_encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this worker process."""
+    return kept(Encoder, path)
