@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, decontaminate, jaccard, langid, packing, quality, rans, repetition, secret_scan, substring, warc
+from tablewright.llm import bpe, decontaminate, jaccard, langid, packing, prefix_trie, quality, rans, repetition, secret_scan, substring, warc
 from tablewright.llm.chunks import small_batches
 
 
@@ -89,6 +89,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.numbered_turns(_table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_nodes(*prefix_trie.spliced(turns))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
     ids = bpe.encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
@@ -101,6 +106,42 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_langid, op2_pack, op3_jaccard, op4_repetition, op5_substrings, op6_secrets, op7_warc, op8_rans, op9_decontaminate, op10_quality, op13_bpe)
+    f.__name__: f for f in (op1_langid, op2_pack, op3_jaccard, op4_repetition, op5_substrings, op6_secrets, op7_warc, op8_rans, op9_decontaminate, op10_quality, op12_prefixes, op13_bpe)
 }
-ORACLE_SQL: dict[str, str] = {}
+_PREFIXES_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+-- CRC-32 of the decimal digits, bit by bit
+c AS (
+  SELECT conv_id, count(*) AS own, xor(4294967295::BIGINT, list_reduce(
+    list_concat([4294967295::BIGINT], flatten(list_transform(
+      string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1) * 3988292384))) % 9 AS h
+  FROM t GROUP BY conv_id),
+r AS (
+  SELECT c.conv_id, t.i AS d, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND t.i <= c.h
+  UNION ALL
+  SELECT c.conv_id, least(h, coalesce((SELECT b.own FROM c b WHERE b.conv_id = c.conv_id - c.conv_id % 5), 0)) + t.i - h, role, text
+  FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > c.h),
+k AS (
+  SELECT conv_id, 0 AS d, '' AS node, '' AS above, 0 AS bytes FROM c
+  UNION ALL
+  SELECT conv_id, d, string_agg(m, '') OVER w, coalesce(string_agg(m, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), bytes
+  FROM (SELECT conv_id, d, md5(md5(role) || text) AS m, strlen(text) AS bytes FROM r) WINDOW w AS (PARTITION BY conv_id ORDER BY d)),
+e AS (SELECT *, d = max(d) OVER (PARTITION BY conv_id) AS last FROM k),
+n AS (
+  SELECT node, d, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+    sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+  FROM e GROUP BY node, d),
+f AS (SELECT n.*, (SELECT count(*) FROM n m WHERE m.above = n.node AND m.d = n.d + 1) AS n_children FROM n),
+-- the nodes above each node, itself included, are those of its smallest member
+s AS (
+  SELECT k.node, sum((f.n_children = 0)::INT) AS n_leaves, sum((f.n_convs - 1) * f.bytes) AS saved
+  FROM f JOIN k ON k.conv_id = f.conv_id AND k.d <= f.d GROUP BY k.node)
+SELECT f.conv_id, f.d::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves::BIGINT AS n_leaves,
+  s.saved::BIGINT AS saved_tokens, f.ends_sha256
+FROM f JOIN s ON s.node = f.node LEFT JOIN n p ON f.d > 0 AND p.node = f.above AND p.d = f.d - 1
+"""
+ORACLE_SQL: dict[str, str] = {"op12_prefixes": _PREFIXES_SQL}
