@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, decontaminate, jaccard, langid, packing, prefix_trie, quality, rans, repetition, secret_scan, substring, warc
+from tablewright.llm import bpe, decontaminate, divergence, jaccard, langid, packing, prefix_trie, quality, rans, repetition, secret_scan, substring, warc
 from tablewright.llm.chunks import small_batches
 
 
@@ -89,6 +89,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
 def op12_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.numbered_turns(_table(spark, sf_dir, "conversations"))
     return prefix_trie.prefix_nodes(*prefix_trie.spliced(turns))
@@ -106,7 +110,7 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_langid, op2_pack, op3_jaccard, op4_repetition, op5_substrings, op6_secrets, op7_warc, op8_rans, op9_decontaminate, op10_quality, op12_prefixes, op13_bpe)
+    f.__name__: f for f in (op1_langid, op2_pack, op3_jaccard, op4_repetition, op5_substrings, op6_secrets, op7_warc, op8_rans, op9_decontaminate, op10_quality, op11_divergence, op12_prefixes, op13_bpe)
 }
 _PREFIXES_SQL = """
 WITH t AS (
@@ -144,4 +148,38 @@ SELECT f.conv_id, f.d::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs,
   s.saved::BIGINT AS saved_tokens, f.ends_sha256
 FROM f JOIN s ON s.node = f.node LEFT JOIN n p ON f.d > 0 AND p.node = f.above AND p.d = f.d - 1
 """
-ORACLE_SQL: dict[str, str] = {"op12_prefixes": _PREFIXES_SQL}
+_DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+o AS (
+  SELECT doc, lang, source, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM d),
+kept AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (
+  SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(total, 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN v USING (lang)
+    LEFT JOIN (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY ALL) USING (lang, source)),
+l AS (SELECT lang, sum(total) AS total FROM g GROUP BY lang),
+p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.total + g.v) AS p
+  FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+q AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n) + 1) // (any_value(l.total) + any_value(v.v)) AS q
+  FROM c JOIN l USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+t AS (
+  SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+s AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0) AS value
+  FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+    LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+    LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL),
+r AS (
+  SELECT 'pair' AS part, *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM s
+  UNION ALL
+  SELECT 'term', *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM t)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+ORACLE_SQL: dict[str, str] = {"op11_divergence": _DIVERGENCE_SQL, "op12_prefixes": _PREFIXES_SQL}
