@@ -22,7 +22,7 @@ from tablewright.llm.chunks import Chunk, chunks
 from tablewright.llm.tokens import ragged
 from tablewright.scratch import written
 
-HOT_TERMS = 1 << 16  # in the transducer that is broadcast
+HOT_TERMS = 1 << 17  # in the transducer that is broadcast
 HOT_BYTES = 64  # longest term there
 SHARD_TERMS = 1 << 16
 SCALE = 1_000_000_000
@@ -93,11 +93,11 @@ class _Held:
 
 
 def _batches(table: pa.Table, seen: dict[tuple, int], names: list[str], **more) -> Iterator[pa.RecordBatch]:
-    groups = list(seen)
+    groups = [pa.array([g[i] for g in seen], pa.string()) for i in range(len(names))]
     for a in range(0, table.num_rows, 50_000):
         part = table.slice(a, 50_000).combine_chunks()
-        where = part["group"].to_pylist()
-        columns = {name: pa.array([groups[g][i] for g in where], pa.string()) for i, name in enumerate(names)}
+        where = part["group"].combine_chunks()
+        columns = {name: g.take(where) for name, g in zip(names, groups, strict=True)}
         columns["term"] = part["term"].combine_chunks().cast(pa.large_string()).cast(pa.string())
         columns["n"] = part["n"].combine_chunks()
         for name in more:
@@ -175,6 +175,13 @@ class Transducer:
         self.ordinals = np.array(numbers, np.int64)
         self._lay()
 
+    @classmethod
+    def of(cls, held: dict) -> "Transducer":
+        """From the attributes of another one."""
+        made = cls.__new__(cls)
+        made.__dict__ |= held
+        return made
+
     def _state(self, final: bool, steps: list) -> int:
         key = (final, tuple(steps))
         state = self.register.get(key)
@@ -292,12 +299,12 @@ def recount(docs: DataFrame, kept: DataFrame, hot_terms: int = HOT_TERMS, shard_
     spark = docs.sparkSession
     hot = _hot(kept, hot_terms)
     total = kept.count()
-    vocabulary = [hot]
+    vocabulary = spark.sparkContext.broadcast(transducer(hot).__dict__)  # arrays and dictionaries, of a bounded size
     names = ["lang", "source"]
     complete = total == len(hot)  # then nothing is left to send on
 
     def stream(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, held, seen = transducer(vocabulary[0]), _Held(), {}
+        reader, held, seen = Transducer.of(vocabulary.value), _Held(), {}
         keys, counts, width = [], [], max(1, total)
 
         def summed() -> Iterator[pa.RecordBatch]:
@@ -310,10 +317,11 @@ def recount(docs: DataFrame, kept: DataFrame, hot_terms: int = HOT_TERMS, shard_
                 keys[:], counts[:] = [], []
 
         def counted() -> Iterator[pa.RecordBatch]:
-            groups, both, n = list(seen), keys[0], counts[0]
+            both, n = keys[0], counts[0]
+            groups = [pa.array([g[i] for g in seen], pa.string()) for i in range(len(names))]
             for a in range(0, len(both), 50_000):
-                where = (both[a : a + 50_000] // width).tolist()
-                columns = {name: pa.array([groups[g][i] for g in where], pa.string()) for i, name in enumerate(names)}
+                where = pa.array(both[a : a + 50_000] // width)
+                columns = {name: g.take(where) for name, g in zip(names, groups, strict=True)}
                 columns |= {"term": pa.nulls(len(where), pa.string()), "n": pa.array(n[a : a + 50_000])}
                 yield pa.RecordBatch.from_pydict(columns | {"ordinal": pa.array(both[a : a + 50_000] % width)})
 
@@ -355,10 +363,12 @@ def recount(docs: DataFrame, kept: DataFrame, hot_terms: int = HOT_TERMS, shard_
                 if at[a] != shard:
                     shard, words, reader = at[a], [], None
                 part = batch.slice(a, b - a)
-                known = part.column("ordinal").is_valid()
-                own = part.filter(known)  # the shard's kept terms come before all others
+                ordered = part.column("kind").to_numpy()  # the shard's kept terms, counts of known ordinals, counts of terms
+                cut = np.searchsorted(ordered, [1, 2]).tolist()
+                own, counted, rest = part.slice(0, cut[0]), part.slice(cut[0], cut[1] - cut[0]), part.slice(cut[1])
                 words += zip(own["lang"].to_pylist(), (t.encode() for t in own["term"].to_pylist()), own["ordinal"].to_pylist(), strict=True)
-                rest = part.filter(pa.compute.invert(known))
+                if counted.num_rows:
+                    yield counted.select(fields)
                 if not rest.num_rows or not words:
                     continue
                 reader = reader or transducer(words)
@@ -372,22 +382,17 @@ def recount(docs: DataFrame, kept: DataFrame, hot_terms: int = HOT_TERMS, shard_
                 columns = [rest[c].take(pa.array(hit)) for c in ("lang", "source", "n")]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(found[hit])], names=["lang", "source", "n", "ordinal"])
 
-    import pyarrow.compute  # noqa: F401
-
     read = docs.select("text", "lang", "source")
-    counts = read.mapInArrow(stream, "lang string, source string, term string, n long, ordinal long")
     fields = ["lang", "source", "n", "ordinal"]
+    counts = read.mapInArrow(stream, "lang string, source string, term string, n long, ordinal long")
     if not complete:
-        counts = written(counts)
         parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
         n_shards = max(parallel, math.ceil((total - len(hot)) / shard_terms))
-        shard = F.pmod(F.xxhash64("lang", "term"), F.lit(n_shards)).alias("shard")
-        known = kept.select("lang", F.lit(None).cast("string").alias("source"), "term", F.lit(None).cast("long").alias("n"), "ordinal", shard)
-        others = counts.where("ordinal IS NULL").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-        others = others.select("lang", "source", "term", "n", F.lit(None).cast("long").alias("ordinal"), shard)
-        dealt = known.unionByName(others).repartition(n_shards, "shard").sortWithinPartitions("shard", F.col("ordinal").isNull())
-        late = dealt.mapInArrow(shards, "lang string, source string, n long, ordinal long")
-        counts = counts.where("ordinal IS NOT NULL").select(*fields).unionByName(late.select(*fields))
+        shard = F.pmod(F.when(F.col("term").isNull(), F.xxhash64("ordinal")).otherwise(F.xxhash64("lang", "term")), F.lit(n_shards)).alias("shard")
+        known = kept.select("lang", F.lit(None).cast("string").alias("source"), "term", F.lit(0).cast("long").alias("n"), "ordinal", shard, F.lit(0).alias("kind"))
+        counts = counts.select("lang", "source", "term", "n", "ordinal", shard, F.when(F.col("term").isNull(), 1).otherwise(2).alias("kind"))
+        dealt = known.unionByName(counts).repartition(n_shards, "shard").sortWithinPartitions("shard", "kind")
+        counts = dealt.mapInArrow(shards, "lang string, source string, n long, ordinal long")
     return written(counts.groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n")))
 
 
