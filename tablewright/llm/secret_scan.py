@@ -32,7 +32,8 @@ WINDOW = 20
 # Least entropy of a window by class; random hexadecimal windows lie about 3.4, random base-64 ones about 4.1.
 CLASSES = (("hex", r"^[0-9a-fA-F]+$", 3.0), ("lower", r"^[0-9a-z_-]+$", 3.6), ("mixed", r"^.+$", 3.8))
 
-_PATH = r"^/?([A-Za-z_-]+/)+[A-Za-z0-9_-]*$"
+# The group is possessive: a part of a path can end in one way only, and Java matches such a group in a loop, others by recursion.
+_PATH = r"^/?([A-Za-z_-]+/)++[A-Za-z0-9_-]*$"
 #: Not reported, whatever their entropy.
 ALLOWED = (
     r"(?i)example|placeholder|changeme|your_?(api)?_?key|dummy|sample|x{6,}",
@@ -45,10 +46,14 @@ _FIRST, _LAST = ord("+"), ord("z")
 _SPAN = "struct<start:int,kind:int,end:int>"
 
 
+_TOGETHER = 256
+
+
 def _matches(text: Column, pattern: str, group: int = 0) -> Column:
     """All matches with their places, as (start, end, group); leftmost, not overlapping.
 
-    What stands between the matches has the lengths that the starts are sums of.
+    What stands between the matches has the lengths that the starts are sums of. Sums are made in
+    blocks and then over blocks, as an array that grows match by match is copied each time.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.arrays_zip(
@@ -56,6 +61,8 @@ def _matches(text: Column, pattern: str, group: int = 0) -> Column:
         found.alias("match"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("group"),
     )
+    spans_type = "array<struct<start:int,end:int,group:string>>"
+    none = F.array().cast(spans_type)
 
     def add(state: Column, part: Column) -> Column:
         start = state["at"] + F.char_length(part["gap"])
@@ -63,8 +70,24 @@ def _matches(text: Column, pattern: str, group: int = 0) -> Column:
         span = F.struct(start.alias("start"), end.alias("end"), part["group"].alias("group"))
         return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
-    none = F.array().cast("array<struct<start:int,end:int,group:string>>")
-    spans = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda state: state["spans"])
+    def summed(block: Column) -> Column:
+        return F.aggregate(block, F.struct(F.lit(0).alias("at"), none.alias("spans")), add)
+
+    def shifted(state: Column, block: Column) -> Column:
+        spans = F.transform(
+            block["spans"],
+            lambda s: F.struct((s["start"] + state["at"]).alias("start"), (s["end"] + state["at"]).alias("end"), s["group"].alias("group")),
+        )
+        return F.struct((state["at"] + block["at"]).alias("at"), F.concat(state["blocks"], F.array(spans)).alias("blocks"))
+
+    def placed(all_parts: Column) -> Column:
+        last = F.floor((F.size(all_parts) - 1) / _TOGETHER).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(all_parts, i * _TOGETHER + 1, F.lit(_TOGETHER)))
+        first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{spans_type}>").alias("blocks"))
+        return F.aggregate(F.transform(cut, summed), first, shifted, lambda state: F.flatten(state["blocks"]))
+
+    # An array of one, so that the matches are found once and not for every block.
+    spans = F.get(F.transform(F.array(parts), placed), F.lit(0))
     return F.when(text.rlike(pattern), spans).otherwise(none)
 
 
@@ -174,7 +197,8 @@ def scan_secrets(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED, column: st
         return out
 
     def suspicious(m: Column) -> Column:
-        value = F.regexp_extract(m["group"], r"[^=/]*(?==*$)", 0)  # without labels
+        value = F.rtrim(m["group"], F.lit("="))  # without labels
+        value = F.substring_index(F.substring_index(value, "/", -1), "=", -1)
         known = fits(value, allowed)
         glued = fits(m["group"], tuple(p for p in allowed if p == _PATH)) & value.rlike(f"^{CANDIDATE}$") & ~known
         suppressed = fits(m["group"], tuple(p for p in allowed if p != _PATH))
@@ -206,17 +230,32 @@ def span_list(spans: Column) -> Column:
     return _written(spans)
 
 
+_MASKED = 4096  # characters that are masked together
+
+
 def mask_spans(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """``text`` with every span, or run of spans that overlap, replaced by ``mask``. ``spans`` are in order."""
-
-    def step(state: Column, span: Column) -> Column:
-        apart = span["start"] >= state["at"]
-        between = F.when(apart, F.concat(F.substr(text, state["at"] + 1, span["start"] - state["at"]), F.lit(mask)))
-        return F.struct(
-            F.concat(state["out"], F.coalesce(between, F.lit(""))).alias("out"),
-            F.greatest(state["at"], span["end"]).alias("at"),
-        )
+    """``text`` with every span, or run of spans that overlap, replaced by ``mask``. ``spans`` are in order.
+
+    A text is masked in blocks of characters, since a place in a text is found by counting from its beginning.
+    """
+
+    def masked(block: Column, number: Column) -> Column:
+        low = number * _MASKED
+        high = low + F.char_length(block)
+        own = F.filter(spans, lambda s: (s["start"] >= low) & (s["start"] < high))
+        before = F.filter(spans, lambda s: s["start"] < low)
+        begun = F.greatest(F.coalesce(F.array_max(F.transform(before, lambda s: s["end"])), F.lit(0)), low)
+
+        def step(state: Column, span: Column) -> Column:
+            apart = span["start"] >= state["at"]
+            between = F.when(apart, F.concat(F.substr(block, state["at"] - low + 1, span["start"] - state["at"]), F.lit(mask)))
+            return F.struct(
+                F.concat(state["out"], F.coalesce(between, F.lit(""))).alias("out"),
+                F.greatest(state["at"], span["end"]).alias("at"),
+            )
+
+        start = F.struct(F.lit("").alias("out"), begun.alias("at"))
+        return F.aggregate(own, start, step, lambda state: F.concat(state["out"], F.substr(block, state["at"] - low + 1)))
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    masked = F.aggregate(spans, start, step, lambda state: F.concat(state["out"], F.substr(text, state["at"] + 1)))
-    return F.when(F.size(spans) > 0, masked).otherwise(text)
+    blocks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_MASKED}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, F.array_join(F.transform(blocks, masked), "")).otherwise(text)
