@@ -304,7 +304,9 @@ def jaccard_components(
 
     wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).union(bound.select(F.col("a").alias("digest")))
     wanted = wanted.distinct().join(classes.select("digest", "rep"), "digest").select("digest", F.col("rep").alias("doc_id"))
-    texts = written(packed_texts(docs, column).join(wanted, "doc_id").select("digest", "packed"))
+    # By id and digest, as an id may stand with several texts; a row that repeats both only repeats pairs.
+    packed = packed_texts(docs, column, lambda chunk: Shingles(chunk, size).digests)
+    texts = written(packed.join(wanted, ["doc_id", "digest"]).select("digest", "packed"))
     links = _verified(pairs, texts, size, per_cent).where("similar").select("a", "b")
     components = connected_components(links)
 

@@ -165,10 +165,10 @@ def identify_languages(
     docs: DataFrame, model: Languages, column: str = "text", keep: list[str] | None = None
 ) -> DataFrame:
     """``docs`` with the language of the fewest phrases per character, and how far the second is behind."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain data, as executors may lack this package
 
     def measure(chunk: Chunk) -> dict:
-        model = shared.value
+        model = Languages(**shared.value)
         labels = np.array(model.labels, object)
         points = np.frombuffer(chunk.data.tobytes().decode().encode("utf-32-le"), np.uint32)
         letters = model.letters[np.minimum(points, 0xFFFF)]

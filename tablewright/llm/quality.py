@@ -169,10 +169,10 @@ def score_quality(
     docs: DataFrame, model: QualityModel, column: str = "text", keep: list[str] | None = None
 ) -> DataFrame:
     """``docs`` with ``score``, the likelihood of label 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain data, as executors may lack this package
 
     def measure(chunk: Chunk) -> dict[str, np.ndarray]:
-        model = shared.value
+        model = QualityModel(**shared.value)
         rows, places = indicators(chunk)
         margin = np.bincount(rows, model.weights[places], len(chunk)) + model.intercept
         return {"score": 1 / (1 + np.exp(-np.clip(model.slope * margin + model.shift, -30, 30)))}
