@@ -22,7 +22,7 @@ EXAMPLE_GROUPS = 8
 _RANK = "_keep_rank"
 
 
-def _keys(df: DataFrame, columns: list[str], normalize_text: bool, compact: bool = True) -> list[Column]:
+def row_keys(df: DataFrame, columns: list[str], normalize_text: bool, compact: bool = True) -> list[Column]:
     keys = []
     for name in columns:
         key = F.col(quoted(name))
@@ -57,7 +57,7 @@ def dedupe(
         require_columns(df, order_by, "order_by")
     elif ROW_ID in df.columns:
         order_by = [ROW_ID]
-    keys = _keys(df, columns, normalize_text)
+    keys = row_keys(df, columns, normalize_text)
     order = [F.col(quoted(c)) for c in order_by] if order_by else [F.monotonically_increasing_id()]
     if keep == "last":
         order = [c.desc() for c in order]
@@ -88,7 +88,7 @@ def dedupe(
 
 def duplicate_groups(df: DataFrame, columns: list[str], normalize_text: bool = False) -> DataFrame:
     """Keys that occur more than once, with their ``count``."""
-    keys = [k.alias(c) for k, c in zip(_keys(df, columns, normalize_text, compact=False), columns)]
+    keys = [k.alias(c) for k, c in zip(row_keys(df, columns, normalize_text, compact=False), columns)]
     counted = df.select(*keys).groupBy(*[quoted(c) for c in columns]).agg(F.count(F.lit(1)).alias("_n"))
     return counted.filter("_n > 1").withColumnRenamed("_n", "count")
 

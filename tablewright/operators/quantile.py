@@ -1,14 +1,15 @@
-"""Exact medians without gathering a column in one place.
+"""Exact medians and other quantiles without gathering a column in one place.
 
-``percentile_approx`` brackets the median between two values close to it. All
+``percentile_approx``, one sketch a column, brackets each quantile between two values close to it. All
 values outside the bracket are then replaced by the column's extremes, which
-leaves the median where it was, and the few distinct values that remain are
+leaves the quantile where it was, and the few distinct values that remain are
 counted and ranked. A bracket that may hold more than ``MAX_VALUES`` values is
 narrowed first; if its ends are hot values that no sketch gets past, they are
 counted and the search goes on between them. Every bracket is checked against exact counts, so the result
 does not rest on the quality of the sketch.
 """
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,7 @@ MAX_VALUES = 1_000_000
 class _Bracket:
     """Values ``lo..hi`` that hold the ranks ``first`` and ``second`` of the real (non-NaN) values."""
 
+    rows: int  # with NaN
     real: int
     first: int
     second: int
@@ -55,23 +57,31 @@ def _near(cell: Column, share: float, margin: float) -> Column:
     return F.percentile_approx(cell, [max(0.0, share - margin), min(1.0, share + margin)], ACCURACY)
 
 
-def _brackets(df: DataFrame, columns: list[str]) -> dict[str, _Bracket]:
-    wanted = []
-    for i, column in enumerate(columns):
+def _brackets(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> dict[str, _Bracket]:
+    """A bracket for each (column, share), by name; each column has one sketch."""
+    shares: dict[str, list[float]] = {}
+    for column, share in wanted.values():
+        shares.setdefault(column, []).append(share)
+    asked = []
+    for i, (column, own) in enumerate(shares.items()):
         real = _real(df, column)
-        wanted += [
+        points = [p for share in own for p in (max(0.0, share - MARGIN), min(1.0, share + MARGIN))]
+        asked += [
             F.count(quoted(column)).alias(f"n{i}"),
             F.count(real).alias(f"real{i}"),
             F.min(real).alias(f"min{i}"),
             F.max(real).alias(f"max{i}"),
-            _near(real, 0.5, MARGIN).alias(f"near{i}"),
+            F.percentile_approx(real, points, ACCURACY).alias(f"near{i}"),
         ]
-    row = df.agg(*wanted).first()
+    row = df.agg(*asked).first()
+    place = {column: i for i, column in enumerate(shares)}
     out = {}
-    for i, column in enumerate(columns):
+    for name, (column, share) in wanted.items():
+        i, at = place[column], 2 * shares[column].index(share)
         n, smallest, largest = row[f"n{i}"], row[f"min{i}"], row[f"max{i}"]
-        lo, hi = row[f"near{i}"] or (None, None)
-        out[column] = _Bracket(row[f"real{i}"], (n - 1) // 2, n // 2, smallest, largest, lo, hi)
+        lo, hi = (row[f"near{i}"] or [None] * (at + 2))[at : at + 2]
+        first, second = (math.floor((n - 1) * share), math.ceil((n - 1) * share)) if n else (-1, 0)
+        out[name] = _Bracket(n, row[f"real{i}"], first, second, smallest, largest, lo, hi)
     return out
 
 
@@ -163,27 +173,43 @@ def _select(df: DataFrame, brackets: dict[str, _Bracket]) -> dict[str, tuple]:
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
     """Exact, interpolated median per numeric column over its non-null values (NaN sorts last)."""
-    if not columns:
+    return _exact(df, {c: (c, 0.5) for c in columns})
+
+
+def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, dict[float, float | None]]:
+    """Exact quantiles of each numeric column, interpolated between the two values next to (n - 1) x share."""
+    names = {f"q{i}_{j}": (c, share) for i, c in enumerate(columns) for j, share in enumerate(shares)}
+    found = _exact(df, names)
+    return {c: {share: found[f"q{i}_{j}"] for j, share in enumerate(shares)} for i, c in enumerate(columns)}
+
+
+def _exact(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> dict[str, float | None]:
+    if not wanted:
         return {}
     out: dict[str, float | None] = {}
     live, wide = {}, {}
-    for column, b in _brackets(df, columns).items():
-        if b.second == 0 and b.first < 0:
-            out[column] = None
+    for name, b in _brackets(df, wanted).items():
+        if not b.rows:
+            out[name] = None
         elif b.second >= b.real:
-            out[column] = float("nan")
+            out[name] = float("nan")
         else:
-            live[column] = b
+            live[name] = b
             # NaN shifts the ranks, and a large column keeps many values in its first bracket.
-            if b.first + b.second + 1 != b.real or b.real * 2 * MARGIN > MAX_VALUES:
-                wide[column] = b
+            if b.rows != b.real or b.real * 2 * MARGIN > MAX_VALUES:
+                wide[name] = b
     if not live:
         return out
+    if any(name != column for name, (column, _) in wanted.items()):  # one column stands under several names
+        df = df.select(*[F.col(quoted(wanted[name][0])).alias(name) for name in live])
     _narrow(df, wide)
     found = _select(df, live)
     missed = {c: live[c] for c, (a, z) in found.items() if not live[c].lo <= a <= z <= live[c].hi}
     if missed:
         _narrow(df, missed)
         found.update(_select(df, missed))
-    out.update({c: (float(a) + float(z)) / 2 for c, (a, z) in found.items()})
+    for name, (a, z) in found.items():
+        share = wanted[name][1]
+        part = (live[name].rows - 1) * share - live[name].first
+        out[name] = (float(a) + float(z)) / 2 if part == 0.5 else float(a) + (float(z) - float(a)) * part
     return out
