@@ -123,9 +123,9 @@ def average_ranks(df: DataFrame, column: str) -> DataFrame:
 
 def _ranked(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns, none of which has gaps, by their ranks."""
-    out = df.select(*[F.col(quoted(c)).alias(f"x{i}") for i, c in enumerate(columns)])
+    cells = out = df.select(*[F.col(quoted(c)).alias(f"x{i}") for i, c in enumerate(columns)])
     for i in range(len(columns)):
-        ranks = average_ranks(out, f"x{i}").select(F.col("value").alias(f"x{i}"), F.col("rank").alias(f"r{i}"))
+        ranks = average_ranks(cells, f"x{i}").select(F.col("value").alias(f"x{i}"), F.col("rank").alias(f"r{i}"))
         out = out.join(ranks, f"x{i}")
     return out.select(*[f"r{i}" for i in range(len(columns))])
 

@@ -16,8 +16,9 @@ from tablewright.errors import OperationError
 from tablewright.operators.dedupe import row_keys
 from tablewright.operators.result import data_columns, quoted, require_columns
 
-RSD = 0.02  # of the sketches
-_SLACK = 4 * RSD  # a sketch may lie so far off before a combination is given up
+_SKETCH = 12  # the sketches have 2**12 places, which errs by 1.6 per cent
+_SLACK = 0.08  # a sketch may lie so far off before a combination is given up
+_SLICES = 16  # a key must hold in a slice of its values as well
 _TOGETHER = 200  # sketches of one scan
 _COUNTED = 32  # combinations counted in one shuffle
 _NO_KEYS = (T.FloatType, T.DoubleType, T.BooleanType, T.ArrayType, T.StructType, T.MapType, T.VariantType, T.BinaryType)
@@ -52,10 +53,10 @@ def find_keys(
     if not columns:
         return []
     keys = dict(zip(columns, row_keys(df, columns, normalize_text), strict=True))
-    cells = df.select(*[k.alias(f"k{i}") for i, k in enumerate(keys.values())])
-    place = {c: f"k{i}" for i, c in enumerate(columns)}
-    row = cells.agg(F.count(F.lit(1)), *[F.count(k) for k in place.values()]).first()
+    row = df.agg(F.count(F.lit(1)), *[F.count(quoted(c)) for c in columns]).first()
     rows, some = row[0], dict(zip(columns, row[1:], strict=True))
+    place = {c: f"{'k' if some[c] == rows else 'g'}{i}" for i, c in enumerate(columns)}  # g: with gaps
+    cells = df.select(*[keys[c].alias(place[c]) for c in columns])
     usable = [c for c in columns if rows - some[c] <= (1 - min_share) * rows]
     wanted = min_share * rows
     if not rows:
@@ -76,13 +77,17 @@ def find_keys(
         near = []
         for at in range(0, len(open_), _TOGETHER):
             some_ = open_[at : at + _TOGETHER]
-            sketches = [F.approx_count_distinct(F.struct(*[place[c] for c in x]), RSD) for x in some_]
+            sketches = [F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*_marked([place[c] for c in x])), _SKETCH)) for x in some_]
             for combination, distinct in zip(some_, cells.agg(*sketches).first(), strict=True):
                 bound[combination] = distinct * (1 + _SLACK)
                 if distinct * (1 + _SLACK) >= wanted:
                     near.append(combination)
         for at in range(0, len(near), _COUNTED):
-            for combination, distinct in zip(near[at : at + _COUNTED], _distinct(cells, [[place[c] for c in x] for x in near[at : at + _COUNTED]]), strict=True):
+            some_ = near[at : at + _COUNTED]
+            if min_share == 1:  # a slice that repeats a value is cheaper than all rows
+                held = _counted(cells, [[place[c] for c in x] for x in some_], _SLICES)
+                some_ = [x for x, (n, distinct) in zip(some_, held, strict=True) if n == distinct]
+            for combination, (_, distinct) in zip(some_, _counted(cells, [[place[c] for c in x] for x in some_]), strict=True):
                 bound[combination] = min(bound[combination], distinct)
                 if distinct >= wanted:
                     found.append({"columns": list(combination), "rows": rows, "distinct_count": distinct, "duplicates": rows - distinct})
@@ -91,20 +96,30 @@ def find_keys(
     return found
 
 
-def _distinct(cells: DataFrame, combinations_: list[list[str]]) -> list[int]:
-    """Distinct values of each combination, all counted in one shuffle by digests of 128 bits.
+def _counted(cells: DataFrame, combinations_: list[list[str]], slices: int = 1) -> list[tuple[int, int]]:
+    """Rows and distinct values of each combination, all counted in one shuffle by digests of 128 bits.
 
-    Different digests are of different values, so a key that is found is one.
+    Different digests are of different values, so a key that is found is one. With
+    ``slices`` only values whose digest falls into the first slice count, each with all of its rows.
     """
-    digests = [F.struct(F.lit(i).alias("i"), F.xxhash64(F.lit(1), *_marked(x)).alias("a"), F.xxhash64(F.lit(2), *_marked(x)).alias("b")) for i, x in enumerate(combinations_)]
-    values = cells.select(F.explode(F.array(*digests)).alias("d")).select("d.*").distinct()
-    counts = {r.i: r["count"] for r in values.groupBy("i").count().collect()}
-    return [counts.get(i, 0) for i in range(len(combinations_))]
+    if not combinations_:
+        return []
+    digests = F.array(
+        *[
+            F.struct(F.lit(i).alias("i"), F.xxhash64(F.lit(1), *_marked(x)).alias("a"), F.xxhash64(F.lit(2), *_marked(x)).alias("b"))
+            for i, x in enumerate(combinations_)
+        ]
+    )
+    rows = cells.select(F.inline(digests))
+    rows = rows.where(F.pmod("a", F.lit(slices)) == 0) if slices > 1 else rows
+    values = rows.groupBy("i", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r.i: (r.n, r.distinct) for r in values.groupBy("i").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct")).collect()}
+    return [counts.get(i, (0, 0)) for i in range(len(combinations_))]
 
 
 def _marked(names: list[str]) -> list:
-    """Cells with a mark for null, which hashes skip."""
-    return [c for name in names for c in (F.col(name), F.col(name).isNull())]
+    """Cells with a mark for null, which hashes skip, where there are nulls."""
+    return [c for name in names for c in ((F.col(name), F.col(name).isNull()) if name.startswith("g") else (F.col(name),))]
 
 
 def key_report(df: DataFrame, **how) -> DataFrame:
