@@ -1,7 +1,10 @@
 """CSV and Parquet files, and the manifest of a landing folder."""
 
+import re
+from collections.abc import Iterable, Iterator
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,10 +30,15 @@ def read_csv(
     come from all rows of all files, or from ``infer_rows`` of them if given, and a later cell that
     does not fit its type is an error rather than a silent null. Files whose headers
     have another order are read by the names of their columns; headers with other names are an error.
-    Files are split over many tasks unless a quoted cell
-    holds a line break, which ``multi_line=None`` finds out by itself.
+    Files are split over many tasks, also where quoted cells hold line breaks, which ``multi_line=None`` finds out
+    by itself: see ``split_records``. ``multi_line=True`` reads each file in one task.
     """
     headers, broken = _look(spark, path)
+    if multi_line is None and broken and len(headers) == 1:
+        records = split_records(spark, path)
+        if records is not None:
+            names = spark.read.options(header=True, escape='"', enforceSchema=False).csv(path).columns
+            return _parsed(records, names, infer_rows)
     if multi_line is None:
         multi_line = broken
     options = {"header": True, "escape": '"', "multiLine": multi_line, "mode": "FAILFAST", "enforceSchema": False}
@@ -50,6 +58,139 @@ def read_csv(
     return out
 
 
+# A line that begins a record, or one that begins inside quotes, ends inside quotes. Nothing is matched in two ways, so
+# all repetitions are possessive, which also keeps Java from recursion.
+_FIELDS = r"""(?:"(?:[^"]++|"")*+"[^,"]*+,|[^",][^,]*+,|,)*+"(?:[^"]++|"")*+$"""
+_OPENS = rf"^{_FIELDS}"
+_STAYS = r"""^(?:[^"]++|"")*+$"""
+_REOPENS = rf"""^(?:[^"]++|"")*+"[^,"]*+,{_FIELDS}"""
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines in the order of each split, with the state each ends in, by the state it begins in: inside quotes or not."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    has = F.contains("value", F.lit('"'))
+    return lines.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.coalesce(has & F.col("value").rlike(_OPENS), F.lit(False)).alias("fresh"),
+        (~has | F.col("value").rlike(_STAYS) | F.col("value").rlike(_REOPENS)).alias("inside"),
+        "value",
+    )
+
+
+def split_records(spark: SparkSession, path: str) -> DataFrame | None:
+    """The records (``record``) of CSV files without their headers, read in splits though cells hold line breaks.
+
+    Whether a split begins inside a quoted cell follows from the splits before it. A first pass finds for each
+    split in which of the two states it ends, for either state that it may begin in; these are
+    put together on the driver, one small row a split. A second pass then cuts each split into records; what goes
+    over the end of a split, a piece or two of each, is put together by file. None where this cannot be done: a header that goes over its line,
+    or line ends other than ``\\n`` and ``\\r\\n``.
+    """
+    lines = _lines(spark, path)
+
+    def ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, states, first, odd = None, [False, True], False, False
+        made: list[tuple] = []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("file", "start", "fresh", "inside", "odd")]
+            for file, start, fresh, inside, strange in zip(*columns, strict=True):
+                if key != (file, start):
+                    if key is not None:
+                        made.append((*key, *states, first, odd))
+                    key, states, first, odd = (file, start), [False, True], fresh, False
+                states = [inside if s else fresh for s in states]
+                odd = odd or strange
+        if key is not None:
+            made.append((*key, *states, first, odd))
+        names = ["file", "start", "fresh", "inside", "first", "odd"]
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*made, strict=True)], names=names)
+
+    odd = F.contains(F.rtrim("value", F.lit("\r")), F.lit("\r")).alias("odd")
+    found = lines.select("file", "start", "fresh", "inside", odd).mapInArrow(
+        ends, "file string, start long, fresh boolean, inside boolean, first boolean, odd boolean"
+    )
+    begins: dict[tuple[str, int], bool] = {}
+    state, last = False, None
+    for row in sorted(found.collect(), key=lambda r: (r.file, r.start)):  # one row a split
+        if row.odd or (row.start == 0 and row["first"]):
+            return None
+        state = state if row.file == last else False
+        begins[row.file, row.start] = state
+        state, last = (row.inside if state else row.fresh), row.file
+
+    def records(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Kind 0: a whole record; 1: what a split begins with, inside a record; 2: a record that a split does not end."""
+        key, state, kind, held = None, False, 0, []
+        made: list[tuple] = []
+
+        def flush(kind: int) -> None:
+            made.append((*key, kind, "\n".join(held)))
+            held.clear()
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("file", "start", "fresh", "inside", "value")]
+            for file, start, fresh, inside, value in zip(*columns, strict=True):
+                if key != (file, start):
+                    if held:
+                        flush(1 if kind == 1 else 2)
+                    key, state = (file, start), begins[file, start]
+                    kind = 1 if state else 0
+                    if start == 0:  # the header
+                        state = False
+                        continue
+                held.append(value)
+                state = inside if state else fresh
+                if not state:
+                    flush(3 if kind == 1 else 0)  # 3: the end of a record that an earlier split began
+                    kind = 0
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*made, strict=True)], names=_PIECES)
+                made.clear()
+        if held:
+            flush(1 if kind == 1 else 2)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*made, strict=True)], names=_PIECES)
+
+    def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, held = None, []
+        for batch in batches:
+            out = []
+            for name, piece, kind in zip(*(batch.column(c).to_pylist() for c in ("file", "record", "kind")), strict=True):
+                if held and (name != file or kind == 2):
+                    out.append("\n".join(held))
+                    held = []
+                file = name
+                held.append(piece)
+                if kind == 3:
+                    out.append("\n".join(held))
+                    held = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["record"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(["\n".join(held)], pa.string())], names=["record"])
+
+    pieces = lines.mapInArrow(records, "file string, start long, kind long, record string")
+    whole = pieces.where("kind = 0").select("record")
+    # In a split, what ends or goes on an earlier record comes before what begins one.
+    broken = pieces.where("kind > 0").repartition("file").sortWithinPartitions("file", "start", F.col("kind") == 2)
+    return whole.unionByName(broken.mapInArrow(joined, "record string"))
+
+
+_PIECES = ["file", "start", "kind", "record"]
+
+
+def _parsed(records: DataFrame, names: list[str], infer_rows: int | None) -> DataFrame:
+    """Records as columns, with types as ``read_csv`` finds them."""
+    kept = records.select(F.rtrim("record", F.lit("\r")).alias("record")).where(F.trim("record") != "")
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    cells = F.from_csv("record", F.lit(schema.simpleString()[7:-1].replace(":", " ")), {"escape": '"', "mode": "FAILFAST", "maxCharsPerColumn": "-1"})
+    text = kept.select(cells.alias("r")).select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
+    types = _infer(text if infer_rows is None else text.limit(infer_rows))
+    return text.select(*[F.col(quoted(f.name)).cast(f.dataType).alias(f.name) for f in types])
+
+
 def _look(spark: SparkSession, path: str) -> tuple[dict[str, list[str]], bool]:
     """The files of each header line, and whether a cell goes on in the next line.
 
@@ -70,7 +211,8 @@ def _look(spark: SparkSession, path: str) -> tuple[dict[str, list[str]], bool]:
 
 
 def _paths(headers: dict[str, list[str]], header: str) -> list[str]:
-    return [unquote(f) for f in headers[header]]
+    """Paths that are read as they are, though they may hold signs of a glob."""
+    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(f)) for f in headers[header]]
 
 
 def _infer(text: DataFrame) -> T.StructType:
