@@ -4,10 +4,10 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from suite.base import WITH_CUSTOMER, Query, d_customer, d_orders, table
-from suite.base import WITH_ORDERS
+from suite.base import WITH_CUSTOMER, WITH_ORDERS, Query, d_customer, d_orders, table
 from tablewright.operators.distribution import correlations, distribution, outliers
 from tablewright.operators.keys import key_report
+from tablewright.operators.sample import bounded_sample, sampled_profile
 from tablewright.plans.recipe import column_signals, inspection_order, run_recipe, suggest_recipe
 
 _LINE_KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -120,6 +120,23 @@ FROM (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) -
     return prefix + " UNION ALL ".join(each)
 
 
+def sampled_orders(spark, sf):
+    """A thousand orders, the same in every run."""
+    return bounded_sample(table(spark, sf, "orders"), 1000, ["o_orderkey"]).select("o_orderkey", "o_totalprice")
+
+
+def sampled_nulls(spark, sf):
+    """Profile lines of a sample of customers with gaps."""
+    lines = sampled_profile(d_customer(spark, sf).select("c_custkey", "acctbal", "segment"), 100, ["c_custkey"])
+    return lines.select("name", "row_count", "null_count", "distinct_count")
+
+
+_SAMPLED_SQL = f"{WITH_CUSTOMER}, s AS (SELECT * FROM d ORDER BY md5(c_custkey::VARCHAR) LIMIT 100) " + " UNION ALL ".join(
+    f"""SELECT '{c}' AS name, count(*) AS row_count, count(*) - count({c}) AS null_count,
+  count(DISTINCT {c}) + (count(*) > count({c}))::BIGINT AS distinct_count FROM s"""
+    for c in ("c_custkey", "acctbal", "segment")
+)
+
 _DROP = WITH_CUSTOMER.replace("WITH d AS", "WITH d0 AS") + (
     ", d AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE acctbal END AS acctbal, nation_id, segment FROM d0) "
 )
@@ -152,6 +169,8 @@ SELECT (row_number() OVER (ORDER BY n DESC, i) - 1)::INT AS place, c AS "column"
     Query("distributions", distributions, _distribution_sql(_NUMBERS, "lineitem")),
     Query("distributions_nulls", distributions_nulls, _distribution_sql(["acctbal", "nation_id"], "d", WITH_CUSTOMER)),
     Query("outlying_rows", outlying_rows, _OUTLIERS_SQL),
+    Query("sampled_orders", sampled_orders, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5(o_orderkey::VARCHAR) LIMIT 1000"),
+    Query("sampled_nulls", sampled_nulls, _SAMPLED_SQL),
     Query("correlated", correlated, _correlations_sql(_NUMBERS, "lineitem")),
     Query("correlated_nulls", correlated_nulls, _correlations_sql(["c_custkey", "acctbal", "nation_id"], "d", WITH_CUSTOMER)),
 ]

@@ -59,6 +59,14 @@ def export_copy(spark, sf):
     return read_dataset(spark, "parquet", {"path": path})
 
 
+def export_csv(spark, sf):
+    """A working copy exported as CSV and opened again: types are found anew, empty cells are nulls."""
+    root = shared_dir(spark)
+    copy = WorkingCopy.create(d_customer(spark, sf).drop("full_name", "all_null"), f"{root}/copies", uuid.uuid4().hex)
+    path = copy.export(f"{root}/exports/{uuid.uuid4().hex}", "csv")
+    return read_dataset(spark, "csv", {"path": path})
+
+
 def _report(spark, sf):
     orders = table(spark, sf, "orders").select(*_ORDERS.split(", "))
     report = schema_report(orders, order_by=["o_orderkey"])
@@ -100,6 +108,7 @@ QUERIES = [
         export_copy,
         f"{WITH_CUSTOMER} SELECT c_custkey, acctbal, nation_id, segment, all_null FROM d",
     ),
+    Query("export_csv", export_csv, f"{WITH_CUSTOMER} SELECT c_custkey, acctbal, nation_id, segment FROM d"),
     Query("schema_report", _report, _REPORT_SQL),
     Query("file_manifest", manifest),
 ]

@@ -54,11 +54,14 @@ class WorkingCopy:
 
     @classmethod
     def create(cls, df: DataFrame, root: str, copy_id: str) -> "WorkingCopy":
-        """Write version 0, or return the copy that is already there."""
+        """Write version 0, or return the copy that is already there.
+
+        What a write that broke off has left behind is no copy and gives way.
+        """
         copy = cls(df.sparkSession, f"{root.rstrip('/')}/{copy_id}")
         if copy._exists(copy._v0):
             return copy
-        with_row_id(df).write.parquet(copy._v0)
+        with_row_id(df).write.mode("overwrite").parquet(copy._v0)
         return copy
 
     @property
@@ -182,7 +185,8 @@ class WorkingCopy:
             raise WorkingCopyError(f"unknown export format '{fmt}', use one of {', '.join(EXPORT_FORMATS)}")
         writer = self.frame().write.mode("errorifexists")
         if fmt == "csv":
-            writer.option("header", True).option("escape", '"').csv(path)
+            kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}  # cells as they are
+            writer.options(header=True, escape='"', **kept).csv(path)
         else:
             writer.parquet(path)
         return path
