@@ -2,6 +2,7 @@
 
 Every stage takes all documents that the one before it kept. Null texts count as empty; an
 empty table stays empty, but the first stage needs labelled rows of both kinds to learn from.
+Columns besides ``doc_id`` and ``text`` travel as one, whatever their names, so none can clash with a column that an operator makes.
 """
 
 from collections.abc import Callable
@@ -15,13 +16,24 @@ from tablewright.llm.queries import tokenizer_path
 from tablewright.scratch import written
 
 
+def _held(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text``, and all other columns in one."""
+    rest = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*(rest or [F.lit(0).alias("none")])).alias("_rest"))
+
+
+def _given(frame: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that ``_held`` was given, in their order."""
+    return frame.select(*[c if c in ("doc_id", "text") else F.col("_rest").getField(c).alias(c) for c in columns])
+
+
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches 0.3; labels of held-out ids are not learned from."""
     small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     learned = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     model = quality.fit_quality(docs, learned)
-    return quality.score_quality(docs, model).where(F.col("score") >= 0.3).select(*docs.columns)
+    return _given(quality.score_quality(_held(docs), model).where(F.col("score") >= 0.3), docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,28 +41,29 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Rows that repeat an id and a text are one document. Rows with a null id stay.
     """
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    keyed = _held(docs).withColumn("_text_hash", F.xxhash64("text"))
     groups = jaccard.jaccard_components(keyed, keep=["_text_hash"])
     others = groups.where("component_id < doc_id").select("doc_id", "_text_hash").distinct()
     # Each task keeps one row of a document before the shuffle, and the join below needs no other.
     nth = F.row_number().over(Window.partitionBy("doc_id", "_text_hash").orderBy("_text_hash"))
     once = keyed.withColumn("_nth", nth).where("_nth = 1")
-    return once.join(others, ["doc_id", "_text_hash"], "left_anti").select(*docs.columns)
+    return _given(once.join(others, ["doc_id", "_text_hash"], "left_anti"), docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, up to a fifth of its words edited."""
-    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    kept = decontaminate.drop_contaminated(_held(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _given(kept, docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts masked and the number of characters brought up to date."""
-    found = secret_scan.scan_secrets(docs)
+    found = secret_scan.scan_secrets(_held(docs))
     text = secret_scan.mask_spans(F.coalesce("text", F.lit("")), F.col("spans"))
-    masked = found.withColumn("text", text)
+    masked = _given(found.withColumn("text", text), docs.columns)
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return masked.select(*docs.columns)
+    return masked
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
