@@ -3,6 +3,9 @@
 One suffix automaton per language holds labelled text. A text is parsed greedily
 into the longest phrases that the automaton contains, beginning anew after each;
 the language whose text explains it in the fewest phrases per character wins.
+A letter that no labelled text of a language has is a phrase of its own there.
+Long texts are walked in pieces side by side; a piece is walked again from the state
+the one before it ended in until all begin rightly, so phrases run on over the cuts.
 Case is ignored and all that is no letter counts as a blank, runs of which count once.
 The automata are tables of transitions, so many pieces of text take a step at once.
 
@@ -26,7 +29,8 @@ from tablewright.llm.chunks import Chunk, appended
 
 FIELDS = "lang_pred string, score double, phrases_per_char double"
 _RESTART = np.int32(-(2**31))
-_PIECE = 2048  # characters that one parse covers; phrases end there
+_PIECE = 2048  # characters that are walked in one go
+_PLANES = 0x110000
 
 
 @dataclass(frozen=True)
@@ -75,9 +79,9 @@ _BLANK = ord(" ")
 
 
 def _lowered() -> np.ndarray:
-    """Lower case of each letter of the basic plane, where that is one character; a blank for all that is no letter."""
-    out = np.full(0x10000, _BLANK, np.uint32)
-    for c in range(0x10000):
+    """Lower case of each letter, where that is one character; a blank for all that is no letter."""
+    out = np.full(_PLANES, _BLANK, np.uint32)
+    for c in range(_PLANES):
         if chr(c).isalpha():
             low = chr(c).lower()
             out[c] = ord(low) if len(low) == 1 else c
@@ -91,26 +95,27 @@ def _squeezed(points: np.ndarray) -> np.ndarray:
     return keep
 
 
-def fit_languages(labelled: DataFrame, texts_per_language: int = 40, chars_per_text: int = 400) -> Languages:
-    """Automata over a bounded sample: of each language the distinct texts with the smallest hashes, and of each
-    a few hundred characters at a place that its hash gives.
+def fit_languages(
+    labelled: DataFrame, texts_per_language: int = 40, chars_per_language: int = 65536, short_chars: int = 2000
+) -> Languages:
+    """Automata over a bounded sample of whole texts.
 
-    ``labelled`` has ``text`` and ``lang``. What reaches the driver is bounded
-    by the two parameters and the number of languages.
+    ``labelled`` has ``text`` and ``lang``. Of each language the distinct texts of at most
+    ``short_chars`` characters come first, by hash, then longer ones; taken are at most
+    ``texts_per_language``, and none that begins beyond ``chars_per_language``. So what reaches
+    the driver is bounded by these and the number of languages, but for one text at the end of each.
     """
-    lettered = labelled.where("lang is not null").where(F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("hash"))
-    draw = Window.partitionBy("lang").orderBy("hash")
-    drawn = lettered.select("lang", "hash").distinct().withColumn("n", F.row_number().over(draw)).where(F.col("n") <= texts_per_language)
-    # Runs of other characters count as a blank, so every place of what is left is in or next to letters.
-    letters = F.regexp_replace("text", r"\P{L}+", " ")
-    places = F.greatest(F.char_length("letters") - chars_per_text + 1, F.lit(1))
-    begin = F.pmod(F.xxhash64("hash"), places).cast("int") + 1
+    lettered = labelled.where("lang is not null").where(F.col("text").rlike(r"\p{L}"))
+    lettered = lettered.select("lang", "text", F.xxhash64("text").alias("hash"), F.char_length("text").alias("chars"))
+    order = Window.partitionBy("lang").orderBy(F.col("chars") > short_chars, "hash", "chars")
+    before = F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    ranked = lettered.select("lang", "hash", "chars").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts_per_language)
+    drawn = ranked.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < chars_per_language)
     sample = (
-        lettered.join(F.broadcast(drawn), ["lang", "hash"])
-        .withColumn("letters", letters)
-        .select("lang", "n", F.substring(F.col("letters"), begin, F.lit(chars_per_text)).alias("text"))
+        lettered.join(F.broadcast(drawn), ["lang", "hash", "chars"])
         .groupBy("lang", "n")
         .agg(F.min("text").alias("text"))
+        .withColumn("text", F.regexp_replace("text", r"\P{L}+", " "))
         .collect()
     )
     if not sample:
@@ -119,10 +124,10 @@ def fit_languages(labelled: DataFrame, texts_per_language: int = 40, chars_per_t
     texts: dict[str, list[np.ndarray]] = {}
     for row in sorted(sample, key=lambda r: (r.lang, r.n)):
         points = np.frombuffer(row.text.encode("utf-32-le"), np.uint32)
-        letters = low[np.minimum(points, 0xFFFF)]
+        letters = low[points]
         texts.setdefault(row.lang, []).append(letters[_squeezed(letters)])
     known = np.unique(np.concatenate([t for all_texts in texts.values() for t in all_texts]))
-    number = np.zeros(0x10000, np.int32)  # 0: not seen in any labelled text
+    number = np.zeros(_PLANES, np.int32)  # 0: not seen in any labelled text
     number[known] = np.arange(1, len(known) + 1)
     width = len(known) + 1
     tables, roots = [], []
@@ -135,19 +140,23 @@ def fit_languages(labelled: DataFrame, texts_per_language: int = 40, chars_per_t
         # A missing step ends the phrase; the character begins the next one, or stands alone if it is unknown.
         begin = np.where(table[0] >= 0, table[0], 0)
         begun = np.broadcast_to((begin + at) * width, table.shape)
-        tables.append(np.where(table >= 0, (table + at) * width, begun | _RESTART).astype(np.int32))
+        steps_on = np.where(table >= 0, (table + at) * width, begun | _RESTART).astype(np.int32)
+        steps_on[0] = begun[0] | _RESTART  # in the first state no phrase is open
+        tables.append(steps_on)
         roots.append(at * width)
         at += len(steps)
         if at * width >= 2**31:
-            raise OperationError("too much labelled text; lower texts_per_language or chars_per_text")
+            raise OperationError("too much labelled text; lower texts_per_language or chars_per_language")
     return Languages(list(texts), low, number, np.concatenate(tables).ravel(), np.array(roots, np.int32), width)
 
 
-def phrases(model: Languages, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Number of phrases of each piece of ``symbols`` for each language, shape (languages, pieces)."""
+def _walked(
+    model: Languages, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, states: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases that begin in each piece of ``symbols``, and the states it ends in, by (language, piece)."""
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
-    state = np.repeat(model.roots[:, None], len(starts), axis=1)
+    state = states[:, order]
     count = np.zeros(state.shape, np.int64)
     active = len(starts)
     for t in range(int(lengths[0]) if len(lengths) else 0):
@@ -156,9 +165,29 @@ def phrases(model: Languages, symbols: np.ndarray, starts: np.ndarray, lengths:
         step = model.steps[state[:, :active] + symbols[starts[:active] + t]]
         count[:, :active] += step < 0
         state[:, :active] = step & 0x7FFFFFFF
-    out = np.empty_like(count)
-    out[:, order] = count + (lengths > 0)
-    return out
+    counts, ends = np.empty_like(count), np.empty_like(state)
+    counts[:, order], ends[:, order] = count, state
+    return counts, ends
+
+
+def phrases(model: Languages, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Number of phrases of each text in ``symbols`` for each language, shape (languages, texts)."""
+    pieces = -(-lengths // _PIECE)
+    rows = np.repeat(np.arange(len(starts)), pieces)
+    nth = np.arange(len(rows)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    at = starts[rows] + nth * _PIECE
+    n = np.minimum((starts + lengths)[rows] - at, _PIECE)
+    begin = np.repeat(model.roots[:, None], len(rows), axis=1)
+    counts, ends = _walked(model, symbols, at, n, begin)
+    later = np.flatnonzero(nth > 0)
+    while True:
+        # Each round settles at least one more piece of every text; parses that begin apart mostly meet within a few phrases.
+        wrong = later[(begin[:, later] != ends[:, later - 1]).any(axis=0)]
+        if not len(wrong):
+            break
+        begin[:, wrong] = ends[:, wrong - 1]
+        counts[:, wrong], ends[:, wrong] = _walked(model, symbols, at[wrong], n[wrong], begin[:, wrong])
+    return np.array([np.bincount(rows, c, len(starts)) for c in counts])
 
 
 def identify_languages(
@@ -171,22 +200,19 @@ def identify_languages(
         model = Languages(**shared.value)
         labels = np.array(model.labels, object)
         points = np.frombuffer(chunk.data.tobytes().decode().encode("utf-32-le"), np.uint32)
-        letters = model.letters[np.minimum(points, 0xFFFF)]
+        letters = model.letters[points]
+        first = (chunk.data & 0xC0) != 0x80
+        places = np.zeros(len(first) + 1, np.int64)
+        np.cumsum(first, out=places[1:])
+        begins = places[chunk.offsets]  # byte offsets to offsets among the characters
         keep = _squeezed(letters)
+        keep[begins[:-1][np.diff(begins) > 0]] = True
         symbols = model.symbols[letters[keep]]
-        # Byte offsets to offsets among the kept characters, then pieces of at most _PIECE of them.
-        first = (chunk.data & 0xC0) != 0x80
-        kept = np.zeros(len(first) + 1, np.int64)
-        first[first] = keep
-        np.cumsum(first, out=kept[1:])
-        offsets = kept[chunk.offsets]
+        kept = np.zeros(len(keep) + 1, np.int64)
+        np.cumsum(keep, out=kept[1:])
+        offsets = kept[begins]
         n = np.diff(offsets)
-        pieces = -(-n // _PIECE)
-        rows = np.repeat(np.arange(len(chunk)), pieces)
-        nth = np.arange(len(rows)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        starts = offsets[rows] + nth * _PIECE
-        counts = phrases(model, symbols, starts, np.minimum(offsets[rows + 1] - starts, _PIECE))
-        rates = np.array([np.bincount(rows, c, len(chunk)) for c in counts]) / np.maximum(n, 1)
+        rates = phrases(model, symbols, offsets[:-1], n) / np.maximum(n, 1)
         lowest = rates.min(axis=0)
         second = np.partition(rates, 1, axis=0)[1] if len(labels) > 1 else np.full(len(chunk), np.inf)
         texts = chunk.rows.column(column).fill_null("")

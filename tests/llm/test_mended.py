@@ -132,3 +132,46 @@ for name in ("op1_langid", "op9_decontaminate", "op10_quality", "op11_divergence
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert done.returncode == 0, done.stderr[-3000:]
     assert len(done.stdout.split()) == 12
+
+
+def test_phrases_run_on_over_every_cut(spark):
+    """As many as a plain greedy parse has, also in long texts, with unknown letters and in step with no cut."""
+    import random
+
+    import numpy as np
+
+    from tablewright.llm import langid
+
+    draw = random.Random(8)
+    learned = {"ab": "".join(draw.choice("abc ") for _ in range(400)).strip(), "aa": "aaa", "got": "\U00010330\U00010331\U00010332 \U00010331\U00010330"}
+    model = langid.fit_languages(spark.createDataFrame(list(learned.items()), "lang string, text string"))
+    texts = ["".join(draw.choice("abcd ") for _ in range(10_000)), "a" * 10_000, "", "xa", "a x b", "\U00010331\U00010332" * 3000]
+    texts = [" ".join(t.split()) for t in texts]
+
+    def plain(text, reference):
+        count, at = 0, 0
+        while at < len(text):
+            n = 1
+            while at + n < len(text) and text[at : at + n + 1] in reference:
+                n += 1
+            count, at = count + 1, at + n
+        return count
+
+    symbols = model.symbols[model.letters[[ord(c) for c in "".join(texts)]]]
+    lengths = np.array([len(t) for t in texts])
+    got = langid.phrases(model, symbols, np.cumsum(lengths) - lengths, lengths)
+    squeezed = {k: " ".join(v.split()) for k, v in learned.items()}
+    assert got.tolist() == [[plain(t, squeezed[k]) for t in texts] for k in model.labels]
+    docs = spark.createDataFrame([("\U00010331\U00010330!",), ("!? ab",), (" ",)], "text string")
+    found = langid.identify_languages(docs.coalesce(1), model).collect()
+    assert [r.lang_pred for r in found] == ["got", "ab", "und"]
+
+
+def test_languages_learn_whole_texts_up_to_a_bound(spark):
+    from tablewright.llm import langid
+
+    rows = [("ab " * 1500 + "q", "long"), *[(f"{c}z" * 20, "short") for c in "abcdefgh"]]
+    model = langid.fit_languages(spark.createDataFrame(rows, "text string, lang string"), texts_per_language=3, chars_per_language=50)
+    assert model.symbols[ord("q")] > 0
+    # The first of 40 characters leaves room for a second, the third begins beyond the bound.
+    assert sum(model.symbols[ord(c)] > 0 for c in "cdefgh") <= 2
