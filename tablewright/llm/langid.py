@@ -2,7 +2,8 @@
 
 One suffix automaton per language holds labelled text. A text is parsed greedily
 into the longest phrases that the automaton contains, beginning anew after each;
-the language whose text explains it in the fewest phrases per character wins.
+the language whose text explains it in the fewest phrases wins, each weighted by the
+bits of a place in that text, as longer texts hold longer phrases.
 A letter that no labelled text of a language has is a phrase of its own there.
 Long texts are walked in pieces side by side; a piece is walked again from the state
 the one before it ended in until all begin rightly, so phrases run on over the cuts.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from tablewright.errors import OperationError
 from tablewright.llm.chunks import Chunk, appended
 
-FIELDS = "lang_pred string, score double, phrases_per_char double"
+FIELDS = "lang_pred string, score double, bits_per_char double"
 _RESTART = np.int32(-(2**31))
 _PIECE = 2048  # characters that are walked in one go
 _PLANES = 0x110000
@@ -35,7 +36,8 @@ _PLANES = 0x110000
 
 @dataclass(frozen=True)
 class Languages:
-    """labels; small letter of each character; symbol of each letter; next state by (language, state, symbol), negative where a phrase ends."""
+    """labels; small letter of each character; symbol of each letter; next state by (language, state, symbol), negative where a phrase begins;
+    bits of a place in each language's text."""
 
     labels: list[str]
     letters: np.ndarray
@@ -43,6 +45,7 @@ class Languages:
     steps: np.ndarray
     roots: np.ndarray
     width: int
+    bits: np.ndarray
 
 
 def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
@@ -147,7 +150,8 @@ def fit_languages(
         at += len(steps)
         if at * width >= 2**31:
             raise OperationError("too much labelled text; lower texts_per_language or chars_per_language")
-    return Languages(list(texts), low, number, np.concatenate(tables).ravel(), np.array(roots, np.int32), width)
+    bits = np.log2([1 + sum(len(t) for t in texts[label]) for label in texts])
+    return Languages(list(texts), low, number, np.concatenate(tables).ravel(), np.array(roots, np.int32), width, bits)
 
 
 def _walked(
@@ -193,7 +197,7 @@ def phrases(model: Languages, symbols: np.ndarray, starts: np.ndarray, lengths:
 def identify_languages(
     docs: DataFrame, model: Languages, column: str = "text", keep: list[str] | None = None
 ) -> DataFrame:
-    """``docs`` with the language of the fewest phrases per character, and how far the second is behind."""
+    """``docs`` with the language of the fewest bits per character, and how far the second is behind."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain data, as executors may lack this package
 
     def measure(chunk: Chunk) -> dict:
@@ -212,7 +216,7 @@ def identify_languages(
         np.cumsum(keep, out=kept[1:])
         offsets = kept[begins]
         n = np.diff(offsets)
-        rates = phrases(model, symbols, offsets[:-1], n) / np.maximum(n, 1)
+        rates = phrases(model, symbols, offsets[:-1], n) * model.bits[:, None] / np.maximum(n, 1)
         lowest = rates.min(axis=0)
         second = np.partition(rates, 1, axis=0)[1] if len(labels) > 1 else np.full(len(chunk), np.inf)
         texts = chunk.rows.column(column).fill_null("")
@@ -222,7 +226,7 @@ def identify_languages(
         return {
             "lang_pred": pa.array(np.where(lettered, labels[rates.argmin(axis=0)], "und"), pa.string()),
             "score": np.where(lettered, np.clip(score, 0, 1), 0.0),
-            "phrases_per_char": lowest,
+            "bits_per_char": lowest,
         }
 
     return appended(docs, FIELDS, measure, keep, column)
