@@ -31,7 +31,9 @@ _LINEITEM = {
 
 
 def _lines_of(profiled):
-    return profiled.drop("position", "top_values")
+    """The lines of a profile, with its top values as one text."""
+    top = F.transform("top_values", lambda v: F.concat_ws(":", v["count"].cast("string"), v["value"]))
+    return profiled.withColumn("top_values", F.array_join(top, "|")).drop("position")
 
 
 def profile_table(spark, sf):
@@ -51,7 +53,10 @@ def _profile_sql(columns, source):
         f"""SELECT '{c}' AS name, '{dtype}' AS dtype, count(*) AS row_count, count(*) - count({c}) AS null_count,
   round((count(*) - count({c})) / count(*)::DOUBLE, 4) AS null_pct,
   count(DISTINCT {c}) + CAST(count(*) > count({c}) AS BIGINT) AS distinct_count,
-  CAST(min({c}) AS VARCHAR) AS "min", CAST(max({c}) AS VARCHAR) AS "max" FROM {source}"""
+  CAST(min({c}) AS VARCHAR) AS "min", CAST(max({c}) AS VARCHAR) AS "max",
+  (SELECT string_agg(k || ':' || v, '|' ORDER BY r) FROM (
+    SELECT count(*) AS k, coalesce(CAST({c} AS VARCHAR), '') AS v, row_number() OVER (ORDER BY count(*) DESC, {c} ASC NULLS FIRST) AS r
+    FROM {source} GROUP BY {c} QUALIFY r <= 5)) AS top_values FROM {source}"""
         for c, dtype in columns.items()
     )
 

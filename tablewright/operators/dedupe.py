@@ -86,9 +86,11 @@ def dedupe(
     return OpResult(frame, report, summarise, draw)
 
 
-def duplicate_groups(df: DataFrame, columns: list[str], normalize_text: bool = False) -> DataFrame:
-    """Keys that occur more than once, with their ``count``."""
-    keys = [k.alias(c) for k, c in zip(row_keys(df, columns, normalize_text, compact=False), columns)]
+def duplicate_groups(
+    df: DataFrame, columns: list[str], normalize_text: bool = False, compact: bool = False
+) -> DataFrame:
+    """Keys that occur more than once, with their ``count``; ``compact`` gives long text as digests."""
+    keys = [k.alias(c) for k, c in zip(row_keys(df, columns, normalize_text, compact), columns)]
     counted = df.select(*keys).groupBy(*[quoted(c) for c in columns]).agg(F.count(F.lit(1)).alias("_n"))
     return counted.filter("_n > 1").withColumnRenamed("_n", "count")
 
@@ -116,13 +118,14 @@ def preview_duplicates(df: DataFrame, columns: list[str], normalize_text: bool =
     columns = require_columns(df, columns, "preview_duplicates")
     groups = duplicate_groups(df, columns, normalize_text)
     examples = duplicate_examples(groups)
+    compact = duplicate_groups(df, columns, normalize_text, compact=True)
 
     def summarise(known) -> dict:
         found = [
             {"key": {c: None if v is None else str(v) for c, v in zip(columns, row)}, "count": row[-1]}
             for row in examples.collect()
         ]
-        totals = rows_of(duplicate_totals(groups))[0]
+        totals = rows_of(duplicate_totals(compact))[0]
         return {
             "op": "preview_duplicates",
             "columns": columns,

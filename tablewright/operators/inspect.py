@@ -59,9 +59,7 @@ def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
 def value_counts(df: DataFrame, column: str, n: int = TOP_VALUES) -> DataFrame:
     """Most frequent non-null values, ties by value."""
     counted = frequencies(df.select(quoted(column)), [column], nulls=False)
-    return (
-        counted.table.orderBy(F.desc("n"), "v0").limit(n).select(counted.as_text().alias("value"), F.col("n").alias("count"))
-    )
+    return counted.top(n).orderBy("rank").select(counted.as_text().alias("value"), F.col("n").alias("count"))
 
 
 def distinct_count(df: DataFrame, column: str) -> DataFrame:

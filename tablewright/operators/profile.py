@@ -50,7 +50,8 @@ def profile(df: DataFrame, columns: list[str] | None = None, top: int = TOP_VALU
     """Rows, nulls, distinct values (null is one), range and most frequent values of each column.
 
     Everything is derived from one table of value counts, which is shuffled
-    once; the joins below have one row per column of ``df``, so broadcasting
+    once, with long text as digests; only the range of text columns comes from a scan
+    of its own. The joins below have one row per column of ``df``, so broadcasting
     them is safe at any row count. An empty table still lists its columns.
     """
     columns = columns or data_columns(df)
@@ -59,6 +60,11 @@ def profile(df: DataFrame, columns: list[str] | None = None, top: int = TOP_VALU
     at = F.col("position").cast("string") == F.col("column")
     lines = lines.join(F.broadcast(_facts(counted)), at, "left").drop("column")
     lines = lines.join(F.broadcast(_top(counted, top)), at, "left").drop("column")
+    if counted.text_slot:
+        ranges = counted.text_ranges().toDF("column", "first", "last")
+        lines = lines.join(F.broadcast(ranges), at, "left").drop("column")
+    else:
+        lines = lines.withColumns({"first": F.lit(None), "last": F.lit(None)})
     zero = F.lit(0).cast("bigint")
     value = T.ArrayType(T.StructType([T.StructField("value", T.StringType()), T.StructField("count", T.LongType())]))
     return lines.select(
@@ -69,8 +75,8 @@ def profile(df: DataFrame, columns: list[str] | None = None, top: int = TOP_VALU
         F.coalesce("nulls", zero).alias("null_count"),
         null_share(F.coalesce("nulls", zero), F.coalesce("rows", zero)).alias("null_pct"),
         F.coalesce("distinct", zero).alias("distinct_count"),
-        F.col("lowest").alias("min"),
-        F.col("highest").alias("max"),
+        F.coalesce("lowest", "first").alias("min"),
+        F.coalesce("highest", "last").alias("max"),
         F.coalesce(F.transform("top", lambda t: F.struct(t["value"], t["count"])), F.array().cast(value)).alias(
             "top_values"
         ),

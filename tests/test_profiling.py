@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.errors import OperationError
-from tablewright.operators.frequency import frequencies
+from tablewright.operators.frequency import frequencies, modes
 from tablewright.operators import inspect as look
 from tablewright.operators import quantile
 from tablewright.operators.profile import approximate_profile, profile, quality_brief
@@ -203,3 +203,28 @@ def test_read_back_defaults(spark):
     a, empty = read_back(df).collect()
     assert a["name"] == "a" and a["null_count"] == 0 and a["top_values"][0]["count"] == 2
     assert empty["name"] == "" and empty["distinct_count"] is None and empty["top_values"] == []
+
+
+def test_long_text_is_counted_by_digest(spark):
+    """Same counts, ranges, ties and top values as for the texts themselves, also where many begin alike."""
+    same = "x" * 70
+    texts = [same + c for c in "dcba"] * 2 + [same] * 2 + [same[:32], "é" * 60, "é" * 61, "", None, None, None]
+    texts += [f"{same} {i:04}" for i in range(40)]
+    df = spark.createDataFrame([(t, i % 3) for i, t in enumerate(texts)], "t string, n int").repartition(3)
+    counted = frequencies(df, ["t", "n"])
+    text = counted.table._jdf.queryExecution().executedPlan().toString()
+    assert "digest" in text and counted.table.agg(F.max(F.char_length("v0"))).first()[0] <= 64
+    got = lines(profile(df, top=7))["t"]
+    real = [t for t in texts if t is not None]
+    assert (got["row_count"], got["null_count"], got["distinct_count"]) == (len(texts), 3, len(set(texts)))
+    assert (got["min"], got["max"]) == (min(real), max(real))
+    wanted = sorted(((t or "", texts.count(t)) for t in set(texts)), key=lambda x: (-x[1], x[0]))
+    assert [(v["value"], v["count"]) for v in got["top_values"]] == wanted[:7]
+    assert modes(df, ["t"]) == {"t": same}
+
+
+def test_profile_shuffles_no_long_text(spark, sf):
+    df = profile(spark.read.parquet(f"{sf}/documents.parquet"), ["text", "lang"])
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(text" not in plan and "sha2" in plan
