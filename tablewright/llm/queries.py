@@ -182,4 +182,45 @@ r AS (
   SELECT 'term', *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM t)
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 200
 """
-ORACLE_SQL: dict[str, str] = {"op11_divergence": _DIVERGENCE_SQL, "op12_prefixes": _PREFIXES_SQL}
+_WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+"""
+_JACCARD_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1), lambda i: list_slice(w, i, i + 4))) AS shingle FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+h AS (SELECT doc_id, md5_number(array_to_string(shingle, ' ')) AS shingle FROM s),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM h a JOIN h b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 75 * (x.n + y.n - m)),
+ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a, b FROM ways UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, (SELECT min(b) FROM reach WHERE a = doc_id)) AS component_id
+FROM documents LEFT JOIN n USING (doc_id)
+"""
+_SUBSTRINGS_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+o AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+t AS (
+  SELECT doc_id, i, w[i] AS word, CASE WHEN i + 12 <= len(w) THEN md5_number(array_to_string(list_slice(w, i, i + 12), ' ')) END AS passage
+  FROM o),
+f AS (SELECT passage, min(doc_id) AS first FROM t WHERE passage IS NOT NULL GROUP BY passage),
+c AS (
+  SELECT doc_id, i, word, coalesce(max(first < doc_id) OVER (PARTITION BY doc_id ORDER BY i ROWS 12 PRECEDING), false) AS gone
+  FROM t LEFT JOIN f USING (passage)),
+k AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept
+  FROM c GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN k USING (doc_id)
+"""
+ORACLE_SQL: dict[str, str] = {"op3_jaccard": _JACCARD_SQL, "op5_substrings": _SUBSTRINGS_SQL, "op7_warc": _WARC_SQL, "op11_divergence": _DIVERGENCE_SQL, "op12_prefixes": _PREFIXES_SQL}
