@@ -30,10 +30,13 @@ _LINEITEM = {
 }
 
 
+def _top_text():
+    return F.array_join(F.transform("top_values", lambda v: F.concat_ws(":", v["count"].cast("string"), v["value"])), "|")
+
+
 def _lines_of(profiled):
     """The lines of a profile, with its top values as one text."""
-    top = F.transform("top_values", lambda v: F.concat_ws(":", v["count"].cast("string"), v["value"]))
-    return profiled.withColumn("top_values", F.array_join(top, "|")).drop("position")
+    return profiled.withColumn("top_values", _top_text()).drop("position")
 
 
 def profile_table(spark, sf):
@@ -161,8 +164,13 @@ def sample_head(spark, sf):
     return rows.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
 
 
+_TYPED = """
+SELECT event_id, ts, event_type, CASE WHEN event_id % 5 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END AS value,
+  CAST(ts AS DATE) AS day, CASE WHEN event_id % 3 > 0 THEN CAST(event_type AS BINARY) END AS raw FROM events"""
+
+
 def json_cells(spark, sf):
-    return look.json_cells(table(spark, sf, "events")).select("event_id", "ts", "event_type")
+    return look.json_cells(derived(spark, sf, _TYPED, "events"))
 
 
 def stable_rows(spark, sf):
@@ -177,20 +185,22 @@ _STABLE = """concat('{"c_custkey":', c_custkey, ',"c_mktsegment":"', c_mktsegmen
 _STORED = """
 SELECT o_orderkey, concat('{"row_count":', CAST(o_custkey AS STRING), ',"columns":[{"name":"a","dtype":"',
   o_orderstatus, '","null_count":', CAST(o_orderkey % 5 AS STRING), ',"null_pct":0.5,"distinct_count":3,"min":"',
-  o_orderpriority, '"},{"name":"b","max":"z"}]}') AS result FROM orders"""
+  o_orderpriority, '","top_values":[{"value":"', o_orderstatus, '","count":', CAST(o_custkey AS STRING),
+  '},{"value":"","count":1}]},{"name":"b","max":"z"}]}') AS result FROM orders"""
 
 
 def stored_profiles(spark, sf):
     stored = derived(spark, sf, _STORED, "orders")
     return read_back(stored).select(
-        "o_orderkey", "row_count", "name", "dtype", "null_count", "null_pct", "distinct_count", "min", "max"
+        "o_orderkey", "row_count", "name", "dtype", "null_count", "null_pct", "distinct_count", "min", "max", _top_text().alias("top_values")
     )
 
 
 _STORED_SQL = """
 SELECT o_orderkey, o_custkey AS row_count, 'a' AS name, o_orderstatus AS dtype, o_orderkey % 5 AS null_count,
-  0.5::DOUBLE AS null_pct, 3::BIGINT AS distinct_count, o_orderpriority AS "min", CAST(NULL AS VARCHAR) AS "max" FROM orders
-UNION ALL SELECT o_orderkey, o_custkey, 'b', '', 0, 0.0, NULL, NULL, 'z' FROM orders"""
+  0.5::DOUBLE AS null_pct, 3::BIGINT AS distinct_count, o_orderpriority AS "min", CAST(NULL AS VARCHAR) AS "max",
+  concat(o_custkey, ':', o_orderstatus, '|1:') AS top_values FROM orders
+UNION ALL SELECT o_orderkey, o_custkey, 'b', '', 0, 0.0, NULL, NULL, 'z', '' FROM orders"""
 
 
 def _groups(spark, sf):
@@ -255,7 +265,9 @@ ORDER BY o_orderkey LIMIT 25""",
         "json_cells",
         json_cells,
         """SELECT event_id, CASE WHEN microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
-  ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS ts, event_type FROM events""",
+  ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS ts, event_type,
+  CASE WHEN event_id % 5 > 0 THEN value END AS value, CAST(CAST(ts AS DATE) AS VARCHAR) AS day,
+  CASE WHEN event_id % 3 > 0 THEN base64(encode(event_type)) END AS raw FROM events""",
     ),
     Query("stable_rows", stable_rows, f"SELECT {_STABLE} AS json, sha256({_STABLE}) AS fingerprint FROM customer"),
     Query(

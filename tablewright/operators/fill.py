@@ -88,6 +88,8 @@ def fillna(
         if strategy == "constant" and constant is not None:
             for c in columns:
                 _constant(df, c, constant)
+    elif strategy == "constant" and constant is not None and not any(_fits(df, c, constant) for c in data_columns(df)):
+        raise OperationError(f"the constant {constant!r} fits no column")
     rows, nulls = _counts(df, columns or data_columns(df))
     considered = columns or [c for c, n in nulls.items() if n]
     if not considered:
@@ -121,6 +123,14 @@ def fillna(
     return _result(df, frame, strategy, rows, filled)
 
 
+def _fits(df: DataFrame, column: str, constant) -> bool:
+    try:
+        _constant(df, column, constant)
+    except OperationError:
+        return False
+    return True
+
+
 def _plain(df: DataFrame, column: str) -> bool:
     return not isinstance(df.schema[column].dataType, (T.ArrayType, T.StructType, T.MapType, T.VariantType, T.BinaryType))
 

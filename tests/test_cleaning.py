@@ -232,3 +232,9 @@ def test_normalize_numeric(spark):
     assert dict(result.frame.dtypes)["void"] == "string"
     with pytest.raises(OperationError):
         normalize_numeric(df, ["us"], decimal=";")
+
+
+def test_a_constant_for_no_column_raises_before_any_job(spark):
+    df = spark.range(3).select(F.expr("CAST(raise_error('read') AS INT) AS n"))
+    with pytest.raises(OperationError, match="fits no column"):
+        fillna(df, strategy="constant", constant="many")
