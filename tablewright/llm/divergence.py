@@ -1,8 +1,8 @@
 """How far the sources of a language differ from each other, and by which terms.
 
 A language keeps the terms that enough of its documents hold. Kept terms are sorted and numbered, and made into minimal
-acyclic transducers: automata that read the bytes of a term and add up its number in lexicographic order. Texts are
-streamed through them, all terms of a chunk side by side, to count each kept term in each source. The most common terms,
+acyclic transducers: automata that read the bytes of a term and add up its number in lexicographic order. The distinct
+terms of each chunk of texts are streamed through them side by side, to count each kept term in each source. The most common terms,
 a bounded number, form one transducer that is broadcast; a term it does not accept is counted within its task and sent to the shard that its hash
 names, where a transducer of that shard's kept terms reads it. So frequent terms are never shuffled one by one, and no transducer grows with the data.
 
@@ -29,6 +29,7 @@ SCALE = 1_000_000_000
 _HELD = 200_000  # counts that a task holds before it adds them up and may hand them on
 _CHUNK = 4 << 20
 _PAIRS = 1 << 20
+_PACK = 256  # counts in a row
 
 _IS_TERM = np.zeros(256, bool)
 _IS_TERM[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -59,6 +60,14 @@ def binaries(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, buffers)
 
 
+def _bytes(terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The terms in a row, and where each begins (and the end of the last)."""
+    terms = terms.cast(pa.large_binary())
+    _, offsets, data = terms.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[terms.offset : terms.offset + len(terms) + 1] if offsets else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), offsets
+
+
 def coded(chunk: Chunk, columns: list[str], seen: dict[tuple, int]) -> np.ndarray:
     """A number for each row's values of the columns, null as empty, that stays the same within a task."""
     values = zip(*(chunk.rows.column(c).cast(pa.string()).fill_null("").to_pylist() for c in columns), strict=True)
@@ -100,8 +109,8 @@ def _batches(table: pa.Table, seen: dict[tuple, int], names: list[str], **more)
         columns = {name: g.take(where) for name, g in zip(names, groups, strict=True)}
         columns["term"] = part["term"].combine_chunks().cast(pa.large_string()).cast(pa.string())
         columns["n"] = part["n"].combine_chunks()
-        for name in more:
-            columns[name] = pa.nulls(len(where), pa.int64())
+        for name, dtype in more.items():
+            columns[name] = pa.nulls(len(where), dtype)
         yield pa.RecordBatch.from_pydict(columns)
 
 
@@ -294,66 +303,119 @@ def _hot(kept: DataFrame, most: int) -> list[tuple[str, bytes, int]]:
     return [(r.lang, r.term.encode(), r.ordinal) for r in short.where(level >= floor).select("lang", "term", "ordinal").collect()]
 
 
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in ascending order, and the sum of the counts of each."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[heads], np.add.reduceat(counts[order], heads) if len(keys) else counts
+
+
+def _packed(both: np.ndarray, n: np.ndarray, width: int, n_shards: int, seen: dict[tuple, int]) -> Iterator[pa.RecordBatch]:
+    """Counts of ``group * width + ordinal`` as rows of a group and a shard, each with some pairs of an ordinal and its count."""
+    group, ordinal = both // width, both % width
+    order = np.argsort(group * n_shards + ordinal % n_shards, kind="stable")
+    group, ordinal = group[order], ordinal[order]
+    shard = ordinal % n_shards
+    heads = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (shard[1:] != shard[:-1]))[: len(group)])
+    sizes = np.diff(np.append(heads, len(group)))
+    cut = -(-sizes // _PACK)
+    heads = np.repeat(heads, cut) + ragged(np.zeros(len(cut), np.int64), cut) * _PACK
+    pairs = np.stack([ordinal, n[order]], 1)
+    names = [pa.array([g[i] for g in seen], pa.string()) for i in range(2)]
+    for a in range(0, len(heads), 5_000):
+        at = np.append(heads[a : a + 5_000], heads[a + 5_000] if a + 5_000 < len(heads) else len(group))
+        where, m = pa.array(group[at[:-1]]), len(at) - 1
+        buffers = [None, pa.py_buffer(((at - at[0]) * 16).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(pairs[at[0] : at[-1]]))]
+        columns = {"lang": names[0].take(where), "source": names[1].take(where), "term": pa.nulls(m, pa.string()), "n": pa.nulls(m, pa.int64())}
+        packed = pa.Array.from_buffers(pa.binary(), m, buffers)
+        yield pa.RecordBatch.from_pydict(columns | {"place": pa.array(shard[at[:-1]]), "packed": packed})
+
+
+def _unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The row, the ordinal and the count of each pair."""
+    held = packed.to_pylist()
+    pairs = np.frombuffer(b"".join(held), np.int64).reshape(-1, 2)
+    return np.repeat(np.arange(len(held)), [len(x) // 16 for x in held]), pairs[:, 0], pairs[:, 1]
+
+
+def _coded_batch(batch: pa.RecordBatch, seen: dict[tuple, int]) -> np.ndarray:
+    """As ``coded``, for the language and source of many rows."""
+    langs, sources = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
+    size = max(1, len(sources.dictionary))
+    found, back = np.unique(langs.indices.to_numpy().astype(np.int64) * size + sources.indices.to_numpy(), return_inverse=True)
+    lang, source = langs.dictionary.to_pylist(), sources.dictionary.to_pylist()
+    return np.array([seen.setdefault((lang[x // size], source[x % size]), len(seen)) for x in found.tolist()], np.int64)[back]
+
+
 def recount(docs: DataFrame, kept: DataFrame, hot_terms: int = HOT_TERMS, shard_terms: int = SHARD_TERMS) -> DataFrame:
-    """(lang, source, ordinal, n): occurrences of the kept terms (lang, term, n, ordinal) in each source, written."""
+    """(lang, source, ordinal, n, lang_n): occurrences of the kept terms (lang, term, n, ordinal) in each source and in the language, written.
+
+    All counts of a term meet in one shard, which adds them up: those by ordinal in the shard that the ordinal names, packed, the others where the hash of
+    their term sends them, with the kept terms of that hash.
+    """
     spark = docs.sparkSession
     hot = _hot(kept, hot_terms)
     total = kept.count()
     vocabulary = spark.sparkContext.broadcast(transducer(hot).__dict__)  # arrays and dictionaries, of a bounded size
     names = ["lang", "source"]
     complete = total == len(hot)  # then nothing is left to send on
+    width = max(1, total)
+    n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((total - len(hot)) / shard_terms))
 
     def stream(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, held, seen = Transducer.of(vocabulary.value), _Held(), {}
-        keys, counts, width = [], [], max(1, total)
+        keys, counts = [], []
 
-        def summed() -> Iterator[pa.RecordBatch]:
-            both, back = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.zeros(len(both), np.int64)
-            np.add.at(n, back, np.concatenate(counts))
+        def summed(last: bool) -> Iterator[pa.RecordBatch]:
+            both, n = _added(np.concatenate(keys), np.concatenate(counts))
             keys[:], counts[:] = [both], [n]
-            if len(both) >= _HELD:
-                yield from counted()
+            if last or len(both) >= 2 * _HELD:
+                yield from _packed(both, n, width, n_shards, seen)
                 keys[:], counts[:] = [], []
 
-        def counted() -> Iterator[pa.RecordBatch]:
-            both, n = keys[0], counts[0]
-            groups = [pa.array([g[i] for g in seen], pa.string()) for i in range(len(names))]
-            for a in range(0, len(both), 50_000):
-                where = pa.array(both[a : a + 50_000] // width)
-                columns = {name: g.take(where) for name, g in zip(names, groups, strict=True)}
-                columns |= {"term": pa.nulls(len(where), pa.string()), "n": pa.array(n[a : a + 50_000])}
-                yield pa.RecordBatch.from_pydict(columns | {"ordinal": pa.array(both[a : a + 50_000] % width)})
-
         for chunk in chunks(batches, "text", _CHUNK):
             data, cuts, rows = terms_of(chunk)
+            terms = binaries(data, cuts).dictionary_encode()
+            size = max(1, len(terms.dictionary))
             group = coded(chunk, names, seen)[rows]
-            langs = [lang for lang, _ in seen]
-            found = reader.read(data, cuts, group, langs)
+            one, n = np.unique(group * size + terms.indices.to_numpy(), return_counts=True)
+            group, code = one // size, one % size
+            places: dict[str, int] = {}
+            lang = np.array([places.setdefault(x, len(places)) for x, _ in seen], np.int64)[group]
+            each, back = np.unique(lang * size + code, return_inverse=True)  # a term is read once in each language of the chunk
+            found = reader.read(*_bytes(terms.dictionary.take(pa.array(each % size))), each // size, list(places))[back]
             hit = found >= 0
-            one, n = np.unique(group[hit] * width + found[hit], return_counts=True)
-            keys.append(one)
-            counts.append(n)
+            keys.append(group[hit] * width + found[hit])
+            counts.append(n[hit])
             if sum(map(len, keys)) >= 4 * _HELD:
-                yield from summed()
+                yield from summed(False)
             if not complete:
-                rest = np.flatnonzero(~hit)
-                lengths = np.diff(cuts)[rest]
-                terms = binaries(data[ragged(cuts[:-1][rest], lengths)], np.append(0, np.cumsum(lengths))).dictionary_encode()
-                size = max(1, len(terms.dictionary))
-                one, n = np.unique(group[rest] * size + terms.indices.to_numpy(), return_counts=True)
-                held.add(one // size, terms.dictionary.take(pa.array(one % size)), n)
+                held.add(group[~hit], terms.dictionary.take(pa.array(code[~hit])), n[~hit])
                 if (table := held.taken()) is not None:
-                    yield from _batches(table, seen, names, ordinal=True)
+                    yield from _batches(table, seen, names, place=pa.int64(), packed=pa.binary())
         if keys:
-            yield from summed()
-            if keys:
-                yield from counted()
+            yield from summed(True)
         if held.n:
-            yield from _batches(held.summed(), seen, names, ordinal=True)
+            yield from _batches(held.summed(), seen, names, place=pa.int64(), packed=pa.binary())
 
     def shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, words, reader = None, [], None
+        seen, keys, counts, most = {}, [], [], 4 * _HELD
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            both, n = _added(np.concatenate(keys), np.concatenate(counts))
+            keys[:], counts[:] = [], []
+            order = np.argsort(both % width, kind="stable")
+            group, ordinal, n = both[order] // width, both[order] % width, n[order]
+            heads = np.flatnonzero(np.append(True, ordinal[1:] != ordinal[:-1])[: len(ordinal)])
+            whole = np.repeat(np.add.reduceat(n, heads), np.diff(np.append(heads, len(n)))) if len(n) else n
+            held = [pa.array([g[i] for g in seen], pa.string()) for i in range(len(names))]
+            for a in range(0, len(n), 50_000):
+                part = slice(a, a + 50_000)
+                columns = [g.take(pa.array(group[part])) for g in held] + [pa.array(x[part]) for x in (ordinal, n, whole)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "ordinal", "n", "lang_n"])
+
         for batch in batches:
             at = batch.column("shard").to_numpy()
             cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
@@ -361,39 +423,49 @@ def recount(docs: DataFrame, kept: DataFrame, hot_terms: int = HOT_TERMS, shard_
                 if a == b:
                     continue
                 if at[a] != shard:
-                    shard, words, reader = at[a], [], None
+                    if keys:
+                        yield from summed()
+                    shard, words, reader, most = at[a], [], None, 4 * _HELD
                 part = batch.slice(a, b - a)
                 ordered = part.column("kind").to_numpy()  # the shard's kept terms, counts of known ordinals, counts of terms
                 cut = np.searchsorted(ordered, [1, 2]).tolist()
                 own, counted, rest = part.slice(0, cut[0]), part.slice(cut[0], cut[1] - cut[0]), part.slice(cut[1])
                 words += zip(own["lang"].to_pylist(), (t.encode() for t in own["term"].to_pylist()), own["ordinal"].to_pylist(), strict=True)
                 if counted.num_rows:
-                    yield counted.select(fields)
-                if not rest.num_rows or not words:
-                    continue
-                reader = reader or transducer(words)
-                terms = rest["term"].cast(pa.large_binary())
-                _, offsets, data = terms.buffers()
-                offsets = np.frombuffer(offsets, np.int64)[terms.offset : terms.offset + len(terms) + 1]
-                langs = rest["lang"].dictionary_encode()
-                data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
-                found = reader.read(data, offsets, langs.indices.to_numpy().astype(np.int64), langs.dictionary.to_pylist())
-                hit = np.flatnonzero(found >= 0)
-                columns = [rest[c].take(pa.array(hit)) for c in ("lang", "source", "n")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found[hit])], names=["lang", "source", "n", "ordinal"])
+                    row, ordinal, n = _unpacked(counted["packed"])
+                    keys.append(_coded_batch(counted, seen)[row] * width + ordinal)
+                    counts.append(n)
+                if rest.num_rows and words:
+                    reader = reader or transducer(words)
+                    langs = rest["lang"].dictionary_encode()
+                    found = reader.read(*_bytes(rest["term"]), langs.indices.to_numpy().astype(np.int64), langs.dictionary.to_pylist())
+                    hit = found >= 0
+                    keys.append(_coded_batch(rest, seen)[hit] * width + found[hit])
+                    counts.append(rest["n"].to_numpy()[hit])
+                if sum(map(len, keys)) >= most:
+                    both, n = _added(np.concatenate(keys), np.concatenate(counts))
+                    keys[:], counts[:], most = [both], [n], max(most, 2 * len(both))
+        if keys:
+            yield from summed()
 
     read = docs.select("text", "lang", "source")
-    fields = ["lang", "source", "n", "ordinal"]
-    counts = read.mapInArrow(stream, "lang string, source string, term string, n long, ordinal long")
+    counts = read.mapInArrow(stream, "lang string, source string, term string, n long, place long, packed binary")
+    hashed = F.pmod(F.xxhash64("lang", "term"), F.lit(n_shards))
+    counts = counts.select(
+        "lang",
+        "source",
+        "term",
+        "n",
+        F.lit(None).cast("long").alias("ordinal"),
+        "packed",
+        F.coalesce("place", hashed).alias("shard"),
+        F.when(F.col("term").isNull(), 1).otherwise(2).alias("kind"),
+    )
     if not complete:
-        parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        n_shards = max(parallel, math.ceil((total - len(hot)) / shard_terms))
-        shard = F.pmod(F.when(F.col("term").isNull(), F.xxhash64("ordinal")).otherwise(F.xxhash64("lang", "term")), F.lit(n_shards)).alias("shard")
-        known = kept.select("lang", F.lit(None).cast("string").alias("source"), "term", F.lit(0).cast("long").alias("n"), "ordinal", shard, F.lit(0).alias("kind"))
-        counts = counts.select("lang", "source", "term", "n", "ordinal", shard, F.when(F.col("term").isNull(), 1).otherwise(2).alias("kind"))
-        dealt = known.unionByName(counts).repartition(n_shards, "shard").sortWithinPartitions("shard", "kind")
-        counts = dealt.mapInArrow(shards, "lang string, source string, n long, ordinal long")
-    return written(counts.groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n")))
+        empty = [F.lit(None).cast(t).alias(c) for c, t in (("source", "string"), ("n", "long"), ("packed", "binary"))]
+        counts = counts.unionByName(kept.select("lang", "term", "ordinal", *empty, hashed.alias("shard"), F.lit(0).alias("kind")))
+    dealt = counts.repartition(n_shards, "shard").sortWithinPartitions("shard", "kind")
+    return written(dealt.mapInArrow(shards, "lang string, source string, ordinal long, n long, lang_n long"))
 
 
 def _share(count: str, total: str, kept: str) -> str:
@@ -483,8 +555,7 @@ def source_divergence(
     shares = counts.join(groups, ["lang", "source"]).withColumn("p", F.expr(_share("n", "total", "v")))
 
     whole = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"))
-    everywhere = F.sum("n").over(Window.partitionBy("ordinal")).alias("lang_n")
-    terms = shares.select("lang", "source", "ordinal", "p", "v", everywhere).join(whole, "lang")
+    terms = shares.select("lang", "source", "ordinal", "p", "v", "lang_n").join(whole, "lang")
     terms = terms.withColumn("q", F.expr(_share("lang_n", "lang_total", "v"))).where("p > q")
     terms = terms.withColumn("value", F.expr("(p - q) * (p - q) div q"))
     best = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), F.col("ordinal"))

@@ -123,3 +123,38 @@ def test_shares_are_exact_for_large_counts(spark):
 
 def test_query_agrees_with_its_sql(spark, sf):
     assert difference(op11_divergence(spark, sf), connect(sf), ORACLE_SQL["op11_divergence"]) is None
+
+
+def test_counts_travel_packed_and_come_back_whole():
+    draw = np.random.default_rng(3)
+    both = np.unique(draw.integers(0, 4 * 9_000, 20_000))
+    n, seen = draw.integers(1, 99, len(both)), {("l", "a"): 0, ("l", "b"): 1, ("m", "a"): 2, ("", ""): 3}
+    batches = list(divergence._packed(both, n, 9_000, 7, seen))
+    assert sum(b.num_rows for b in batches) <= 4 * 7 + len(both) // divergence._PACK  # far fewer rows than counts
+    got = {}
+    for batch in batches:
+        row, ordinal, count = divergence._unpacked(batch["packed"])
+        place = batch["place"].to_numpy()[row]
+        assert (place == ordinal % 7).all()
+        group = divergence._coded_batch(batch, dict(seen))[row]
+        got |= dict(zip((group * 9_000 + ordinal).tolist(), count.tolist(), strict=True))
+    assert got == dict(zip(both.tolist(), n.tolist(), strict=True))
+    assert list(divergence._packed(both[:0], n[:0], 9_000, 7, seen)) == []
+
+
+def test_recount_gives_each_count_once_with_that_of_its_language(spark, monkeypatch):
+    for name, value in (("_HELD", 50), ("_CHUNK", 400), ("_PACK", 3)):
+        monkeypatch.setattr(divergence, name, value)
+    rows = [(t or "", lang or "", source or "") for t, lang, source in corpus_rows()]
+    frame = spark.createDataFrame(rows, "text string, lang string, source string").repartition(3)
+    kept = divergence.numbered_terms(divergence.document_frequencies(frame), 3)
+    known = {(r.lang, r.term): r.ordinal for r in kept.collect()}
+    want, whole = Counter(), Counter()
+    for text, lang, source in rows:
+        for term in TERM.findall(text.translate(LOWER)):
+            if (lang, term) in known:
+                want[lang, source, known[lang, term]] += 1
+                whole[known[lang, term]] += 1
+    for hot in (0, 40, 1 << 16):
+        got = [tuple(r) for r in divergence.recount(frame, kept, hot, 20).select("lang", "source", "ordinal", "n", "lang_n").collect()]
+        assert sorted(got) == sorted((*key, n, whole[key[2]]) for key, n in want.items())
