@@ -3,7 +3,8 @@
 Combinations are tried level by level, smaller ones first. A combination is only looked at if it
 can be a key at all: it holds no key found before, and the distinct counts of what it is made of, multiplied, reach the
 number of rows. Those that are left share one scan with a sketch each, and only those
-whose sketch comes near enough are counted exactly.
+whose sketch comes near enough are counted exactly. Where no value may repeat, combinations are not sketched: all rows of some values of
+their column of most values are looked at instead, a part of the table, and those that repeat nothing there are counted.
 """
 
 from itertools import combinations
@@ -18,7 +19,7 @@ from tablewright.operators.result import data_columns, quoted, require_columns
 
 _SKETCH = 12  # the sketches have 2**12 places, which errs by 1.6 per cent
 _SLACK = 0.08  # a sketch may lie so far off before a combination is given up
-_SLICES = 16  # a key must hold in a slice of its values as well
+_SLICES = 16  # a key must hold in a slice of the rows as well, which has all rows of its values
 _TOGETHER = 200  # sketches of one scan
 _COUNTED = 32  # combinations counted in one shuffle
 _NO_KEYS = (T.FloatType, T.DoubleType, T.BooleanType, T.ArrayType, T.StructType, T.MapType, T.VariantType, T.BinaryType)
@@ -75,19 +76,20 @@ def find_keys(
                     continue
             open_.append(combination)
         near = []
-        for at in range(0, len(open_), _TOGETHER):
-            some_ = open_[at : at + _TOGETHER]
+        sketched = open_ if size == 1 or min_share < 1 else []
+        for at in range(0, len(sketched), _TOGETHER):
+            some_ = sketched[at : at + _TOGETHER]
             sketches = [F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*_marked([place[c] for c in x])), _SKETCH)) for x in some_]
             for combination, distinct in zip(some_, cells.agg(*sketches).first(), strict=True):
                 bound[combination] = distinct * (1 + _SLACK)
                 if distinct * (1 + _SLACK) >= wanted:
                     near.append(combination)
+        near = near if sketched else open_
+        if min_share == 1:
+            near = _unrepeated(cells, near, place, bound)
         for at in range(0, len(near), _COUNTED):
             some_ = near[at : at + _COUNTED]
-            if min_share == 1:  # a slice that repeats a value is cheaper than all rows
-                held = _counted(cells, [[place[c] for c in x] for x in some_], _SLICES)
-                some_ = [x for x, (n, distinct) in zip(some_, held, strict=True) if n == distinct]
-            for combination, (_, distinct) in zip(some_, _counted(cells, [[place[c] for c in x] for x in some_]), strict=True):
+            for combination, (_, distinct) in zip(some_, _counted(cells, [[place[c] for c in x] for x in some_], spread=True), strict=True):
                 bound[combination] = min(bound[combination], distinct)
                 if distinct >= wanted:
                     found.append({"columns": list(combination), "rows": rows, "distinct_count": distinct, "duplicates": rows - distinct})
@@ -96,11 +98,30 @@ def find_keys(
     return found
 
 
-def _counted(cells: DataFrame, combinations_: list[list[str]], slices: int = 1) -> list[tuple[int, int]]:
+def _unrepeated(cells: DataFrame, combinations_: list[tuple], place: dict[str, str], bound: dict[tuple, float]) -> list[tuple]:
+    """Those combinations that repeat no value in a slice of the rows, which is cheaper to look at than all rows.
+
+    A slice is cut by the column of most values, so that rows with one value of the combination are in it together.
+    """
+    by_column: dict[str, list[tuple]] = {}
+    for x in combinations_:
+        by_column.setdefault(max(x, key=lambda c: bound[(c,)]), []).append(x)
+    left = set()
+    for column, mine in by_column.items():
+        rows = cells.where(F.pmod(F.xxhash64(place[column]), F.lit(_SLICES)) == 0)
+        rows = rows.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a table may be few files
+        for at in range(0, len(mine), _COUNTED):
+            some = mine[at : at + _COUNTED]
+            held = _counted(rows, [[place[c] for c in x] for x in some])
+            left |= {x for x, (n, distinct) in zip(some, held, strict=True) if n == distinct}
+    return [x for x in combinations_ if x in left]
+
+
+def _counted(cells: DataFrame, combinations_: list[list[str]], spread: bool = False) -> list[tuple[int, int]]:
     """Rows and distinct values of each combination, all counted in one shuffle by digests of 128 bits.
 
-    Different digests are of different values, so a key that is found is one. With
-    ``slices`` only values whose digest falls into the first slice count, each with all of its rows.
+    Different digests are of different values, so a key that is found is one. Values that hardly
+    repeat are ``spread`` before they are counted, as a first count in each task would hold nearly all of them and add up nothing.
     """
     if not combinations_:
         return []
@@ -111,7 +132,7 @@ def _counted(cells: DataFrame, combinations_: list[list[str]], slices: int = 1)
         ]
     )
     rows = cells.select(F.inline(digests))
-    rows = rows.where(F.pmod("a", F.lit(slices)) == 0) if slices > 1 else rows
+    rows = rows.repartition("i", "a", "b") if spread else rows
     values = rows.groupBy("i", "a", "b").agg(F.count(F.lit(1)).alias("n"))
     counts = {r.i: (r.n, r.distinct) for r in values.groupBy("i").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct")).collect()}
     return [counts.get(i, (0, 0)) for i in range(len(combinations_))]

@@ -64,6 +64,25 @@ def test_the_lattice_is_pruned_before_data_is_read(spark, monkeypatch):
     assert len(asked) == 5  # products of the others stay far below the rows
 
 
+def test_larger_combinations_are_tried_on_a_slice_and_only_the_rest_on_all_rows(spark, monkeypatch):
+    asked, counted = [], []
+    real, real_count = F.hll_sketch_agg, keys._counted
+    monkeypatch.setattr(keys.F, "hll_sketch_agg", lambda c, size: asked.append(c) or real(c, size))
+    monkeypatch.setattr(keys, "_counted", lambda cells, names, spread=False: counted.append((names, spread)) or real_count(cells, names, spread))
+    rows = [(i // 4, i % 4, i // 4 % 50, i * 7 % 300) for i in range(4000)]
+    frame = spark.createDataFrame(rows, "a int, b int, c int, d int").repartition(3)
+    found = keys.find_keys(frame, max_size=3, all_levels=True)
+    assert [(k["columns"], k["distinct_count"]) for k in found] == plain_keys(rows, list("abcd"), 3, 1.0)
+    assert len(asked) == 4  # single columns only
+    assert sum(len(names) for names, spread in counted if spread) <= len(found) + 1
+
+
+def test_a_single_repeat_outside_the_slice_is_no_key(spark):
+    for last in range(0, 400, 100):  # wherever the repeated value falls
+        rows = [(i // 2, i % 2) for i in range(800)] + [(last, 0)]
+        assert keys.find_keys(spark.createDataFrame(rows, "a int, b int"), max_size=2) == []
+
+
 def test_quantiles_are_exact(spark):
     draw = random.Random(2)
     for n in (1, 2, 10, 501):
