@@ -4,21 +4,23 @@ A language keeps the terms that enough of its documents hold. Kept terms are sor
 acyclic transducers: automata that read the bytes of a term and add up its number in lexicographic order. The distinct
 terms of each chunk of texts are streamed through them side by side, to count each kept term in each source. The most common terms,
 a bounded number, form one transducer that is broadcast; a term it does not accept is counted within its task and sent to the shard that its hash
-names, where a transducer of that shard's kept terms reads it. So frequent terms are never shuffled one by one, and no transducer grows with the data.
+names, where a transducer of that shard's kept terms reads it. Counts travel packed, many in a row, and no transducer grows with the data.
 
 Sums over pairs of sources are kept sparse: each kept term adds to the pairs of sources that both have it, inside a
 task, and what a source's terms come to against one that lacks them depends on counts alone, of which few are distinct.
 """
 
 import math
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.chunks import Chunk, chunks
+from tablewright.llm.chunks import Chunk, chunks, hashed, mix
 from tablewright.llm.tokens import ragged
 from tablewright.scratch import written
 
@@ -30,6 +32,11 @@ _HELD = 200_000  # counts that a task holds before it adds them up and may hand
 _CHUNK = 4 << 20
 _PAIRS = 1 << 20
 _PACK = 256  # counts in a row
+_PACK_BYTES = 1 << 16  # of their terms, beyond which a row ends
+_BUNDLE_BYTES = 1 << 15  # of such rows that travel as one
+_PACKED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("terms", pa.binary()), ("packed", pa.binary())])
+
+_LOW = 2**32 - 1
 
 _IS_TERM = np.zeros(256, bool)
 _IS_TERM[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -44,15 +51,17 @@ def terms_of(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     data, offsets = chunk.data, chunk.offsets
     here = _IS_TERM[data]
-    begins = here.copy()
+    begins, ends = here.copy(), here.copy()
     begins[1:] &= ~here[:-1]
-    full = offsets[:-1][offsets[:-1] < offsets[1:]]
-    begins[full] = here[full]
+    ends[:-1] &= ~here[1:]
+    full = offsets[:-1] < offsets[1:]
+    first, last = offsets[:-1][full], offsets[1:][full] - 1
+    begins[first], ends[last] = here[first], here[last]
     starts = np.flatnonzero(begins)
-    rows = np.searchsorted(offsets, starts, "right") - 1
-    upto = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(here, out=upto[1:])
-    return _LOWER[data[here]], np.append(upto[starts], upto[-1]), rows
+    cuts = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(np.flatnonzero(ends) + 1 - starts, out=cuts[1:])
+    rows = np.repeat(np.arange(len(chunk)), np.diff(np.searchsorted(starts, offsets)))
+    return _LOWER[data[here]], cuts, rows
 
 
 def binaries(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
@@ -74,6 +83,21 @@ def coded(chunk: Chunk, columns: list[str], seen: dict[tuple, int]) -> np.ndarra
     return np.fromiter((seen.setdefault(v, len(seen)) for v in values), np.int64, len(chunk))
 
 
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in ascending order, and how often each occurs; the array is sorted in place."""
+    keys.sort()
+    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[heads], np.diff(np.append(heads, len(keys)))
+
+
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in ascending order, and the sum of the counts of each."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[heads], np.add.reduceat(counts[order], heads) if len(keys) else counts
+
+
 class _Held:
     """Counts of (group, term) that are added up whenever many have come together."""
 
@@ -98,20 +122,18 @@ class _Held:
 
     def summed(self) -> pa.Table:
         table = pa.concat_tables(self.tables).combine_chunks()
-        return table.group_by(["group", "term"]).aggregate([("n", "sum")]).rename_columns(["group", "term", "n"])
+        terms = table["term"].combine_chunks().dictionary_encode()
+        both, n = _added(table["group"].to_numpy() << 32 | terms.indices.to_numpy(), table["n"].to_numpy())
+        return pa.table({"group": both >> 32, "term": terms.dictionary.take(pa.array(both & _LOW)), "n": n})
 
 
-def _batches(table: pa.Table, seen: dict[tuple, int], names: list[str], **more) -> Iterator[pa.RecordBatch]:
-    groups = [pa.array([g[i] for g in seen], pa.string()) for i in range(len(names))]
+def _batches(table: pa.Table, seen: dict[tuple, int]) -> Iterator[pa.RecordBatch]:
+    langs = pa.array([g[0] for g in seen], pa.string())
     for a in range(0, table.num_rows, 50_000):
         part = table.slice(a, 50_000).combine_chunks()
         where = part["group"].combine_chunks()
-        columns = {name: g.take(where) for name, g in zip(names, groups, strict=True)}
-        columns["term"] = part["term"].combine_chunks().cast(pa.large_string()).cast(pa.string())
-        columns["n"] = part["n"].combine_chunks()
-        for name, dtype in more.items():
-            columns[name] = pa.nulls(len(where), dtype)
-        yield pa.RecordBatch.from_pydict(columns)
+        term = part["term"].combine_chunks().cast(pa.large_string()).cast(pa.string())
+        yield pa.RecordBatch.from_pydict({"lang": langs.take(where), "term": term, "n": part["n"].combine_chunks()})
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
@@ -122,16 +144,14 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
         for chunk in chunks(batches, "text", _CHUNK):
             data, cuts, rows = terms_of(chunk)
             terms = binaries(data, cuts).dictionary_encode()
-            size = max(1, len(terms.dictionary))
-            codes = terms.indices.to_numpy().astype(np.int64)
-            once = np.unique(rows * size + codes)
+            once, _ = _counted(rows << 32 | terms.indices.to_numpy())
             langs = coded(chunk, ["lang"], seen)
-            where, n = np.unique(langs[once // size] * size + once % size, return_counts=True)
-            held.add(where // size, terms.dictionary.take(pa.array(where % size)), n)
+            where, n = _counted(langs[once >> 32] << 32 | once & _LOW)
+            held.add(where >> 32, terms.dictionary.take(pa.array(where & _LOW)), n)
             if (table := held.taken()) is not None:
-                yield from _batches(table, seen, ["lang"])
+                yield from _batches(table, seen)
         if held.n:
-            yield from _batches(held.summed(), seen, ["lang"])
+            yield from _batches(held.summed(), seen)
 
     counts = docs.select("text", "lang").mapInArrow(run, "lang string, term string, n long")
     return counts.groupBy("lang", "term").agg(F.sum("n").alias("n"))
@@ -303,14 +323,6 @@ def _hot(kept: DataFrame, most: int) -> list[tuple[str, bytes, int]]:
     return [(r.lang, r.term.encode(), r.ordinal) for r in short.where(level >= floor).select("lang", "term", "ordinal").collect()]
 
 
-def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys in ascending order, and the sum of the counts of each."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-    return keys[heads], np.add.reduceat(counts[order], heads) if len(keys) else counts
-
-
 def _packed(both: np.ndarray, n: np.ndarray, width: int, n_shards: int, seen: dict[tuple, int]) -> Iterator[pa.RecordBatch]:
     """Counts of ``group * width + ordinal`` as rows of a group and a shard, each with some pairs of an ordinal and its count."""
     group, ordinal = both // width, both % width
@@ -327,18 +339,84 @@ def _packed(both: np.ndarray, n: np.ndarray, width: int, n_shards: int, seen: di
         at = np.append(heads[a : a + 5_000], heads[a + 5_000] if a + 5_000 < len(heads) else len(group))
         where, m = pa.array(group[at[:-1]]), len(at) - 1
         buffers = [None, pa.py_buffer(((at - at[0]) * 16).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(pairs[at[0] : at[-1]]))]
-        columns = {"lang": names[0].take(where), "source": names[1].take(where), "term": pa.nulls(m, pa.string()), "n": pa.nulls(m, pa.int64())}
+        columns = {"lang": names[0].take(where), "source": names[1].take(where), "terms": pa.nulls(m, pa.binary())}
         packed = pa.Array.from_buffers(pa.binary(), m, buffers)
         yield pa.RecordBatch.from_pydict(columns | {"place": pa.array(shard[at[:-1]]), "packed": packed})
 
 
+def _places(terms: pa.Array, langs: np.ndarray, names: list[str], n_shards: int) -> np.ndarray:
+    """The shard of each term; ``langs`` has the place of its language in ``names``."""
+    data, cuts = _bytes(terms)
+    salts = np.array([zlib.crc32(x.encode()) for x in names], np.uint64)
+    with np.errstate(over="ignore"):
+        return (mix(hashed(data, cuts[:-1], cuts[1:]) ^ salts[langs]) % np.uint64(n_shards)).astype(np.int64)
+
+
+def _packed_terms(table: pa.Table, n_shards: int, seen: dict[tuple, int]) -> Iterator[pa.RecordBatch]:
+    """Counts of (group, term) as rows of a group and a shard, each with some terms in a row and pairs of a term's length and its count."""
+    group, terms = table["group"].to_numpy(), table["term"].combine_chunks()
+    names = [pa.array([g[i] for g in seen], pa.string()) for i in range(2)]
+    shard = _places(terms, group, names[0].to_pylist(), n_shards)
+    order = np.argsort(group * n_shards + shard)
+    group, shard = group[order], shard[order]
+    data, cuts = _bytes(terms.take(pa.array(order)))
+    pairs = np.stack([np.diff(cuts), table["n"].to_numpy()[order]], 1)
+    begins = np.append(True, (group[1:] != group[:-1]) | (shard[1:] != shard[:-1]))[: len(group)]
+    cell = np.flatnonzero(begins)[np.cumsum(begins) - 1]  # where those of the same group and shard begin
+    for block in ((np.arange(len(group)) - cell) // _PACK, (cuts[:-1] - cuts[cell]) // _PACK_BYTES):
+        begins[1:] |= block[1:] != block[:-1]
+    heads = np.append(np.flatnonzero(begins), len(group))
+    for a in range(0, len(heads) - 1, 1_000):
+        at = heads[a : a + 1_001]
+        where, m = pa.array(group[at[:-1]]), len(at) - 1
+        first, last = cuts[at[0]], cuts[at[-1]]
+        words = [None, pa.py_buffer((cuts[at] - first).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[first:last]))]
+        sizes = [None, pa.py_buffer(((at - at[0]) * 16).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(pairs[at[0] : at[-1]]))]
+        columns = {"lang": names[0].take(where), "source": names[1].take(where), "terms": pa.Array.from_buffers(pa.binary(), m, words)}
+        yield pa.RecordBatch.from_pydict(columns | {"place": pa.array(shard[at[:-1]]), "packed": pa.Array.from_buffers(pa.binary(), m, sizes)})
+
+
 def _unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The row, the ordinal and the count of each pair."""
+    """The row, the ordinal (or length) and the count of each pair."""
     held = packed.to_pylist()
     pairs = np.frombuffer(b"".join(held), np.int64).reshape(-1, 2)
     return np.repeat(np.arange(len(held)), [len(x) // 16 for x in held]), pairs[:, 0], pairs[:, 1]
 
 
+def _bundled(batches: Iterable[pa.RecordBatch], kind: int) -> Iterator[pa.RecordBatch]:
+    """Packed rows serialised, some of one shard in a row, so that many groups and shards do not make many rows."""
+    held, size = [], 0
+
+    def bundles() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        order = np.argsort(rows["place"].to_numpy())
+        rows, place = rows.take(pa.array(order)), rows["place"].to_numpy()[order]
+        begins = np.append(True, place[1:] != place[:-1])
+        upto = np.cumsum(sum(pc.binary_length(rows[c]).fill_null(0).to_numpy().astype(np.int64) for c in ("terms", "packed")))
+        block = (upto - upto[np.flatnonzero(begins)[np.cumsum(begins) - 1]]) // _BUNDLE_BYTES
+        begins[1:] |= block[1:] != block[:-1]
+        heads, rows = np.flatnonzero(begins), rows.select(_PACKED.names)
+        made = [rows.slice(a, b - a).serialize().to_pybytes() for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(place)], strict=True)]
+        columns = {"bundle": pa.array(made, pa.binary()), "shard": pa.array(place[heads]), "kind": pa.array(np.full(len(heads), kind, np.int32))}
+        return pa.RecordBatch.from_pydict(columns)
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= 64 << 20:
+            yield bundles()
+            held, size = [], 0
+    if held:
+        yield bundles()
+
+
+def _unbundled(bundles: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The packed rows, those of some bundles at a time."""
+    for a in range(0, len(bundles), 256):
+        rows = [pa.ipc.read_record_batch(pa.py_buffer(x), _PACKED) for x in bundles.slice(a, 256).to_pylist()]
+        yield pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+
+
 def _coded_batch(batch: pa.RecordBatch, seen: dict[tuple, int]) -> np.ndarray:
     """As ``coded``, for the language and source of many rows."""
     langs, sources = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
@@ -371,20 +449,18 @@ def recount(docs: DataFrame, kept: DataFrame, hot_terms: int = HOT_TERMS, shard_
             both, n = _added(np.concatenate(keys), np.concatenate(counts))
             keys[:], counts[:] = [both], [n]
             if last or len(both) >= 2 * _HELD:
-                yield from _packed(both, n, width, n_shards, seen)
+                yield from _bundled(_packed(both, n, width, n_shards, seen), 1)
                 keys[:], counts[:] = [], []
 
         for chunk in chunks(batches, "text", _CHUNK):
             data, cuts, rows = terms_of(chunk)
             terms = binaries(data, cuts).dictionary_encode()
-            size = max(1, len(terms.dictionary))
-            group = coded(chunk, names, seen)[rows]
-            one, n = np.unique(group * size + terms.indices.to_numpy(), return_counts=True)
-            group, code = one // size, one % size
+            one, n = _counted(coded(chunk, names, seen)[rows] << 32 | terms.indices.to_numpy())
+            group, code = one >> 32, one & _LOW
             places: dict[str, int] = {}
             lang = np.array([places.setdefault(x, len(places)) for x, _ in seen], np.int64)[group]
-            each, back = np.unique(lang * size + code, return_inverse=True)  # a term is read once in each language of the chunk
-            found = reader.read(*_bytes(terms.dictionary.take(pa.array(each % size))), each // size, list(places))[back]
+            each, back = np.unique(lang << 32 | code, return_inverse=True)  # a term is read once in each language of the chunk
+            found = reader.read(*_bytes(terms.dictionary.take(pa.array(each & _LOW))), each >> 32, list(places))[back]
             hit = found >= 0
             keys.append(group[hit] * width + found[hit])
             counts.append(n[hit])
@@ -393,11 +469,18 @@ def recount(docs: DataFrame, kept: DataFrame, hot_terms: int = HOT_TERMS, shard_
             if not complete:
                 held.add(group[~hit], terms.dictionary.take(pa.array(code[~hit])), n[~hit])
                 if (table := held.taken()) is not None:
-                    yield from _batches(table, seen, names, place=pa.int64(), packed=pa.binary())
+                    yield from _bundled(_packed_terms(table, n_shards, seen), 2)
         if keys:
             yield from summed(True)
         if held.n:
-            yield from _batches(held.summed(), seen, names, place=pa.int64(), packed=pa.binary())
+            yield from _bundled(_packed_terms(held.summed(), n_shards, seen), 2)
+
+    def placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch["lang"].dictionary_encode()
+            place = _places(batch["term"], langs.indices.to_numpy(), langs.dictionary.to_pylist(), n_shards)
+            columns = [batch["lang"], batch["term"].cast(pa.binary()), batch["ordinal"], pa.array(place)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "terms", "ordinal", "shard"])
 
     def shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, words, reader = None, [], None
@@ -406,8 +489,9 @@ def recount(docs: DataFrame, kept: DataFrame, hot_terms: int = HOT_TERMS, shard_
         def summed() -> Iterator[pa.RecordBatch]:
             both, n = _added(np.concatenate(keys), np.concatenate(counts))
             keys[:], counts[:] = [], []
-            order = np.argsort(both % width, kind="stable")
-            group, ordinal, n = both[order] // width, both[order] % width, n[order]
+            group, ordinal = both // width, both % width
+            order = np.argsort(ordinal)
+            group, ordinal, n = group[order], ordinal[order], n[order]
             heads = np.flatnonzero(np.append(True, ordinal[1:] != ordinal[:-1])[: len(ordinal)])
             whole = np.repeat(np.add.reduceat(n, heads), np.diff(np.append(heads, len(n)))) if len(n) else n
             held = [pa.array([g[i] for g in seen], pa.string()) for i in range(len(names))]
@@ -430,18 +514,20 @@ def recount(docs: DataFrame, kept: DataFrame, hot_terms: int = HOT_TERMS, shard_
                 ordered = part.column("kind").to_numpy()  # the shard's kept terms, counts of known ordinals, counts of terms
                 cut = np.searchsorted(ordered, [1, 2]).tolist()
                 own, counted, rest = part.slice(0, cut[0]), part.slice(cut[0], cut[1] - cut[0]), part.slice(cut[1])
-                words += zip(own["lang"].to_pylist(), (t.encode() for t in own["term"].to_pylist()), own["ordinal"].to_pylist(), strict=True)
-                if counted.num_rows:
-                    row, ordinal, n = _unpacked(counted["packed"])
-                    keys.append(_coded_batch(counted, seen)[row] * width + ordinal)
+                words += zip(own["lang"].to_pylist(), own["terms"].to_pylist(), own["ordinal"].to_pylist(), strict=True)
+                for rows in _unbundled(counted["bundle"]):
+                    row, ordinal, n = _unpacked(rows["packed"])
+                    keys.append(_coded_batch(rows, seen)[row] * width + ordinal)
                     counts.append(n)
-                if rest.num_rows and words:
+                for rows in _unbundled(rest["bundle"]) if words else ():
                     reader = reader or transducer(words)
-                    langs = rest["lang"].dictionary_encode()
-                    found = reader.read(*_bytes(rest["term"]), langs.indices.to_numpy().astype(np.int64), langs.dictionary.to_pylist())
+                    langs = rows["lang"].dictionary_encode()
+                    row, length, n = _unpacked(rows["packed"])
+                    data = np.frombuffer(b"".join(rows["terms"].to_pylist()), np.uint8)
+                    found = reader.read(data, np.append(0, np.cumsum(length)), langs.indices.to_numpy()[row], langs.dictionary.to_pylist())
                     hit = found >= 0
-                    keys.append(_coded_batch(rest, seen)[hit] * width + found[hit])
-                    counts.append(rest["n"].to_numpy()[hit])
+                    keys.append(_coded_batch(rows, seen)[row[hit]] * width + found[hit])
+                    counts.append(n[hit])
                 if sum(map(len, keys)) >= most:
                     both, n = _added(np.concatenate(keys), np.concatenate(counts))
                     keys[:], counts[:], most = [both], [n], max(most, 2 * len(both))
@@ -449,21 +535,12 @@ def recount(docs: DataFrame, kept: DataFrame, hot_terms: int = HOT_TERMS, shard_
             yield from summed()
 
     read = docs.select("text", "lang", "source")
-    counts = read.mapInArrow(stream, "lang string, source string, term string, n long, place long, packed binary")
-    hashed = F.pmod(F.xxhash64("lang", "term"), F.lit(n_shards))
-    counts = counts.select(
-        "lang",
-        "source",
-        "term",
-        "n",
-        F.lit(None).cast("long").alias("ordinal"),
-        "packed",
-        F.coalesce("place", hashed).alias("shard"),
-        F.when(F.col("term").isNull(), 1).otherwise(2).alias("kind"),
-    )
+    counts = read.mapInArrow(stream, "bundle binary, shard long, kind int")
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("terms", "binary"), ("ordinal", "long"))]
+    counts = counts.select("bundle", "shard", "kind", *empty)
     if not complete:
-        empty = [F.lit(None).cast(t).alias(c) for c, t in (("source", "string"), ("n", "long"), ("packed", "binary"))]
-        counts = counts.unionByName(kept.select("lang", "term", "ordinal", *empty, hashed.alias("shard"), F.lit(0).alias("kind")))
+        own = kept.select("lang", "term", "ordinal").mapInArrow(placed, "lang string, terms binary, ordinal long, shard long")
+        counts = counts.unionByName(own.withColumns({"bundle": F.lit(None).cast("binary"), "kind": F.lit(0)}))
     dealt = counts.repartition(n_shards, "shard").sortWithinPartitions("shard", "kind")
     return written(dealt.mapInArrow(shards, "lang string, source string, ordinal long, n long, lang_n long"))
 
@@ -485,9 +562,7 @@ def _both_present(shares: DataFrame) -> DataFrame:
         rest, seen = None, {}
 
         def summed(table: pa.Table) -> pa.RecordBatch:
-            group = np.fromiter(
-                (seen.setdefault(v, len(seen)) for v in zip(table["lang"].to_pylist(), table["source"].to_pylist(), strict=True)), np.int64, table.num_rows
-            )
+            group = _coded_batch(table.combine_chunks().to_batches()[0], seen)
             at, p, zero = (table[c].to_numpy() for c in ("ordinal", "p", "p0"))
             heads = np.append(np.flatnonzero(np.append(True, at[1:] != at[:-1])), len(at))
             sizes = np.diff(heads)

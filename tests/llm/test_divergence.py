@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from suite.check import connect, difference
@@ -142,6 +143,52 @@ def test_counts_travel_packed_and_come_back_whole():
     assert list(divergence._packed(both[:0], n[:0], 9_000, 7, seen)) == []
 
 
+def test_counts_of_other_terms_travel_packed_too(monkeypatch):
+    monkeypatch.setattr(divergence, "_PACK_BYTES", 2_000)
+    draw, seen = random.Random(5), {("l", "a"): 0, ("l", "b"): 1, ("m", "a"): 2}
+    terms = [*{"".join(draw.choices("abé", k=draw.randint(1, 9))).encode() for _ in range(4_000)}, b"x" * 5_000, b"y" * 5_000]
+    want = {(g, t): draw.randint(1, 99) for t in terms for g in range(3) if draw.random() < 0.7}
+    held = divergence._Held()
+    for part in (list(want), list(want)[:500]):
+        held.add(np.array([g for g, _ in part]), pa.array([t for _, t in part], pa.large_binary()), np.array([want[k] for k in part]))
+    batches = list(divergence._packed_terms(held.summed(), 7, seen))
+    assert sum(b.num_rows for b in batches) < len(want) / 20  # far fewer rows than counts
+    got, shard = {}, {}
+    for batch in batches:
+        row, length, n = divergence._unpacked(batch["packed"])
+        data = b"".join(batch["terms"].to_pylist())
+        ends = np.cumsum(length).tolist()
+        for r, a, b, m in zip(row.tolist(), [0, *ends], ends, n.tolist(), strict=False):
+            key = divergence._coded_batch(batch, dict(seen))[r], data[a:b]
+            assert key not in got
+            got[key] = m
+            assert shard.setdefault((batch["lang"][r].as_py(), data[a:b]), batch["place"][r].as_py()) == batch["place"][r].as_py()
+    first = set(list(want)[:500])
+    assert got == {k: n * (1 + (k in first)) for k, n in want.items()}
+    for lang in "lm":  # kept terms are sent to the same shards
+        own = [t for x, t in shard if x == lang]
+        place = divergence._places(pa.array([t.decode() for t in own]), np.zeros(len(own), int), [lang], 7)
+        assert place.tolist() == [shard[lang, t] for t in own] and set(place.tolist()) == set(range(7))
+
+
+def test_packed_rows_of_many_groups_travel_as_few(monkeypatch):
+    seen = {("l", f"s{i}"): i for i in range(80)}
+    both = np.arange(0, 80 * 9_000, 9)
+    rows = pa.Table.from_batches(divergence._packed(both, both + 1, 9_000, 50, seen))
+    for size in (divergence._BUNDLE_BYTES, 700):
+        monkeypatch.setattr(divergence, "_BUNDLE_BYTES", size)
+        made = pa.Table.from_batches(divergence._bundled(rows.to_batches(max_chunksize=333), 1)).combine_chunks()
+        assert size == 700 or made.num_rows <= 50 + rows["packed"].nbytes // size < rows.num_rows / 20
+        back = pa.Table.from_batches(divergence._unbundled(made["bundle"].chunk(0)))
+        pick = ["lang", "source", "packed"]
+        assert sorted(map(str, back.select(pick).to_pylist())) == sorted(map(str, rows.select(pick).to_pylist()))
+        for batch in made.slice(0, 60).to_batches():
+            for bundle, shard in zip(batch["bundle"], batch["shard"].to_pylist(), strict=True):
+                for part in divergence._unbundled(pa.array([bundle.as_py()], pa.binary())):
+                    assert set((divergence._unpacked(part["packed"])[1] % 50).tolist()) == {shard}
+    assert list(divergence._bundled([], 1)) == []
+
+
 def test_recount_gives_each_count_once_with_that_of_its_language(spark, monkeypatch):
     for name, value in (("_HELD", 50), ("_CHUNK", 400), ("_PACK", 3)):
         monkeypatch.setattr(divergence, name, value)
