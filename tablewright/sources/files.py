@@ -1,5 +1,7 @@
 """CSV and Parquet files, and the manifest of a landing folder."""
 
+import _hashlib
+import ctypes
 import re
 from collections.abc import Iterable, Iterator
 from urllib.parse import unquote
@@ -212,7 +214,11 @@ def _look(spark: SparkSession, path: str) -> tuple[dict[str, list[str]], bool]:
 
 def _paths(headers: dict[str, list[str]], header: str) -> list[str]:
     """Paths that are read as they are, though they may hold signs of a glob."""
-    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(f)) for f in headers[header]]
+    return [_literal(f) for f in headers[header]]
+
+
+def _literal(file: str) -> str:
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(file))
 
 
 def _infer(text: DataFrame) -> T.StructType:
@@ -252,18 +258,103 @@ def safe_name(name: Column) -> Column:
     return F.when(cleaned == "", "upload").otherwise(cleaned)
 
 
-def file_manifest(spark: SparkSession, path: str, size_cap: int | None = None) -> DataFrame:
+def _openssl() -> ctypes.CDLL:
+    """The library behind hashlib. Its SHA-256 context is plain bytes, which another process can go on from."""
+    return ctypes.CDLL(getattr(_hashlib, "__file__", None))
+
+
+def split_digests(spark: SparkSession, lengths: dict[str, int]) -> dict[str, str]:
+    """The SHA-256 of whole files, given by ``_metadata.file_path`` and length, though a task reads one split of a file.
+
+    A digest is sequential, so the splits of a file are read one after the other, each in a job of its own that all
+    files share; the context of the digest, some hundred bytes, goes from each to the next. Splits are
+    read as lines ended by ``\\n`` alone, whose bytes Spark leaves as they are. It drops a byte order mark at the beginning and the last line end;
+    both follow from the length, so two contexts are kept, one of them after such a mark.
+    """
+    context = spark.sparkContext
+    columns = [F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line")]
+    files = {f: spark.read.option("lineSep", "\n").text(_literal(f)).select(*columns) for f in lengths}
+    counts = {f: df.rdd.getNumPartitions() for f, df in files.items()}
+
+    def updated(state: bytes, data: bytes) -> bytes:
+        import _hashlib
+        import ctypes
+
+        held = ctypes.create_string_buffer(bytes(state), 256)
+        ctypes.CDLL(getattr(_hashlib, "__file__", None)).SHA256_Update(held, data, ctypes.c_size_t(len(data)))
+        return held.raw
+
+    def going_on(file: str, state: tuple) -> DataFrame:
+        def step(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            plain, marked, lines, size, last = state
+            for batch in batches:
+                for data in (b"\n" if lines and batch.num_rows else b"", b"\n".join(batch.column("line").to_pylist())):
+                    plain, marked, size = updated(plain, data), updated(marked, data), size + len(data)
+                lines += batch.num_rows
+                for start in batch.column("start").unique().to_pylist():
+                    if start < last:
+                        raise ValueError("the splits of a file are not in order")
+                    last = start
+            after = [file, plain, marked, lines, size, last]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in after], names=names)
+
+        names = ["file", "plain", "marked", "lines", "size", "last"]
+        return files[file].mapInArrow(step, "file string, plain binary, marked binary, lines long, size long, last long")
+
+    fresh = ctypes.create_string_buffer(256)
+    _openssl().SHA256_Init(fresh)
+    # By file: the contexts without and with a byte order mark, lines and bytes so far, where the last split began.
+    state = {f: (fresh.raw, updated(fresh.raw, b"\xef\xbb\xbf"), 0, 0, 0) for f in lengths}
+    for turn in range(max(counts.values())):
+        now = [f for f in lengths if turn < counts[f]]
+        together = context.union([going_on(f, state[f]).rdd for f in now])
+        begins = [sum(counts[f] for f in now[:i]) for i in range(len(now))]
+        ran = context.runJob(together, list, [begin + turn for begin in begins])  # one row a file
+        state.update({file: tuple(after) for file, *after in ran})
+    out = {}
+    for file, (plain, marked, _, size, _) in state.items():
+        left = lengths[file] - size  # 1: the last line is ended; 3: there is a byte order mark; 4: both
+        if left not in (0, 1, 3, 4):
+            raise SourceError(f"'{file}' has {lengths[file]} bytes, not those that were read")
+        held = ctypes.create_string_buffer(updated(marked if left > 1 else plain, b"\n" if left in (1, 4) else b""), 256)
+        digest = ctypes.create_string_buffer(32)
+        _openssl().SHA256_Final(digest, held)
+        out[file] = digest.raw.hex()
+    return out
+
+
+# Names that Spark's text reader unpacks, so that its lines are not the bytes of the file.
+_PACKED = r"(?i)\.(gz|bz2|deflate|snappy|lz4|zst|zstd|passthrough)$"
+
+
+def file_manifest(
+    spark: SparkSession, path: str, size_cap: int | None = None, whole_bytes: int = 128 * 1024 * 1024
+) -> DataFrame:
     """One line per file of a landing folder: names, kind, size, digest, and what is wrong with it.
 
     Files above ``size_cap``, if given, are listed from the directory alone; their content is
-    never read, as the size filter is applied before the file is opened.
+    never read, as the size filter is applied before the file is opened. Files up to ``whole_bytes`` are read as one
+    cell. Larger ones are digested split by split when the manifest is made, see ``split_digests``; only those
+    that Spark would unpack are read as one cell at any size.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     size_cap = 2**63 - 1 if size_cap is None else size_cap
-    fitting = files.filter(F.col("length") <= size_cap).select("path", "length", F.sha2("content", 256).alias("sha256"))
-    too_large = files.filter(F.col("length") > size_cap).select("path", "length", F.lit(None).cast("string"))
+    size = F.col("length")
+    digested = F.sha2("content", 256).alias("sha256")
+    fitting = files.filter(size <= min(size_cap, whole_bytes)).select("path", "length", digested)
+    too_large = files.filter(size > size_cap).select("path", "length", F.lit(None).cast("string"))
+    named = fitting.unionAll(too_large)
+    # One row a file above whole_bytes.
+    large = files.filter((size > whole_bytes) & (size <= size_cap)).select("path", "length", F.col("_metadata.file_path").alias("file")).collect()
+    split = [r for r in large if hasattr(_openssl(), "SHA256_Update") and not re.search(_PACKED, r.file)]
+    if split:
+        found = split_digests(spark, {r.file: r.length for r in split})
+        named = named.unionAll(spark.createDataFrame([(r.path, r.length, found[r.file]) for r in split], named.schema))
+    rest = [_literal(r.file) for r in large if r not in split]
+    if rest:
+        named = named.unionAll(spark.read.format("binaryFile").load(rest).select("path", "length", digested))
     base = F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B")))
-    named = fitting.unionAll(too_large).withColumn("original_name", base)
+    named = named.withColumn("original_name", base)
     name = F.col("original_name")
     kind = kind_of(name)
     return named.select(
